@@ -38,16 +38,22 @@ def local_days(samples: DataFrame, step_hours: int, keys: Sequence[str] = ("cell
     return out.withColumn("tavg", mean_of_pair(F.col("tmax"), F.col("tmin")))
 
 
-def missing_steps(samples: DataFrame, step_hours: int, hours: str = "hours") -> DataFrame:
+def missing_steps(samples: DataFrame, step_hours: int, keys: Sequence[str] = (),
+                  hours: str = "hours") -> DataFrame:
     """Sample times without a successor `step_hours` later, the last one excepted.
 
+    Without keys the dataset's own time axis is tested, with keys each place's.
     Empty for an evenly spaced axis. A hash anti join of distinct times; no
     ordered window over all of them.
     """
-    times = samples.select(hours).distinct()
-    before = times.select((F.col(hours) - step_hours).alias(hours))
-    last = times.agg(F.max(hours)).scalar()
-    return times.join(before, hours, "left_anti").filter(F.col(hours) < last)
+    on = [*keys, hours]
+    times = samples.select(*on).distinct()
+    before = times.select(*keys, (F.col(hours) - step_hours).alias(hours))
+    open_ended = times.join(before, on, "left_anti")
+    if not keys:
+        return open_ended.filter(F.col(hours) < times.agg(F.max(hours)).scalar())
+    last = times.groupBy(*keys).agg(F.max(hours).alias("_last"))
+    return open_ended.join(last, list(keys)).filter(F.col(hours) < F.col("_last")).drop("_last")
 
 
 def spacing(samples: DataFrame, keys: Sequence[str] = ("cell",), hours: str = "hours") -> DataFrame:

@@ -26,32 +26,39 @@ def unbroken_runs(series: DataFrame, keys: Sequence[str] = ("series",), x: str =
 
 # ---- LOWESS -----------------------------------------------------------------
 
-def _local_line(points: Column, at: Column) -> Column:
-    """Value at `at` of a weighted straight line through points (x, y, rw).
+def _local_line(df: DataFrame, points: str, at: str, out: str) -> DataFrame:
+    """Add the value at `at` of a weighted straight line through the points (x, y, rw).
 
-    Tricube weights of distance over the farthest distance, times `rw`. One
-    weighted point, or none, cannot carry a slope and falls back to its mean.
+    Points are in order, so the farthest one is the first or the last. Weights
+    are the tricube of distance over the farthest distance, times `rw`. One
+    weighted point, or none, cannot carry a slope and falls back to the mean, or
+    to NULL.
     """
-    reach = F.array_max(F.transform(points, lambda p: F.abs(p["x"] - at))).cast("double")
+    first, last = F.get(points, 0)["x"], F.element_at(points, -1)["x"]
+    df = df.withColumn("_reach", F.greatest(F.col(at) - first, last - F.col(at)).cast("double"))
 
-    def add(s: Column, p: Column) -> Column:
-        u = (p["x"] - at).cast("double")
-        r = F.abs(u) / reach
+    def weigh(p: Column) -> Column:
+        u = (p["x"] - F.col(at)).cast("double")
+        r = F.abs(u) / F.col("_reach")
         core = F.lit(1.0) - r * r * r
         w = F.when(r < 0.001, F.lit(1.0)).when(r > 0.999, F.lit(0.0)).otherwise(core * core * core)
-        w = w * p["rw"]
-        return F.struct(
-            (s["w"] + w).alias("w"), (s["wu"] + w * u).alias("wu"), (s["wuu"] + w * u * u).alias("wuu"),
-            (s["wy"] + w * p["y"]).alias("wy"), (s["wuy"] + w * u * p["y"]).alias("wuy"))
+        return F.struct(u.alias("u"), p["y"].alias("y"), (w * p["rw"]).alias("w"))
 
+    df = df.withColumn("_wts", F.transform(points, weigh))
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "wu", "wuu", "wy", "wuy")])
 
-    def solve(s: Column) -> Column:
-        det = s["w"] * s["wuu"] - s["wu"] * s["wu"]
-        line = F.try_divide(s["wuu"] * s["wy"] - s["wu"] * s["wuy"], det)
-        return F.when(det > 1e-12 * s["w"] * s["w"], line).otherwise(F.try_divide(s["wy"], s["w"]))
+    def add(s: Column, p: Column) -> Column:
+        w, u, y = p["w"], p["u"], p["y"]
+        return F.struct(
+            (s["w"] + w).alias("w"), (s["wu"] + w * u).alias("wu"), (s["wuu"] + w * u * u).alias("wuu"),
+            (s["wy"] + w * y).alias("wy"), (s["wuy"] + w * u * y).alias("wuy"))
 
-    return F.aggregate(points, zero, add, solve)
+    df = df.withColumn("_s", F.aggregate("_wts", zero, add))
+    s = F.col("_s")
+    det = s["w"] * s["wuu"] - s["wu"] * s["wu"]
+    line = F.try_divide(s["wuu"] * s["wy"] - s["wu"] * s["wuy"], det)
+    value = F.when(det > 1e-12 * s["w"] * s["w"], line).otherwise(F.try_divide(s["wy"], s["w"]))
+    return df.withColumn(out, value).drop("_reach", "_wts", "_s")
 
 
 def lowess(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year",
@@ -76,14 +83,15 @@ def lowess(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year"
         point = F.struct(F.col(x).alias("x"), F.col(value).cast("double").alias("y"), F.col("_rw").alias("rw"))
         df = (
             df.withColumn("_pts", F.collect_list(point).over(near))
-            .withColumn("_i", F.row_number().over(ordered) - 1)
-            .withColumn("_n", F.count("*").over(whole).cast("int"))
+            .withColumn("_pos", F.row_number().over(ordered) - 1)
+            .withColumn("_size", F.count("*").over(whole).cast("int"))
         )
-        low = F.least(F.greatest(F.col("_i") - half, F.lit(0)), F.col("_n") - years)
-        skip = low - F.greatest(F.col("_i") - (years - 1), F.lit(0))
-        chosen = F.slice("_pts", F.greatest(skip, F.lit(0)) + 1, F.lit(years))
-        df = df.withColumn(smooth, F.when(
-            F.col("_n") >= years, F.coalesce(_local_line(chosen, F.col(x)), F.col(value).cast("double"))))
+        low = F.least(F.greatest(F.col("_pos") - half, F.lit(0)), F.col("_size") - years)
+        skip = low - F.greatest(F.col("_pos") - (years - 1), F.lit(0))
+        df = df.withColumn("_pts", F.when(
+            F.col("_size") >= years, F.slice("_pts", F.greatest(skip, F.lit(0)) + 1, F.lit(years))))
+        df = _local_line(df, "_pts", x, smooth).withColumn(smooth, F.when(
+            F.col("_size") >= years, F.coalesce(F.col(smooth), F.col(value).cast("double"))))
         if turn < passes:
             df = df.withColumn("_res", F.abs(F.col(value) - F.col(smooth)))
             df = df.withColumn("_med", F.median("_res").over(whole))
@@ -93,7 +101,7 @@ def lowess(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year"
             bow = F.lit(1.0) - F.col("_u") * F.col("_u")
             df = df.withColumn("_u", scaled).withColumn("_rw", F.coalesce(bow * bow, F.lit(1.0)))
             df = df.drop("_res", "_med", "_u")
-        df = df.drop("_pts", "_i", "_n")
+        df = df.drop("_pts", "_pos", "_size")
     return df.drop("_rw", "run")
 
 

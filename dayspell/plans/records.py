@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayspell.defaults import (
     LOWESS_YEARS, MIN_CELL_FRACTION, RECORD_MIN_SHARE, RECORD_MIN_YEARS, RECORD_YEARS, TREND_STARTS,
 )
-from dayspell.operators import coverage, joins, records, series, spatial
+from dayspell.operators import coverage, joins, qc, records, series, spatial
 
 
 def _span(years: tuple[int, int]) -> int:
@@ -50,21 +50,27 @@ def pair_series(pairs: DataFrame, years: tuple[int, int] = RECORD_YEARS,
     return out
 
 
-def grid_series(field: DataFrame, cells: DataFrame, years: tuple[int, int] = RECORD_YEARS,
-                min_fraction: float = MIN_CELL_FRACTION, axis: DataFrame | None = None,
-                blank: bool = True, **kw) -> DataFrame:
-    """Record series of a gridded field over cells inside the domain, weighted by their share.
+def grid_counts(field: DataFrame, cells: DataFrame, years: tuple[int, int] = RECORD_YEARS,
+                min_fraction: float = MIN_CELL_FRACTION, **kw) -> DataFrame:
+    """Record counts per cell and year of a whole-year field's season, complete cells of the
+    domain only. `cells` is (cell, fraction[, land]); the field's own dates are the axis."""
+    own = joins.keep_listed(field, domain_cells(cells, min_fraction).select("cell"), "cell")
+    season = qc.in_months(own, years=years)
+    return complete_unit_counts(season, years, unit="cell", axis=qc.in_months(field, years=years), **kw)
 
-    `cells` is (cell, fraction[, land]); years past the field's last full year are
-    blanked.
-    """
+
+def domain_cells(cells: DataFrame, min_fraction: float = MIN_CELL_FRACTION) -> DataFrame:
+    """Cells with enough of their area inside the polygon, and on land where that is known."""
     kept = cells.filter(F.col("fraction") >= min_fraction)
-    if "land" in cells.columns:
-        kept = kept.filter(F.col("land"))
-    own = joins.keep_listed(field, kept.select("cell"), "cell")
-    counts = complete_unit_counts(own, years, unit="cell", axis=axis, **kw)
+    return kept.filter(F.col("land")) if "land" in cells.columns else kept
+
+
+def grid_series(counts: DataFrame, cells: DataFrame, field: DataFrame,
+                years: tuple[int, int] = RECORD_YEARS, blank: bool = True) -> DataFrame:
+    """Record series of a grid, cells weighted by their share; years past the whole-year
+    field's last full one are blanked, because absent is not zero."""
     out = records.record_series(counts, years, "cell",
-                                kept.select("cell", F.col("fraction").alias("weight")))
+                                cells.select("cell", F.col("fraction").alias("weight")))
     return coverage.blank_after_last_full_year(out, field) if blank else out
 
 

@@ -199,22 +199,20 @@ def guard_repeated_keys(spark, d):
 
 
 @query("guard_broken_axes", """
-WITH s AS (SELECT unit AS series, dayofyear(day) AS x FROM panel WHERE year = 1996),
-g AS (SELECT series, x - lag(x) OVER (PARTITION BY series ORDER BY x) AS step FROM s)
-SELECT series, count(*) FILTER (WHERE step = 0) AS n_repeats, count(*) FILTER (WHERE step > 1) AS n_gaps
-FROM g GROUP BY series HAVING n_repeats > 0 OR n_gaps > 0
+WITH g AS (SELECT unit, year, doy - lag(doy) OVER (PARTITION BY unit, year ORDER BY doy) AS step FROM panel)
+SELECT unit, year, count(*) FILTER (WHERE step = 0) AS n_repeats, count(*) FILTER (WHERE step > 1) AS n_gaps
+FROM g GROUP BY unit, year HAVING n_repeats > 0 OR n_gaps > 0
 """, ("panel",))
 def guard_broken_axes(spark, d):
-    one = views.panel(spark, d).filter(F.col("year") == 1996)
-    return guards.broken_axes(one.select(F.col("unit").alias("series"), F.dayofyear("day").alias("year")))
+    p = views.panel(spark, d).withColumn("doy", dates.season_day(F.col("day")))
+    return guards.broken_axes(p, ("unit", "year"), "doy")
 
 
 @query("guard_without_position", """
-SELECT DISTINCT p_partkey % 1000 + 1 AS unit FROM part
-WHERE p_partkey % 1000 + 1 NOT IN (SELECT unit FROM site)
+SELECT DISTINCT p_partkey AS unit FROM part WHERE p_partkey NOT IN (SELECT unit FROM site)
 """, ("site",))
 def guard_without_position(spark, d):
-    units = views.table(spark, d, "part").select((F.col("p_partkey") % 1000 + 1).alias("unit"))
+    units = views.table(spark, d, "part").select(F.col("p_partkey").alias("unit"))
     return guards.without_position(units, views.site(spark, d))
 
 

@@ -1 +1,84 @@
-"""."""
+"""Queries: spatial joins and gridding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dayspell.operators import spatial
+from dayspell.plans import stations as plans
+from dayspell.queries import views
+from dayspell.queries.heat import RADIAL_SQL
+from dayspell.queries.monthly import NEAREST_SQL
+from dayspell.queries.registry import query, tidy
+
+
+@query("near_pairs", "WITH " + NEAREST_SQL.format(cells="grid") + """
+SELECT cell, unit, round(km, 5) + 0.0 AS km FROM pairs
+""", ("site", "site_months", "grid"))
+def near_pairs(spark, d):
+    return tidy(spatial.near_pairs(views.grid(spark), views.site(spark, d), views.RADIUS_KM), 5)
+
+
+@query("radial_pairs", "WITH " + RADIAL_SQL.format(stations="site") + """
+SELECT cell, unit, round(km, 5) + 0.0 AS km FROM radial
+""", ("site", "grid"))
+def radial_pairs(spark, d):
+    land = views.grid(spark).filter("land")
+    return tidy(spatial.radial_pairs(land, views.site(spark, d), views.RADIUS_KM), 5)
+
+
+_INSIDE = """
+ins AS (SELECT unit, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1)
+    THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM site, (SELECT * FROM edges WHERE y1 <> y2) GROUP BY unit)"""
+
+
+@query("sites_in_polygon", "WITH " + _INSIDE + " SELECT unit, lat, lon, inside FROM site JOIN ins USING (unit)",
+       ("site", "edges"))
+def sites_in_polygon(spark, d):
+    edges = spatial.polygon_edges(views.polygon(spark))
+    return spatial.points_inside(views.site(spark, d), edges).select("unit", "lat", "lon", "inside")
+
+
+@query("polygon_daily_counts", "WITH " + _INSIDE + """
+SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n_rows FROM lineitem JOIN ins ON unit = l_suppkey
+WHERE inside GROUP BY ALL
+""", ("site", "edges"))
+def polygon_daily_counts(spark, d):
+    edges = spatial.polygon_edges(views.polygon(spark))
+    kept = spatial.points_inside(views.site(spark, d), edges).filter("inside").select("unit")
+    rows = views.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("unit"), F.col("l_shipdate").cast("date").alias("day"))
+    return rows.join(kept, "unit", "left_semi").groupBy("day").agg(F.count("*").alias("n_rows"))
+
+
+@query("grid_stations_2deg", """
+SELECT CAST(least(greatest(trunc((lat - 24) / 2), 0), 12) * 180 + least(greatest(trunc((lon + 180) / 2), 0), 179) AS BIGINT)
+         AS cell, day, round(avg(tmax), 6) + 0.0 AS value, count(*) AS n_stations
+FROM daily JOIN station USING (unit) WHERE tmax IS NOT NULL GROUP BY ALL
+""", ("daily", "station"))
+def grid_stations_2deg(spark, d):
+    located = views.daily(spark, d).join(views.station(spark, d).select("unit", "lat", "lon"), "unit")
+    return tidy(plans.grid_stations(located))
+
+
+@query("snap_to_grid", """
+SELECT CAST(round_even((lat - 25) / 2, 0) * 30 + round_even((lon + 124) / 2, 0) AS BIGINT) AS cell, count(*) AS n_sites
+FROM site WHERE round_even((lat - 25) / 2, 0) BETWEEN 0 AND 12 AND round_even((lon + 124) / 2, 0) BETWEEN 0 AND 29
+GROUP BY ALL
+""", ("site",))
+def snap_to_grid(spark, d):
+    return views.GRID.snap(views.site(spark, d)).groupBy("cell").agg(F.count("*").alias("n_sites"))
+
+
+@query("site_axis_edges", """
+WITH c AS (SELECT DISTINCT lat AS centre FROM site),
+w AS (SELECT centre, lag(centre) OVER o AS b, lead(centre) OVER o AS a, row_number() OVER o - 1 AS idx FROM c
+      WINDOW o AS (ORDER BY centre))
+SELECT 'lat' AS axis, CAST(idx AS INTEGER) AS idx, centre,
+   round(CASE WHEN b IS NULL THEN centre - (a - centre) / 2 ELSE b + (centre - b) / 2 END, 6) + 0.0 AS lo,
+   round(CASE WHEN a IS NULL THEN centre + (centre - b) / 2 ELSE centre + (a - centre) / 2 END, 6) + 0.0 AS hi
+FROM w
+""", ("site",))
+def site_axis_edges(spark, d):
+    axis = views.site(spark, d).select(F.lit("lat").alias("axis"), F.col("lat").alias("centre"))
+    return tidy(spatial.axis_edges(axis))
