@@ -70,8 +70,8 @@ def record_series(counts: DataFrame, years: tuple[int, int], unit: str = "unit",
     return whole.select(
         F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))).alias("year"),
         "_total", "_by_year",
-    ).select("year", (F.coalesce(F.try_element_at("_by_year", "year"), F.lit(0.0))
-                      / F.col("_total")).alias("value"))
+    ).select("year", F.try_divide(F.coalesce(F.try_element_at("_by_year", "year"), F.lit(0.0)),
+                                  F.col("_total")).alias("value"))
 
 
 def integral(series: DataFrame, expected: float = float(SEASON_DAYS),

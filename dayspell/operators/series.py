@@ -269,15 +269,18 @@ def trends(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year"
     df = df.withColumn("_res", dy - F.try_divide(F.col("_sxy"), F.col("_sxx")) * dx)
     df = df.withColumn("_next", F.lead("_res").over(ordered))
     here = F.when(F.col("_next").isNotNull(), F.col("_res"))
+    # the built-in corr fails in ANSI mode when one side is constant
+    spread = F.stddev_pop(here) * F.stddev_pop("_next")
     out = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.first("_sxx").alias("_sxx"), F.first("_sxy").alias("_sxy"),
-        F.sum(F.col("_res") * F.col("_res")).alias("_rss"), F.corr(here, F.col("_next")).alias("r1"))
+        F.sum(F.col("_res") * F.col("_res")).alias("_rss"),
+        F.try_divide(F.covar_pop(here, F.col("_next")), spread).alias("r1"))
     n = F.col("n")
     ok = n >= min_points
     slope = F.try_divide(F.col("_sxy"), F.col("_sxx"))
     se = F.sqrt(F.try_divide(F.col("_rss"), (n - 2) * F.col("_sxx")))
     out = out.withColumn("slope", F.when(ok, slope)).withColumn("se", F.when(ok, se))
-    out = out.withColumn("r1", F.when(ok & ~F.isnan("r1"), F.col("r1")))
+    out = out.withColumn("r1", F.when(ok, F.col("r1")))
     r = F.least(F.greatest(F.coalesce(F.col("r1"), F.lit(0.0)), F.lit(0.0)), F.lit(0.99))
     out = out.withColumn("n_eff", F.when(ok, n * (1 - r) / (1 + r)))
     inflate = F.sqrt(F.when(F.col("n_eff") > 2.5, (n - 2) / (F.col("n_eff") - 2)))

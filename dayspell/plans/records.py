@@ -51,12 +51,14 @@ def pair_series(pairs: DataFrame, years: tuple[int, int] = RECORD_YEARS,
 
 
 def grid_counts(field: DataFrame, cells: DataFrame, years: tuple[int, int] = RECORD_YEARS,
-                min_fraction: float = MIN_CELL_FRACTION, **kw) -> DataFrame:
+                min_fraction: float = MIN_CELL_FRACTION, axis: DataFrame | None = None, **kw) -> DataFrame:
     """Record counts per cell and year of a whole-year field's season, complete cells of the
-    domain only. `cells` is (cell, fraction[, land]); the field's own dates are the axis."""
+    domain only. `cells` is (cell, fraction[, land]); `axis` lists the field's dates and is
+    read from the field when the caller has no cheaper list."""
+    axis = field if axis is None else axis
     own = joins.keep_listed(field, domain_cells(cells, min_fraction).select("cell"), "cell")
     season = qc.in_months(own, years=years)
-    return complete_unit_counts(season, years, unit="cell", axis=qc.in_months(field, years=years), **kw)
+    return complete_unit_counts(season, years, unit="cell", axis=qc.in_months(axis, years=years), **kw)
 
 
 def domain_cells(cells: DataFrame, min_fraction: float = MIN_CELL_FRACTION) -> DataFrame:
@@ -65,13 +67,13 @@ def domain_cells(cells: DataFrame, min_fraction: float = MIN_CELL_FRACTION) -> D
     return kept.filter(F.col("land")) if "land" in cells.columns else kept
 
 
-def grid_series(counts: DataFrame, cells: DataFrame, field: DataFrame,
+def grid_series(counts: DataFrame, cells: DataFrame, axis: DataFrame,
                 years: tuple[int, int] = RECORD_YEARS, blank: bool = True) -> DataFrame:
-    """Record series of a grid, cells weighted by their share; years past the whole-year
-    field's last full one are blanked, because absent is not zero."""
+    """Record series of a grid, cells weighted by their share; years past the last full one
+    of the whole-year axis are blanked, because absent is not zero."""
     out = records.record_series(counts, years, "cell",
                                 cells.select("cell", F.col("fraction").alias("weight")))
-    return coverage.blank_after_last_full_year(out, field) if blank else out
+    return coverage.blank_after_last_full_year(out, axis) if blank else out
 
 
 def at_network_series(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid,

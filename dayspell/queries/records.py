@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dayspell.operators import guards, joins, records
+from dayspell.operators import guards, joins, qc, records
 from dayspell.plans import records as plans
 from dayspell.queries import views
 from dayspell.queries.monthly import AREAS_SQL
@@ -91,6 +91,11 @@ def field(spark, d):
         F.avg("value").alias("value")).withColumn("year", F.year("day"))
 
 
+def field_days(spark, d):
+    """The field's dates: every unit lies on the grid, so they are the days of unflagged rows."""
+    return qc.keep_unflagged(views.obs(spark, d)).select("day").distinct()
+
+
 _GRID_RECORDS = AREAS_SQL + "," + FIELD_SQL + """,
 dom AS (SELECT a.cell, a.fraction AS weight FROM area a JOIN grid g USING (cell) WHERE fraction >= 0.5 AND land),
 season AS (SELECT f.* FROM field f JOIN dom USING (cell) WHERE month(day) BETWEEN 5 AND 9),
@@ -106,8 +111,8 @@ def _cells(spark):
     return polygon_cells(spark).join(views.grid(spark).select("cell", "land"), "cell")
 
 
-def _grid_counts(spark, d):
-    return plans.grid_counts(field(spark, d), _cells(spark), views.YEARS, **_RULE)
+def _grid_counts(spark, d, cells):
+    return plans.grid_counts(field(spark, d), cells, views.YEARS, axis=field_days(spark, d), **_RULE)
 
 
 @query("record_series_grid", "WITH " + _GRID_RECORDS + """
@@ -115,8 +120,8 @@ SELECT year, CASE WHEN year <= (SELECT CASE WHEN strftime(max(day), '%m%d') = '1
     ELSE year(max(day)) - 1 END FROM field) THEN round(value, 6) + 0.0 END AS value FROM ("""
        + _series("cr_n", "cell", "dom") + ")", _USES)
 def record_series_grid(spark, d):
-    f = field(spark, d)
-    return tidy(plans.grid_series(_grid_counts(spark, d), _cells(spark), f, views.YEARS))
+    cells = _cells(spark)
+    return tidy(plans.grid_series(_grid_counts(spark, d, cells), cells, field_days(spark, d), views.YEARS))
 
 
 _SITES = """,
@@ -129,15 +134,16 @@ sited AS (SELECT unit, CAST(round_even((lat - 25) / 2, 0) * 30 + round_even((lon
 nw AS (SELECT cell, count(*) AS weight FROM sited GROUP BY cell)
 SELECT year, round(value, 6) + 0.0 AS value FROM (""" + _series("cr_n", "cell", "nw") + ")", (*_USES, "site"))
 def record_series_at_network(spark, d):
-    return tidy(plans.at_network_series(_grid_counts(spark, d), views.site(spark, d), views.GRID, views.YEARS))
+    return tidy(plans.at_network_series(_grid_counts(spark, d, _cells(spark)), views.site(spark, d), views.GRID, views.YEARS))
 
 
 @query("record_series_at_network_cells", "WITH " + _GRID_RECORDS + _SITES + """
 nw AS (SELECT cell, fraction AS weight FROM area WHERE cell IN (SELECT cell FROM sited))
 SELECT year, round(value, 6) + 0.0 AS value FROM (""" + _series("cr_n", "cell", "nw") + ")", (*_USES, "site"))
 def record_series_at_network_cells(spark, d):
-    return tidy(plans.at_network_cells_series(_grid_counts(spark, d), views.site(spark, d), views.GRID,
-                                              _cells(spark), views.YEARS))
+    cells = _cells(spark)
+    return tidy(plans.at_network_cells_series(_grid_counts(spark, d, cells), views.site(spark, d), views.GRID,
+                                              cells, views.YEARS))
 
 
 @query("record_series_masked", "WITH " + FIELD_SQL + """,

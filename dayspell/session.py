@@ -23,6 +23,8 @@ def local_session(cores: str = "*", app: str = "dayspell", **extra: str) -> Spar
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DAYSPELL_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # do not look up the Python call site of every expression while plans are built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
