@@ -72,14 +72,21 @@ def lossless_bounds(min_share: float = HEAT_MIN_SHARE, season_days: int = SEASON
 
 def lossless_screen(panel: DataFrame, unit: str = "unit", value: str = "value",
                     season_days: int = SEASON_DAYS, **kw) -> DataFrame:
-    """Drop units whose every heat-wave count would be NULL anyway."""
+    """Drop units whose every heat-wave count would be NULL anyway.
+
+    Windows inside one layout by unit, which `spells.heatwave_counts` can use as it
+    is (`laid_out=True`), so the screen costs no shuffle and no second scan.
+    """
     per_year, total = lossless_bounds(season_days=season_days, **kw)
-    keep = (
-        year_counts(panel, unit, value).groupBy(unit)
-        .agg(F.sum("n_days").alias("_t"), F.max("n_days").alias("_best"))
-        .filter((F.col("_t") >= total) & (F.col("_best") >= per_year))
+    whole, year = Window.partitionBy(unit), Window.partitionBy(unit, "year")
+    return (
+        panel.filter(F.col(value).isNotNull()).repartition(unit)
+        .withColumn("_in_year", F.count("*").over(year))
+        .withColumn("_best", F.max("_in_year").over(whole))
+        .withColumn("_total", F.count("*").over(whole))
+        .filter((F.col("_total") >= total) & (F.col("_best") >= per_year))
+        .drop("_in_year", "_best", "_total")
     )
-    return panel.join(keep, unit, "left_semi")
 
 
 def blank_after_last_full_year(series: DataFrame, daily: DataFrame, day: str = "day",

@@ -45,21 +45,38 @@ def nearest_idw(values: DataFrame, pairs: DataFrame, by: Sequence[str] = ("year"
         F.coalesce(on_cell, around).alias(value), F.count("*").alias("n_stations"))
 
 
-def count_idw(counts: DataFrame, pairs: DataFrame, radius_km: float, by: Sequence[str] = ("year",),
-              value: str = "hw_days", min_stations: int = COUNT_IDW_MIN_STATIONS,
-              solo: float = COUNT_IDW_SOLO) -> DataFrame:
-    """Weighted mean, (R/d)^2, of the stations in range that report; accepted cells only.
+def radius_weights(pairs: DataFrame, radius_km: float) -> DataFrame:
+    """(cell, unit, w, n): weight (R/d)^2 of every pair, d at least 1 m, each one station."""
+    ratio = F.lit(float(radius_km)) / F.greatest(F.col("km"), F.lit(1e-3))
+    return pairs.select("cell", "unit", (ratio * ratio).alias("w"), F.lit(1).cast("bigint").alias("n"))
+
+
+def shared_weights(weights: DataFrame, sites: DataFrame) -> DataFrame:
+    """Weights of stations that carry the same source cell's values, summed per source cell.
+
+    `sites` is (unit, source). However many stations a source cell holds, the
+    yearly join then has one row for it per target cell.
+    """
+    return (
+        weights.join(sites.select("unit", F.col("source").alias("_src")), "unit", "inner")
+        .groupBy("cell", "_src").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+        .withColumnRenamed("_src", "unit")
+    )
+
+
+def weighted_counts(counts: DataFrame, weights: DataFrame, by: Sequence[str] = ("year",),
+                    value: str = "hw_days", min_stations: int = COUNT_IDW_MIN_STATIONS,
+                    solo: float = COUNT_IDW_SOLO) -> DataFrame:
+    """Weighted mean of the stations in range that report; accepted cells only.
 
     A cell needs `min_stations` reporters, or one whose weight passes the solo
     rule. Sums are formed map-side per cell, however many stations are in range.
     """
-    ratio = F.lit(float(radius_km)) / F.greatest(F.col("km"), F.lit(1e-3))
-    weighted = pairs.select("cell", "unit", (ratio * ratio).alias("_w"))
     sums = (
         counts.filter(F.col(value).isNotNull()).select("unit", *by, value)
-        .join(weighted, "unit", "inner").groupBy("cell", *by)
-        .agg(F.sum(F.col("_w") * F.col(value)).alias("_wv"), F.sum("_w").alias("_ws"),
-             F.count("*").alias("n_stations"))
+        .join(weights, "unit", "inner").groupBy("cell", *by)
+        .agg(F.sum(F.col("w") * F.col(value)).alias("_wv"), F.sum("w").alias("_ws"),
+             F.sum("n").alias("n_stations"))
     )
     ok = (F.col("n_stations") >= min_stations) | (
         (F.col("n_stations") == 1) & (F.sqrt("_ws") > solo))
@@ -67,6 +84,12 @@ def count_idw(counts: DataFrame, pairs: DataFrame, radius_km: float, by: Sequenc
         "cell", *by, (F.col("_wv") / F.col("_ws")).alias(value), "n_stations")
 
 
+def count_idw(counts: DataFrame, pairs: DataFrame, radius_km: float, by: Sequence[str] = ("year",),
+              value: str = "hw_days", **rule) -> DataFrame:
+    """Inverse-square mean of station counts within a radius, per cell and year."""
+    return weighted_counts(counts, radius_weights(pairs, radius_km), by, value, **rule)
+
+
 def _domain(cells: DataFrame, lat_bounds, lon_bounds) -> Column:
     inside = F.col("lat").between(*lat_bounds)
     return inside if lon_bounds is None else inside & lon_between(F.col("lon"), *lon_bounds)
@@ -81,7 +104,14 @@ def cosine_mean(field: DataFrame, cells: DataFrame, by: Sequence[str] = ("year",
     `cells` holds the domain, its mask already applied: (key, lat, lon).
     """
     domain = cells.filter(_domain(cells, lat_bounds, lon_bounds)).select(
-        key, cos_lat(F.col("lat")).alias("_w"))
+        key, cos_lat(F.col("lat")).alias("weight"))
+    return mean_over(field, domain, by, value, key)
+
+
+def mean_over(field: DataFrame, domain: DataFrame, by: Sequence[str] = ("year",), value: str = "value",
+              key: str = "cell") -> DataFrame:
+    """Mean by the weights of `domain` (key, weight), and the share of all weight with a value."""
+    domain = domain.select(key, F.col("weight").alias("_w"))
     total = domain.agg(F.sum("_w")).scalar()
     sums = (
         field.filter(F.col(value).isNotNull()).join(domain, key, "inner").groupBy(*by)

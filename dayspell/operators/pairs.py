@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dayspell.operators.joins import spread_monthly
 
@@ -50,6 +51,11 @@ def paired_days(daily: DataFrame, offsets: DataFrame, unit: str = "unit") -> Dat
     return df.select(unit, "day", "year", "month", *places, *legs)
 
 
-def units_with_offsets(pairs: DataFrame, unit: str = "unit") -> DataFrame:
-    """Units that have at least one paired tmax day."""
-    return pairs.filter(F.col("tmax_raw").isNotNull()).select(unit).distinct()
+def keep_paired_units(pairs: DataFrame, unit: str = "unit") -> DataFrame:
+    """Rows of units that have at least one paired tmax day.
+
+    A window over the unit, so the daily pipeline behind `pairs` runs once; a semi
+    join would run it again for the list of units.
+    """
+    any_day = F.count("tmax_raw").over(Window.partitionBy(unit))
+    return pairs.withColumn("_n", any_day).filter(F.col("_n") > 0).drop("_n")

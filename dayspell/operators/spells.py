@@ -57,7 +57,8 @@ def heatwave_counts(panel: DataFrame, unit: Sequence[str] = ("unit",), doy: str
                     half_window: int = HEAT_HALF_WINDOW, min_pool: int = HEAT_MIN_POOL,
                     min_run: int = HEAT_MIN_RUN, min_share: float = HEAT_MIN_SHARE,
                     season_days: int = SEASON_DAYS, method: str = "nearest_rank",
-                    inclusive: bool = True, need_thresholds: bool = True) -> DataFrame:
+                    inclusive: bool = True, need_thresholds: bool = True,
+                    laid_out: bool = False) -> DataFrame:
     """Heat-wave days per unit and year: (unit, year, n_days, hw_days).
 
     hw_days is NULL below `min_share` valid days, and, for stations
@@ -66,7 +67,7 @@ def heatwave_counts(panel: DataFrame, unit: Sequence[str] = ("unit",), doy: str
     runs and the counts.
     """
     thresholds = heat_thresholds(panel, unit, doy, value, percentile, half_window, min_pool,
-                                 method, season_days, keep_days=True)
+                                 method, season_days, keep_days=True, laid_out=laid_out)
     whole = Window.partitionBy(*unit)
     thresholds = thresholds.withColumn(
         "_tshare", F.count("threshold").over(whole) / F.lit(float(season_days)))

@@ -37,14 +37,16 @@ def linear_percentile(ordered: Column, percentile: float) -> Column:
 
 
 def by_day(panel: DataFrame, unit: Sequence[str], doy: str, value: str,
-           first: int, last: int) -> DataFrame:
+           first: int, last: int, laid_out: bool = False) -> DataFrame:
     """(unit, doy, own) for every doy in [first, last]; `own` lists (year, value).
 
     Days without data get an empty list, filled in between the unit's own days
-    without another table or shuffle.
+    without another table or shuffle. `laid_out` says the rows already lie by unit.
     """
     rows = panel.filter(F.col(value).isNotNull() & F.col(doy).between(first, last))
-    rows = rows.select(*unit, doy, "year", value).repartition(*unit)
+    rows = rows.select(*unit, doy, "year", value)
+    if not laid_out:
+        rows = rows.repartition(*unit)
     held = rows.groupBy(*unit, doy).agg(
         F.collect_list(F.struct(F.col("year"), F.col(value).alias("v"))).alias("own"))
     w = Window.partitionBy(*unit).orderBy(doy)
@@ -69,14 +71,14 @@ def heat_thresholds(panel: DataFrame, unit: Sequence[str] = ("unit",), doy: str
                     value: str = "value", percentile: float = HEAT_PERCENTILE,
                     half_window: int = HEAT_HALF_WINDOW, min_pool: int = HEAT_MIN_POOL,
                     method: str = "nearest_rank", season_days: int = SEASON_DAYS,
-                    keep_days: bool = False) -> DataFrame:
+                    keep_days: bool = False, laid_out: bool = False) -> DataFrame:
     """Threshold per unit and season day from the +/- `half_window` day pool.
 
     The pool is clipped to the season, and a day with fewer than `min_pool`
     values has no threshold. With `keep_days` the (year, value) list of each day
     stays beside its threshold, which saves a join back to the days.
     """
-    days = by_day(panel, unit, doy, value, 1, season_days)
+    days = by_day(panel, unit, doy, value, 1, season_days, laid_out)
     pooled = _pooled(days, unit, doy, half_window, half_window)
     rule = nearest_rank if method == "nearest_rank" else linear_percentile
     n = F.size("pool")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dayspell.defaults import BAND_LAT, COUNT_IDW_RADIUS_CONUS_KM, JJA
 from dayspell.functions.dates import season_day
+from dayspell.functions.geo import cos_lat
 from dayspell.operators import gridding, qc, spatial, spells
 
 
@@ -45,6 +46,19 @@ class StationReduction:
     station_mean: DataFrame   # (year, hw_days, coverage), mean over stations
 
 
+def _reduce(counts: DataFrame, weights: DataFrame, cells: DataFrame, station_weights: DataFrame,
+            lat_bounds, lon_bounds, **rule) -> StationReduction:
+    field = gridding.weighted_counts(counts, weights, **rule)
+    fixed = cells.join(gridding.fixed_cells(field), "cell", "left_semi")
+    on = dict(value="hw_days", lat_bounds=lat_bounds, lon_bounds=lon_bounds)
+    return StationReduction(
+        field,
+        gridding.cosine_mean(field, cells, **on),
+        gridding.cosine_mean(field, fixed, **on),
+        gridding.mean_over(counts, station_weights, value="hw_days", key="unit"),
+    )
+
+
 def reduce_stations(counts: DataFrame, stations: DataFrame, cells: DataFrame,
                     radius_km: float = COUNT_IDW_RADIUS_CONUS_KM,
                     lat_bounds: tuple[float, float] = BAND_LAT,
@@ -54,16 +68,9 @@ def reduce_stations(counts: DataFrame, stations: DataFrame, cells: DataFrame,
     `counts` is read by several results; write it to a table first when it comes
     from a large scan.
     """
-    pairs = spatial.radial_pairs(cells, stations, radius_km)
-    field = gridding.count_idw(counts, pairs, radius_km, **rule)
-    fixed = cells.join(gridding.fixed_cells(field), "cell", "left_semi")
-    on = dict(value="hw_days", lat_bounds=lat_bounds, lon_bounds=lon_bounds)
-    return StationReduction(
-        field,
-        gridding.cosine_mean(field, cells, **on),
-        gridding.cosine_mean(field, fixed, **on),
-        gridding.cosine_mean(counts, stations, value="hw_days", lat_bounds=(-90.0, 90.0), key="unit"),
-    )
+    weights = gridding.radius_weights(spatial.radial_pairs(cells, stations, radius_km), radius_km)
+    own = stations.select("unit", cos_lat(F.col("lat")).alias("weight"))
+    return _reduce(counts, weights, cells, own, lat_bounds, lon_bounds, **rule)
 
 
 def counts_at_network(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid) -> DataFrame:
@@ -72,6 +79,24 @@ def counts_at_network(cell_counts: DataFrame, stations: DataFrame, grid: spatial
     return sites.join(cell_counts, "cell").select("unit", "year", "hw_days")
 
 
+def reduce_at_network(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid, cells: DataFrame,
+                      radius_km: float = COUNT_IDW_RADIUS_CONUS_KM,
+                      lat_bounds: tuple[float, float] = BAND_LAT,
+                      lon_bounds: tuple[float, float] = (-180.0, 180.0), **rule) -> StationReduction:
+    """The reduction of `counts_at_network` without copying a cell's counts to its stations.
+
+    All pseudo stations of a source cell carry the same counts, so their weights
+    are summed per source cell first. A network that crowds into one cell then
+    costs no more than one station there.
+    """
+    sites = grid.snap(stations).select("unit", "lat", "lon", F.col("cell").alias("source"))
+    pairs = spatial.radial_pairs(cells, sites, radius_km)
+    weights = gridding.shared_weights(gridding.radius_weights(pairs, radius_km), sites)
+    own = sites.groupBy(F.col("source").alias("unit")).agg(F.sum(cos_lat(F.col("lat"))).alias("weight"))
+    counts = cell_counts.withColumnRenamed("cell", "unit")
+    return _reduce(counts, weights, cells, own, lat_bounds, lon_bounds, **rule)
+
+
 def co_sampled_series(cell_counts: DataFrame, footprint: DataFrame, cells: DataFrame,
                       lat_bounds: tuple[float, float] = BAND_LAT,
                       lon_bounds: tuple[float, float] = (-180.0, 180.0)) -> DataFrame:

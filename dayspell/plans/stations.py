@@ -46,8 +46,7 @@ def reconstruct_pair(daily: DataFrame, offsets: DataFrame) -> Pair:
 
     Stations without a single paired tmax day drop out.
     """
-    legs = pairs.paired_days(daily, offsets)
-    legs = joins.keep_listed(legs, pairs.units_with_offsets(legs))
+    legs = pairs.keep_paired_units(pairs.paired_days(daily, offsets))
     return Pair(legs, monthly.paired_months(legs))
 
 

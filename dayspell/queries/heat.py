@@ -172,9 +172,31 @@ sited AS (SELECT unit, lat, lon, CAST(round_even((lat - 25) / 2, 0) * 30 + round
 pseudo AS (SELECT unit, year, hw_days FROM sited JOIN counts USING (cell)),""" + RADIAL_SQL.format(stations="site")
        + _IDW.format(counts="pseudo") + _AREA.format(field="idw", dom="land"), ("days", "station", "grid", "site"))
 def heatwave_at_network(spark, d):
-    sites = views.site(spark, d)
-    pseudo = plans.counts_at_network(_grid_counts(spark, d), sites, views.GRID)
-    return tidy(plans.reduce_stations(pseudo, sites, _land(spark), views.RADIUS_KM).series)
+    return tidy(plans.reduce_at_network(_grid_counts(spark, d), views.site(spark, d), views.GRID, _land(spark),
+                                        views.RADIUS_KM).series)
+
+
+@query("heatwave_at_network_mean", "WITH " + _GRID_FIELD + _thresholds_sql("fs", "cell") + "," + _counts_sql(
+    "fs", "cell", False) + """,
+sited AS (SELECT unit, lat, CAST(round_even((lat - 25) / 2, 0) * 30 + round_even((lon + 124) / 2, 0) AS BIGINT) AS cell
+  FROM site WHERE round_even((lat - 25) / 2, 0) BETWEEN 0 AND 12 AND round_even((lon + 124) / 2, 0) BETWEEN 0 AND 29)
+SELECT year, round(sum(cos(radians(lat)) * hw_days) / sum(cos(radians(lat))), 6) + 0.0 AS hw_days,
+   round(sum(cos(radians(lat))) / (SELECT sum(cos(radians(lat))) FROM sited), 6) + 0.0 AS coverage
+FROM sited JOIN counts USING (cell) WHERE hw_days IS NOT NULL GROUP BY year
+""", ("days", "station", "site"))
+def heatwave_at_network_mean(spark, d):
+    return tidy(plans.reduce_at_network(_grid_counts(spark, d), views.site(spark, d), views.GRID, _land(spark),
+                                        views.RADIUS_KM).station_mean)
+
+
+@query("heatwave_counts_at_sites", "WITH " + _GRID_FIELD + _thresholds_sql("fs", "cell") + "," + _counts_sql(
+    "fs", "cell", False) + """,
+sited AS (SELECT unit, CAST(round_even((lat - 25) / 2, 0) * 30 + round_even((lon + 124) / 2, 0) AS BIGINT) AS cell
+  FROM site WHERE round_even((lat - 25) / 2, 0) BETWEEN 0 AND 12 AND round_even((lon + 124) / 2, 0) BETWEEN 0 AND 29)
+SELECT unit, year, hw_days FROM sited JOIN counts USING (cell)
+""", ("days", "station", "site"))
+def heatwave_counts_at_sites(spark, d):
+    return plans.counts_at_network(_grid_counts(spark, d), views.site(spark, d), views.GRID)
 
 
 @query("heatwave_co_sampled", _STATION_IDW.replace("pool AS", "spool AS").replace("FROM pool", "FROM spool")
