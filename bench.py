@@ -27,12 +27,14 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "dayspell-bench")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()  # JVM and reader warm-up
     seconds: dict[str, float] = {}
-    for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+    first: dict[str, float] = {}
+    for turn in (first, seconds):  # the first round compiles; the second one is reported
+        for name in names:
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            turn[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(seconds.values()), 3), "unit": "sec",
-                      "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf")}))
+                      "queries": seconds, "first_round": first, "sf": Path(sf_dir).name.removeprefix("sf")}))
     spark.stop()
 
 

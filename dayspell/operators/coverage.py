@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +44,15 @@ def coverage_matrix(panel: DataFrame, years: tuple[int, int], unit: str = "unit"
 
 
 def keep_complete(panel: DataFrame, span_years: int, min_years: int = RECORD_MIN_YEARS,
-                  min_share: float = RECORD_MIN_SHARE, unit: str = "unit", value: str = "value",
-                  season_days: int = SEASON_DAYS) -> DataFrame:
+                  min_share: float = RECORD_MIN_SHARE, unit: str | Sequence[str] = "unit",
+                  value: str = "value", season_days: int = SEASON_DAYS) -> DataFrame:
     """Rows of units that pass the completeness rule.
 
     Windows over the unit instead of a second scan and a semi join: a unit holds
     at most one row per calendar day, and the records step reuses the same
     partitioning.
     """
-    w = Window.partitionBy(unit)
+    w = Window.partitionBy(*([unit] if isinstance(unit, str) else unit))
     has = F.col(value).isNotNull()
     return (
         panel.withColumn("_y", F.size(F.collect_set(F.when(has, F.col("year"))).over(w)))

@@ -24,6 +24,11 @@ def keep_listed(panel: DataFrame, ids: DataFrame, on: str | Sequence[str] = "uni
     return panel.join(ids, on, "left_semi")
 
 
+def common_ids(a: DataFrame, b: DataFrame, unit: str = "unit") -> DataFrame:
+    """Ids that both tables hold."""
+    return a.select(unit).intersect(b.select(unit))
+
+
 def crosswalk_chain(crosswalk: DataFrame, offset_ids: DataFrame, stations: DataFrame) -> DataFrame:
     """network id -> archive id -> position, for ids that carry offsets.
 

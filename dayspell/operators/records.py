@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,11 @@ from dayspell.defaults import SEASON_DAYS
 from dayspell.functions.dates import month_day
 
 
-def record_credit(panel: DataFrame, unit: str = "unit", day: str = "day",
+def _names(unit: str | Sequence[str]) -> list[str]:
+    return [unit] if isinstance(unit, str) else list(unit)
+
+
+def record_credit(panel: DataFrame, unit: str | Sequence[str] = "unit", day: str = "day",
                   value: str = "value", laid_out: bool = False) -> DataFrame:
     """Rows that hold the all-time maximum of their unit and calendar day.
 
@@ -18,11 +24,12 @@ def record_credit(panel: DataFrame, unit: str = "unit", day: str = "day",
     once (not again when `laid_out` says it already is), and both windows and
     the sums after them stay inside that layout.
     """
+    keys = _names(unit)
     rows = panel.filter(F.col(value).isNotNull())
     if not laid_out:
-        rows = rows.select(unit, day, value).repartition(unit)
+        rows = rows.select(*keys, day, value).repartition(*keys)
     rows = rows.withColumn("month_day", month_day(F.col(day)))
-    w = Window.partitionBy(unit, "month_day")
+    w = Window.partitionBy(*keys, "month_day")
     top = rows.withColumn("_max", F.max(value).over(w)).filter(F.col(value) == F.col("_max"))
     return top.withColumn("credit", F.lit(1.0) / F.count("*").over(w)).drop("_max")
 
@@ -36,7 +43,7 @@ def days_in_two_years(dates: DataFrame, day: str = "day") -> DataFrame:
     )
 
 
-def unit_record_counts(panel: DataFrame, unit: str = "unit", day: str = "day",
+def unit_record_counts(panel: DataFrame, unit: str | Sequence[str] = "unit", day: str = "day",
                        value: str = "value", axis: DataFrame | None = None,
                        laid_out: bool = False) -> DataFrame:
     """Record credit per unit and year. `axis` gives the dataset's dates when they
@@ -44,14 +51,14 @@ def unit_record_counts(panel: DataFrame, unit: str = "unit", day: str = "day",
     credit = record_credit(panel, unit, day, value, laid_out)
     if axis is not None:
         credit = credit.join(days_in_two_years(axis, day), "month_day", "left_semi")
-    return credit.groupBy(unit, F.year(day).alias("year")).agg(F.sum("credit").alias("records"))
+    return credit.groupBy(*_names(unit), F.year(day).alias("year")).agg(F.sum("credit").alias("records"))
 
 
 def record_series(counts: DataFrame, years: tuple[int, int], unit: str = "unit",
-                  weights: DataFrame | None = None) -> DataFrame:
+                  weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Weighted mean record count per year; a year without records is 0.
 
-    `weights` (unit, weight) limits and weighs the units. Every unit with data
+    One series, or one per `by` key. `weights` (unit, weight) limits and weighs the units. Every unit with data
     holds a record, so the units and their total weight come out of the counts
     themselves in the same pass: each unit's first row carries its weight.
     """
@@ -60,17 +67,17 @@ def record_series(counts: DataFrame, years: tuple[int, int], unit: str = "unit",
             weights.select(unit, F.col("weight").cast("double").alias("_w")), unit, "inner")
     else:
         counts = counts.withColumn("_w", F.lit(1.0))
-    first = F.row_number().over(Window.partitionBy(unit).orderBy("year")) == 1
+    first = F.row_number().over(Window.partitionBy(*by, unit).orderBy("year")) == 1
     marked = counts.withColumn("_member", F.when(first, F.col("_w")).otherwise(0.0))
-    yearly = marked.groupBy("year").agg(F.sum(F.col("_w") * F.col("records")).alias("_s"),
+    yearly = marked.groupBy(*by, "year").agg(F.sum(F.col("_w") * F.col("records")).alias("_s"),
                                         F.sum("_member").alias("_m"))
-    # one row holding at most one entry per year
-    whole = yearly.agg(F.sum("_m").alias("_total"), F.map_from_entries(
+    # one row per series, holding at most one entry per year
+    whole = yearly.groupBy(*by).agg(F.sum("_m").alias("_total"), F.map_from_entries(
         F.collect_list(F.struct("year", "_s"))).alias("_by_year"))
     return whole.select(
-        F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))).alias("year"),
+        *by, F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))).alias("year"),
         "_total", "_by_year",
-    ).select("year", F.try_divide(F.coalesce(F.try_element_at("_by_year", "year"), F.lit(0.0)),
+    ).select(*by, "year", F.try_divide(F.coalesce(F.try_element_at("_by_year", "year"), F.lit(0.0)),
                                   F.col("_total")).alias("value"))
 
 

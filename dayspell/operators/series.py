@@ -63,12 +63,13 @@ def _local_line(df: DataFrame, points: str, at: str, out: str) -> DataFrame:
 
 def lowess(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year",
            value: str = "value", years: int = LOWESS_YEARS, passes: int = LOWESS_PASSES,
-           smooth: str = "smooth") -> DataFrame:
+           smooth: str = "smooth", plain: str | None = None) -> DataFrame:
     """LOWESS of every unbroken run: rows with a value plus `smooth`.
 
     The window is the `years` nearest points and slides against the ends of the
     run; a run shorter than the window gets NULL. `passes` robustness passes
-    reweigh by the bisquare of the residual over six median residuals.
+    reweigh by the bisquare of the residual over six median residuals; `plain`
+    names a column for the smooth before them.
     """
     if years % 2 == 0:
         raise ValueError("the window must be odd")
@@ -92,6 +93,8 @@ def lowess(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year"
             F.col("_size") >= years, F.slice("_pts", F.greatest(skip, F.lit(0)) + 1, F.lit(years))))
         df = _local_line(df, "_pts", x, smooth).withColumn(smooth, F.when(
             F.col("_size") >= years, F.coalesce(F.col(smooth), F.col(value).cast("double"))))
+        if turn == 0 and plain:
+            df = df.withColumn(plain, F.col(smooth))
         if turn < passes:
             df = df.withColumn("_res", F.abs(F.col(value) - F.col(smooth)))
             df = df.withColumn("_med", F.median("_res").over(whole))
@@ -212,6 +215,14 @@ def recent_mean(series: DataFrame, window: tuple[int, int], keys: Sequence[str]
         F.when(enough, F.lit(window[1])).otherwise(F.max(x)).alias("last_year"))
 
 
+def decade_means(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year",
+                 values: Sequence[str] = ("value",)) -> DataFrame:
+    """Mean of each value column by decade, for decades with any value."""
+    decade = (F.floor(F.col(x) / 10) * 10).cast("int").alias("decade")
+    live = F.coalesce(*[F.col(v) for v in values]).isNotNull()
+    return series.filter(live).groupBy(*keys, decade).agg(*[F.avg(v).alias(v) for v in values])
+
+
 def anomaly_rows(series: DataFrame, years: Sequence[int], old: tuple[int, int], modern: tuple[int, int],
                  keys: Sequence[str] = ("series",), value: str = "value", x: str = "year",
                  min_years: int = PERIOD_MIN_YEARS) -> DataFrame:
@@ -227,7 +238,8 @@ def anomaly_rows(series: DataFrame, years: Sequence[int], old: tuple[int, int],
         *[single_year(value, y, x).alias(f"y{y}") for y in years],
         period_mean(value, *old, x=x, min_years=min_years).alias("old_mean"),
         F.when((F.count(v) > 0) & (F.count(v) >= need), F.avg(v)).alias("modern_mean"),
-        F.min(end).alias("modern_end"), F.min("_last").alias("last_year"))
+        F.min(end).alias("modern_end"), F.min("_last").alias("last_year"),
+        F.concat_ws("-", F.lit(modern[0]).cast("string"), F.min(end).cast("string")).alias("modern_window"))
 
 
 def column_summary(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year",

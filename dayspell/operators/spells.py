@@ -108,16 +108,16 @@ def exceedance_share(field: DataFrame, eras: dict[str, tuple[int, int]],
     days = thresholds.select(*unit, "threshold", F.inline("own"))
     hot = exceeds(F.col("v"), F.col("threshold"), inclusive=False)
     yearly = days.groupBy(*unit, "year").agg(F.count(F.when(hot, 1)).alias("_hot"))
-    yearly = yearly.join(axis, "year", "inner").withColumn(
-        "_share", F.col("_hot") / F.col("n_axis") * 100.0)
-    columns = []
-    for name, (a, b) in eras.items():
-        inside = F.col("year").between(a, b)
-        n_years = axis.filter(inside).agg(F.count("*")).scalar()
-        total = F.coalesce(F.sum(F.when(inside, F.col("_share"))), F.lit(0.0))
-        columns.append((total, n_years, name))
-    out = yearly.groupBy(*unit).agg(*[t.alias(name) for t, _, name in columns])
-    for _, n_years, name in columns:
-        out = out.withColumn(name, F.try_divide(F.col(name), n_years))
+    # the axis as one value: at most one map entry per year, and the years of every era
+    facts = axis.agg(F.struct(
+        F.map_from_entries(F.collect_list(F.struct("year", "n_axis"))).alias("days"),
+        *[F.count(F.when(F.col("year").between(a, b), 1)).alias(name) for name, (a, b) in eras.items()],
+    )).scalar()
+    share = F.try_divide(F.col("_hot"), F.try_element_at(facts["days"], F.col("year"))) * 100.0
+    yearly = yearly.withColumn("_share", share)
+    totals = yearly.groupBy(*unit).agg(*[
+        F.coalesce(F.sum(F.when(F.col("year").between(a, b), F.col("_share"))), F.lit(0.0)).alias(name)
+        for name, (a, b) in eras.items()])
     names = list(eras)
+    out = totals.select(*unit, *[F.try_divide(F.col(n), facts[n]).alias(n) for n in names])
     return out.withColumn("difference", F.col(names[-1]) - F.col(names[0]))

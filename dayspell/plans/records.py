@@ -19,15 +19,16 @@ def _span(years: tuple[int, int]) -> int:
 
 def complete_unit_counts(panel: DataFrame, years: tuple[int, int] = RECORD_YEARS,
                          min_years: int = RECORD_MIN_YEARS, min_share: float = RECORD_MIN_SHARE,
-                         unit: str = "unit", axis: DataFrame | None = None) -> DataFrame:
+                         unit: str | Sequence[str] = "unit", axis: DataFrame | None = None) -> DataFrame:
     """Record counts per year of the units that pass the completeness rule.
 
     `panel` is (unit, day, year, value), one row per day, season months only.
     Completeness, credit and counts share one layout by unit.
     """
+    keys = [unit] if isinstance(unit, str) else list(unit)
     kept = coverage.keep_complete(
-        panel.select(unit, "day", "year", "value"), _span(years), min_years, min_share, unit)
-    return records.unit_record_counts(kept, unit, axis=axis, laid_out=True)
+        panel.select(*keys, "day", "year", "value"), _span(years), min_years, min_share, keys)
+    return records.unit_record_counts(kept, keys, axis=axis, laid_out=True)
 
 
 def network_series(panel: DataFrame, years: tuple[int, int] = RECORD_YEARS, **kw) -> DataFrame:
@@ -41,13 +42,10 @@ def pair_series(pairs: DataFrame, years: tuple[int, int] = RECORD_YEARS,
 
     The legs share their days, so each leg's own coverage is the same.
     """
-    out = None
-    for leg in ("raw", "adj"):
-        one = pairs.select("unit", "day", F.year("day").alias("year"), F.col(leg).alias("value"))
-        part = network_series(one, years, min_years=min_years, min_share=min_share)
-        part = part.select(F.lit(leg).alias("series"), "year", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    long = pairs.select("unit", "day", F.year("day").alias("year"), "raw", "adj").unpivot(
+        ["unit", "day", "year"], ["raw", "adj"], "series", "value")
+    counts = complete_unit_counts(long, years, min_years, min_share, ("series", "unit"))
+    return records.record_series(counts, years, by=("series",))
 
 
 def grid_counts(field: DataFrame, cells: DataFrame, years: tuple[int, int] = RECORD_YEARS,
@@ -110,9 +108,10 @@ def sampling_factor(full: DataFrame, sampled: DataFrame, years: int = LOWESS_YEA
         return joins.ratio_of(full, sampled)
     both = full.select(F.lit("full").alias("series"), "year", "value").unionByName(
         sampled.select(F.lit("sampled").alias("series"), "year", "value"))
-    smoothed = series.lowess(both, years=years).select("series", "year", F.col("smooth").alias("value"))
-    legs = [smoothed.filter(F.col("series") == s).select("year", "value") for s in ("full", "sampled")]
-    return joins.ratio_of(*legs)
+    side = {s: F.max(F.when(F.col("series") == s, F.col("smooth"))) for s in ("full", "sampled")}
+    # one smoothing pass over both, set side by side per year
+    return series.lowess(both, years=years).groupBy("year").agg(
+        F.try_divide(side["full"], side["sampled"]).alias("value"))
 
 
 def sampling_correction(target: DataFrame, full: DataFrame, sampled: DataFrame,
@@ -129,14 +128,9 @@ def robustness_table(all_series: DataFrame, era: tuple[int, int] = (1930, 1939),
                      years: int = LOWESS_YEARS, passes: int = 3,
                      keys: Sequence[str] = ("series",)) -> DataFrame:
     """Peak of an era: annual, plain smooth and robust smooth, and how much it is lowered."""
+    smoothed = series.lowess(all_series, keys, years=years, passes=passes, plain="plain")
     inside = F.col("year").between(*era)
-
-    def peak(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.filter(inside).groupBy(*keys).agg(F.max(column).alias(name))
-
-    plain = series.lowess(all_series, keys, years=years)
-    robust = series.lowess(all_series, keys, years=years, passes=passes)
-    out = peak(all_series, "value", "annual").join(
-        peak(plain, "smooth", "smooth_plain"), list(keys), "left").join(
-        peak(robust, "smooth", "smooth_robust"), list(keys), "left")
+    out = smoothed.groupBy(*keys).agg(*[
+        F.max(F.when(inside, F.col(c))).alias(name)
+        for c, name in (("value", "annual"), ("plain", "smooth_plain"), ("smooth", "smooth_robust"))])
     return out.withColumn("lowered", 1 - F.try_divide("smooth_robust", "smooth_plain"))

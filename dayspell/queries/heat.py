@@ -158,6 +158,13 @@ def heatwave_idw_series(spark, d):
     return tidy(_reduced(spark, d).series)
 
 
+@query("heatwave_idw_coverage", _STATION_IDW + """
+SELECT year, round(sum(cos(radians(lat))) / (SELECT sum(cos(radians(lat))) FROM land), 6) + 0.0 AS coverage
+FROM idw JOIN land USING (cell) GROUP BY year""", _USES)
+def heatwave_idw_coverage(spark, d):
+    return tidy(_reduced(spark, d).coverage)
+
+
 @query("heatwave_idw_fixed_cells", _STATION_IDW + """,
 fixed AS (SELECT * FROM land WHERE cell IN (SELECT cell FROM idw GROUP BY cell
           HAVING count(*) = (SELECT count(DISTINCT year) FROM idw)))""" + _AREA.format(field="idw", dom="fixed"), _USES)

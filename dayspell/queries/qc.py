@@ -175,6 +175,14 @@ def site_geography(spark, d):
         rounded(geo.radial_km(F.lit(40.0), F.lit(-100.0), lat, lon), 5).alias("radial_km"))
 
 
+@query("common_units", """
+SELECT unit FROM daily WHERE tmax IS NOT NULL AND tmin >= 48 INTERSECT SELECT unit FROM station WHERE land
+""", ("daily", "station"))
+def common_units(spark, d):
+    both = views.daily(spark, d).filter("tmax IS NOT NULL AND tmin >= 48")
+    return joins.common_ids(both, views.station(spark, d).filter("land"))
+
+
 @query("guard_incomplete_years", """
 SELECT unit, year, count(*) AS n_days FROM panel GROUP BY ALL HAVING count(*) <> 153
 """, ("panel",))

@@ -156,7 +156,8 @@ SELECT series, round(max(CASE WHEN year = 1996 THEN value END), 6) + 0.0 AS y199
        CASE WHEN count(value) FILTER (WHERE year BETWEEN 1999 AND least(lv, 2001)) >= least(2, min(least(lv, 2001)) - 1998)
              AND count(value) FILTER (WHERE year BETWEEN 1999 AND least(lv, 2001)) > 0
             THEN round(avg(value) FILTER (WHERE year BETWEEN 1999 AND least(lv, 2001)), 6) + 0.0 END AS modern_mean,
-       CAST(min(least(lv, 2001)) AS INTEGER) AS modern_end, CAST(min(lv) AS INTEGER) AS last_year
+       CAST(min(least(lv, 2001)) AS INTEGER) AS modern_end, CAST(min(lv) AS INTEGER) AS last_year,
+       '1999-' || CAST(min(least(lv, 2001)) AS VARCHAR) AS modern_window
 FROM e WHERE lv IS NOT NULL GROUP BY series
 """, ("days",))
 def anomaly_table(spark, d):
@@ -174,6 +175,14 @@ def era_ratio(spark, d):
     return tidy(series.era_ratio(yearly(spark, d), *views.ERAS.values()))
 
 
+@query("decade_means", """
+SELECT series, CAST(year // 10 * 10 AS INTEGER) AS decade, round(avg(value), 6) + 0.0 AS value
+FROM month_series GROUP BY ALL
+""", ("month_series",))
+def decade_means(spark, d):
+    return tidy(series.decade_means(views.month_series(spark, d)))
+
+
 @query("recent_mean", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY year DESC) AS k FROM month_series WHERE value < 27)
 SELECT series, round(CASE WHEN c >= 5 THEN w ELSE l END, 6) + 0.0 AS recent,

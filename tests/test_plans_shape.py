@@ -6,7 +6,9 @@ import pytest
 from conftest import DATA, plan_text, rows
 from pyspark.sql import functions as F
 
-from dayspell.operators import gridding, qc, records, spatial, spells
+from dayspell.operators import coverage, gridding, qc, records, spatial, spells
+from dayspell.plans import heat
+from dayspell.plans import records as plans
 from dayspell.queries import QUERIES
 
 SF = f"{DATA}/sf0.001"
@@ -28,9 +30,15 @@ def test_heat_waves_need_one_shuffle(spark):
     assert text.count("Exchange hashpartitioning(unit") == 1 and text.count("Exchange ") == 1
 
 
+def test_the_lossless_screen_costs_no_shuffle(spark):
+    screened = coverage.lossless_screen(_season(spark))
+    assert plan_text(spells.heatwave_counts(screened, laid_out=True)).count("Exchange ") == 1
+
+
 def test_records_need_one_shuffle(spark):
     text = plan_text(records.unit_record_counts(_season(spark)))
     assert text.count("Exchange ") == 1
+    assert plan_text(plans.complete_unit_counts(_season(spark))).count("Exchange ") == 1
 
 
 def test_first_row_uses_a_partial_hash_aggregate(spark):
@@ -81,3 +89,21 @@ def test_a_crowded_bucket_keeps_every_pair(spark):
     near = spatial.near_pairs(cells, crowd, 150.0)
     out = {r["cell"]: r for r in rows(gridding.nearest_idw(values, near, k=8))}
     assert max(r["n_stations"] for r in out.values()) == 8
+
+
+def test_a_crowded_network_is_summed_per_source_cell(spark):
+    """A third of the stations share one cell; summed weights equal one pseudo station each."""
+    grid = spatial.Grid(25.0, 2.0, 13, -124.0, 2.0, 30)
+    cells = grid.cells(spark).select("cell", "lat", "lon")
+    st = spark.range(600).select(
+        F.col("id").alias("unit"), F.when(F.col("id") < 200, 39.0 + F.col("id") % 9 / 10).otherwise(25.0 + F.col("id") % 240 / 10.0).alias("lat"),
+        F.when(F.col("id") < 200, -100.0 + F.col("id") % 7 / 10).otherwise(-124.0 + F.col("id") % 580 / 10.0).alias("lon"))
+    counts = cells.select("cell", F.explode(F.sequence(F.lit(2000), F.lit(2002))).alias("year")).withColumn(
+        "hw_days", F.when((F.col("cell") + F.col("year")) % 7 != 0, (F.col("cell") * 3 + F.col("year")) % 29))
+    a = heat.reduce_at_network(counts, st, grid, cells, 150.0)
+    b = heat.reduce_stations(heat.counts_at_network(counts, st, grid), st, cells, 150.0)
+    for x, y in ((a.field, b.field), (a.series, b.series), (a.fixed_series, b.fixed_series)):
+        left, right = (rows(t, *[c for c in ("cell", "year") if c in t.columns]) for t in (x, y))
+        assert len(left) == len(right) > 0
+        assert all(p["hw_days"] == pytest.approx(q["hw_days"]) and p.get("n_stations") == q.get("n_stations")
+                   for p, q in zip(left, right))
