@@ -106,7 +106,8 @@ def _candidates(cells: DataFrame, stations: DataFrame, angle: float, salts: int)
 
     A station lies in one bucket. A cell is repeated per bucket its cap touches,
     and per salt; the station picks one salt, so a bucket with very many stations
-    is spread over `salts` tasks.
+    is spread over `salts` tasks. Stations are few bytes but much trigonometry, so
+    their partition count is fixed: sized by bytes, they would end up in one task.
     """
     c = cells.select(
         "cell", F.col("lat").alias("clat"), F.col("lon").alias("clon"),
@@ -119,7 +120,9 @@ def _candidates(cells: DataFrame, stations: DataFrame, angle: float, salts: int)
         F.pmod(F.floor(lon / _LON_BIN).cast("int"), F.lit(_LON_BINS)).alias("_bj"),
         F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("int").alias("_salt"),
     )
-    return c.join(s, ["_bi", "_bj", "_salt"], "inner")
+    keys = ["_bi", "_bj", "_salt"]
+    wanted = stations.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    return c.join(s.repartition(int(wanted) if wanted.isdigit() else 200, *keys), keys, "inner")
 
 
 def near_pairs(cells: DataFrame, stations: DataFrame, radius_km: float,

@@ -124,7 +124,9 @@ def month_series(spark: SparkSession, d: str) -> DataFrame:
 
 def offsets(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic monthly adjustments (unit, year, month, elem, offset in hundredths, flag)."""
-    months = daily(spark, d).select("unit", F.year("day").alias("year"), F.month("day").alias("month")).distinct()
+    # a unit has a daily row in a month when any of its rows there passes quality control
+    months = qc.keep_unflagged(obs(spark, d)).select(
+        "unit", F.year("day").alias("year"), F.month("day").alias("month")).distinct()
     u, y, m = F.col("unit"), F.col("year"), F.col("month")
     rows = months.select("unit", "year", "month", F.explode(F.array(*[
         F.struct(F.lit(e).alias("elem"), F.lit(k).alias("k"))
