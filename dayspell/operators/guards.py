@@ -71,3 +71,14 @@ def enforce(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """Fail the job on the first row that breaks `condition`."""
     checked = F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
     return df.filter(checked)
+
+
+def require_empty(violations: DataFrame, message: str) -> None:
+    """Run the guard now and fail when it finds anything: refuse a partial input."""
+    if not violations.isEmpty():
+        raise ValueError(message)
+
+
+def require_units(found: str, expected: tuple[str, ...] = ("degC", "celsius", "C")) -> None:
+    if found.strip().lower() not in {e.lower() for e in expected}:
+        raise ValueError(f"unexpected unit {found!r}; wanted one of {expected}")

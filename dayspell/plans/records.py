@@ -55,7 +55,7 @@ def grid_counts(field: DataFrame, cells: DataFrame, years: tuple[int, int] = REC
     read from the field when the caller has no cheaper list."""
     axis = field if axis is None else axis
     own = joins.keep_listed(field, domain_cells(cells, min_fraction).select("cell"), "cell")
-    season = qc.in_months(own, years=years)
+    season = qc.in_months(own, years=years).withColumn("year", F.year("day"))
     return complete_unit_counts(season, years, unit="cell", axis=qc.in_months(axis, years=years), **kw)
 
 
