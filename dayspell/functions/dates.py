@@ -55,8 +55,14 @@ def format_yyyymmdd(day: Column) -> Column:
 
 
 def epoch_hours(ts: Column) -> Column:
-    """Whole hours since 1970-01-01 00 UTC."""
-    return F.floor(F.unix_timestamp(ts.cast("timestamp")) / 3600).cast("bigint")
+    """Whole hours since 1970-01-01 00 UTC of an instant (TimestampType)."""
+    return F.floor(F.unix_timestamp(ts) / 3600).cast("bigint")
+
+
+def epoch_hours_utc_clock(ts: Column) -> Column:
+    """The same for a zone-less timestamp that shows UTC; the session's zone plays no part."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("MICROSECOND", start, ts) / 3.6e9).cast("bigint")
 
 
 def day_spine(

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.functions.dates import epoch_hours
+from dayspell.functions.dates import epoch_hours_utc_clock
 from dayspell.operators import qc
 from dayspell.operators.spatial import Grid
 
@@ -107,7 +107,7 @@ def samples(spark: SparkSession, d: str, step: int = 3) -> DataFrame:
     """Sub-daily values (cell, lat, lon, hours, value): means of event values per slot."""
     e = table(spark, d, "events").select(
         F.floor(F.col("user_id") / 19).alias("cell"),
-        (F.floor(epoch_hours(F.col("ts")) / step) * step).alias("hours"),
+        (F.floor(epoch_hours_utc_clock(F.col("ts")) / step) * step).alias("hours"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     slots = e.groupBy("cell", "hours").agg(
         (F.sum("cents") / F.count("*") / 100.0).alias("value"))

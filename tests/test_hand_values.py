@@ -287,3 +287,24 @@ def test_recent_and_rows(spark):
     assert (row["modern_mean"], row["modern_end"], row["last_year"]) == (2008.5, 2010, 2010)
     assert math.isclose(rows(series.full_window_trend(s, 1990, 2010))[0]["trend"], 100.0)
     assert rows(series.full_window_trend(s, 1980, 2010))[0]["trend"] is None
+
+
+def test_sample_hours_ignore_the_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00' AS a, TIMESTAMP_NTZ'1969-12-31 23:59:59.5' AS b, "
+                       "TIMESTAMP'1969-12-31T23:30:00Z' AS c")
+        got = df.select(dates.epoch_hours_utc_clock(F.col("a")), dates.epoch_hours_utc_clock(F.col("b")),
+                        dates.epoch_hours(F.col("c"))).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert tuple(got) == (475010, -1, -1)
+
+
+def test_checkpoints_go_to_the_named_folder(spark, tmp_path):
+    from dayspell.session import checkpointed
+
+    df = checkpointed(spark.range(5).withColumn("x", F.col("id") * 2))
+    assert df.count() == 5 and "Range" not in df._jdf.queryExecution().logical().toString()
+    assert spark.sparkContext.getCheckpointDir() is not None
