@@ -61,8 +61,8 @@ def epoch_hours(ts: Column) -> Column:
 
 def epoch_hours_utc_clock(ts: Column) -> Column:
     """The same for a zone-less timestamp that shows UTC; the session's zone plays no part."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.floor(F.timestamp_diff("MICROSECOND", start, ts) / 3.6e9).cast("bigint")
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date"))
+    return (days.cast("bigint") * 24 + F.hour(ts)).cast("bigint")
 
 
 def day_spine(
