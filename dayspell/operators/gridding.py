@@ -90,7 +90,7 @@ def count_idw(counts: DataFrame, pairs: DataFrame, radius_km: float, by: Sequenc
     return weighted_counts(counts, radius_weights(pairs, radius_km), by, value, **rule)
 
 
-def _domain(cells: DataFrame, lat_bounds, lon_bounds) -> Column:
+def _inside(lat_bounds, lon_bounds) -> Column:
     inside = F.col("lat").between(*lat_bounds)
     return inside if lon_bounds is None else inside & lon_between(F.col("lon"), *lon_bounds)
 
@@ -103,9 +103,13 @@ def cosine_mean(field: DataFrame, cells: DataFrame, by: Sequence[str] = ("year",
 
     `cells` holds the domain, its mask already applied: (key, lat, lon).
     """
-    domain = cells.filter(_domain(cells, lat_bounds, lon_bounds)).select(
-        key, cos_lat(F.col("lat")).alias("weight"))
-    return mean_over(field, domain, by, value, key)
+    return mean_over(field, cosine_domain(cells, lat_bounds, lon_bounds, key), by, value, key)
+
+
+def cosine_domain(cells: DataFrame, lat_bounds: tuple[float, float] = BAND_LAT,
+                  lon_bounds: tuple[float, float] | None = None, key: str = "cell") -> DataFrame:
+    """Cells inside the bounds with weight = cos(lat)."""
+    return cells.filter(_inside(lat_bounds, lon_bounds)).select(key, cos_lat(F.col("lat")).alias("weight"))
 
 
 def mean_over(field: DataFrame, domain: DataFrame, by: Sequence[str] = ("year",), value: str = "value",
@@ -129,6 +133,28 @@ def fixed_cells(field: DataFrame, value: str = "hw_days", key: str = "cell") ->
     return per_cell.filter(F.col("_n") == n_years).select(key)
 
 
+def fixed_cells_mean(field: DataFrame, domain: DataFrame, value: str = "hw_days",
+                     key: str = "cell") -> DataFrame:
+    """Weighted mean per year over the cells that carry a value in every year: (year, value).
+
+    One pass over the field. Sums are kept per year and per number of years a cell
+    has, a table no larger than years squared, and that table then tells how many
+    years there are in all.
+    """
+    live = field.filter(F.col(value).isNotNull()).select(key, "year", value)
+    counted = live.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    w = F.coalesce(F.col("_w"), F.lit(0.0))
+    sums = (
+        counted.join(domain.select(key, F.col("weight").alias("_w")), key, "left")
+        .groupBy("year", "_n").agg(F.sum(w * F.col(value)).alias("_wv"), F.sum(w).alias("_ws"))
+    )
+    table = sums.agg(F.collect_list(F.struct("year", "_n", "_wv", "_ws")).alias("_t"))
+    n_years = F.size(F.array_distinct(F.transform("_t", lambda r: r["year"])))
+    rows = table.select(n_years.alias("_all"), F.inline("_t"))
+    return rows.filter((F.col("_n") == F.col("_all")) & (F.col("_ws") > 0)).select(
+        "year", (F.col("_wv") / F.col("_ws")).alias(value))
+
+
 def mask_similarity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("cell",)) -> DataFrame:
     """Jaccard index of two sets of cells; 0 when both are empty."""
     both = a.select(*keys, F.lit(1).alias("_a")).join(

@@ -43,21 +43,20 @@ class StationReduction:
     field: DataFrame          # (cell, year, hw_days, n_stations), accepted cells
     coverage: DataFrame       # (year, coverage), cos(lat) share of all masked cells accepted
     series: DataFrame         # (year, hw_days, coverage), both within the latitude bounds
-    fixed_series: DataFrame   # the same over cells accepted in every year
+    fixed_series: DataFrame   # (year, hw_days), the same over cells accepted in every year
     station_mean: DataFrame   # (year, hw_days, coverage), mean over stations
 
 
 def _reduce(counts: DataFrame, weights: DataFrame, cells: DataFrame, station_weights: DataFrame,
             lat_bounds, lon_bounds, **rule) -> StationReduction:
     field = gridding.weighted_counts(counts, weights, **rule)
-    fixed = cells.join(gridding.fixed_cells(field), "cell", "left_semi")
     on = dict(value="hw_days", lat_bounds=lat_bounds, lon_bounds=lon_bounds)
     domain = cells.select("cell", cos_lat(F.col("lat")).alias("weight"))
     return StationReduction(
         field,
         gridding.mean_over(field, domain, value="hw_days").select("year", "coverage"),
         gridding.cosine_mean(field, cells, **on),
-        gridding.cosine_mean(field, fixed, **on),
+        gridding.fixed_cells_mean(field, gridding.cosine_domain(cells, lat_bounds, lon_bounds)),
         gridding.mean_over(counts, station_weights, value="hw_days", key="unit"),
     )
 

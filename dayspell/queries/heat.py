@@ -167,11 +167,18 @@ def heatwave_idw_coverage(spark, d):
 
 @query("heatwave_idw_fixed_cells", _STATION_IDW + """,
 fixed AS (SELECT * FROM land WHERE cell IN (SELECT cell FROM idw GROUP BY cell
-          HAVING count(*) = (SELECT count(DISTINCT year) FROM idw)))""" + _AREA.format(field="idw", dom="fixed"), _USES)
+          HAVING count(*) = (SELECT count(DISTINCT year) FROM idw)))
+SELECT year, hw_days FROM (""" + _AREA.format(field="idw", dom="fixed") + ")", _USES)
 def heatwave_idw_fixed_cells(spark, d):
     return tidy(_reduced(spark, d).fixed_series)
 
 
+@query("heatwave_fixed_cell_list", _STATION_IDW + """
+SELECT cell FROM idw GROUP BY cell HAVING count(*) = (SELECT count(DISTINCT year) FROM idw)""", _USES)
+def heatwave_fixed_cell_list(spark, d):
+    return gridding.fixed_cells(_reduced(spark, d).field)
+
+
 @query("heatwave_at_network", "WITH " + _GRID_FIELD + _thresholds_sql("fs", "cell") + "," + _counts_sql(
     "fs", "cell", False) + """,
 sited AS (SELECT unit, lat, lon, CAST(round_even((lat - 25) / 2, 0) * 30 + round_even((lon + 124) / 2, 0) AS BIGINT) AS cell
