@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dayspell.llm import codeword_lang, piece_counts, url_aliases
+from dayspell.llm import codeword_lang, label_shards, piece_counts, url_aliases, weighted_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,86 @@ left join alias a on a.node = s.host || regexp_extract(s.rest, '^[^/?#]*([^#]*)'
 @query("op6_url_aliases", OP6_SQL)
 def op6_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_aliases.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op2_label_shards")
+def op2_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_shards.balanced_shards(table(spark, sf_dir, "documents"))
+
+
+#: A source's domain is its number modulo four.
+DOMAINS = {0: "web", 1: "books", 2: "code", 3: "forum"}
+DOMAIN_WEIGHTS = {"web": 40, "books": 30, "code": 20, "forum": 10}
+LANG_WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 10}
+
+
+def source_domain():
+    number = F.regexp_extract("source", r"([0-9]+)$", 1)
+    out = F.lit("other")
+    for k, name in DOMAINS.items():
+        out = F.when((number != "") & (number.try_cast("long") % 4 == k), F.lit(name)).otherwise(out)
+    return out
+
+
+def corpus_mix(share: float, epochs: int) -> weighted_mix.Mix:
+    return weighted_mix.Mix(source_domain(), DOMAIN_WEIGHTS, LANG_WEIGHTS, share=share, epochs=epochs)
+
+
+def _fill_sql(nodes: str, parents: str) -> str:
+    """SQL of one level: nodes(domain, [lang, [source,]] name, cap, weight, given) -> the same with got."""
+    part = f"partition by {parents}" if parents else ""
+    return f"""
+    select *, case when is_full then cap else shared + case when turn <= over_by then 1 else 0 end end as got
+    from (select *, left_over - sum(case when is_full then 0 else shared end) over ({part}) as over_by,
+                 row_number() over ({part} order by is_full, name) as turn
+          from (select *, case when is_full then cap else (left_over * weight) // weights end as shared
+                from (select *, given - sum(case when is_full then cap else 0 end) over ({part}) as left_over,
+                             sum(case when is_full then 0 else weight end) over ({part}) as weights
+                      from (select *, caps * weight + cap * rest_weight <= given * weight as is_full
+                            from (select *, sum(cap) over ({part} order by cap::double / weight::double, name rows unbounded preceding) as caps,
+                                         coalesce(sum(weight) over ({part} order by cap::double / weight::double, name rows between 1 following and unbounded following), 0) as rest_weight
+                                  from {nodes})))))"""
+
+
+OP3_SQL = rf"""
+with counted as (
+    select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           coalesce(case try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint) % 4
+               when 0 then 'web' when 1 then 'books' when 2 then 'code' when 3 then 'forum' end, 'other') as domain,
+           len(regexp_extract_all(text, '[^ 	-]+')) as tokens
+    from documents where len(regexp_extract_all(text, '[^ 	-]+')) > 0),
+leaves as (
+    select domain, lang, source, sum(tokens)::hugeint as tokens, sum(tokens)::hugeint * 2 as cap,
+           case domain when 'web' then 40 when 'books' then 30 when 'code' then 20 when 'forum' then 10 else 1 end::hugeint as w1,
+           case lang when 'en' then 50 when 'de' then 20 when 'fr' then 20 when 'es' then 10 else 1 end::hugeint as w2
+    from counted group by all),
+n1 as (select domain, domain as name, sum(cap)::hugeint as cap, max(w1) as weight,
+              (select least(floor(sum(tokens) * 0.9)::hugeint, sum(cap)::hugeint) from leaves) as given
+       from leaves group by domain),
+g1 as ({_fill_sql('n1', '')}),
+n2 as (select l.domain, l.lang, l.lang as name, sum(l.cap)::hugeint as cap, max(w2) as weight, max(got)::hugeint as given
+       from leaves l join g1 on l.domain = g1.domain group by l.domain, l.lang),
+g2 as ({_fill_sql('n2', 'domain')}),
+n3 as (select l.domain, l.lang, l.source, l.source as name, l.cap, 1::hugeint as weight, got::hugeint as given
+       from leaves l join g2 on l.domain = g2.domain and l.lang = g2.lang),
+g3 as ({_fill_sql('n3', 'domain, lang')}),
+budgets as (select l.domain, l.lang, l.source, (got // l.tokens)::int as full_epochs, got % l.tokens as rest
+            from g3 join leaves l on g3.domain = l.domain and g3.lang = l.lang and g3.source = l.source where got > 0),
+ranked as (
+    select c.*, b.full_epochs, b.rest,
+           coalesce(sum(c.tokens) over (partition by c.domain, c.lang, c.source
+               order by md5('mix:' || b.full_epochs || ':' || coalesce(c.doc_id::varchar, '')), c.doc_id, c.tokens
+               rows between unbounded preceding and 1 preceding), 0) as ahead
+    from counted c join budgets b on c.domain = b.domain and c.lang = b.lang and c.source = b.source)
+select doc_id, domain, lang, source, tokens, epoch::int as epoch, tokens::bigint as taken
+from (select *, unnest(range(full_epochs)) as epoch from ranked)
+union all
+select doc_id, domain, lang, source, tokens, full_epochs::int as epoch, least(tokens, rest - ahead)::bigint as taken
+from ranked where rest > ahead
+"""
+
+
+@query("op3_weighted_mix", OP3_SQL)
+def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = weighted_mix.select_mix(table(spark, sf_dir, "documents"), corpus_mix(share=0.9, epochs=2))
+    return chosen.select("m_doc.doc_id", "domain", "lang", "source", "tokens", "epoch", "taken")
