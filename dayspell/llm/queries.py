@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.llm import codeword_lang, label_shards, piece_counts, url_aliases, weighted_mix
+from dayspell.llm import codeword_lang, label_shards, piece_counts, prefix_trie_join, url_aliases, weighted_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,8 @@ from ranked where rest > ahead
 def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = weighted_mix.select_mix(table(spark, sf_dir, "documents"), corpus_mix(share=0.9, epochs=2))
     return chosen.select("m_doc.doc_id", "domain", "lang", "source", "tokens", "epoch", "taken")
+
+
+@query("op10_prefix_trie_join")
+def op10_prefix_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie_join.similar_groups(table(spark, sf_dir, "documents"))
