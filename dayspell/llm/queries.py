@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.llm import codeword_lang, label_shards, piece_counts, prefix_trie_join, url_aliases, weighted_mix
+from dayspell.llm import codeword_lang, label_shards, piece_counts, prefix_trie_join, subsequence_svm, url_aliases, weighted_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,8 +141,10 @@ with counted as (
     select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
            coalesce(case try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint) % 4
                when 0 then 'web' when 1 then 'books' when 2 then 'code' when 3 then 'forum' end, 'other') as domain,
-           len(regexp_extract_all(text, '[^ 	-]+')) as tokens
-    from documents where len(regexp_extract_all(text, '[^ 	-]+')) > 0),
+           len(regexp_extract_all(text, '[^ 	-
+]+')) as tokens
+    from documents where len(regexp_extract_all(text, '[^ 	-
+]+')) > 0),
 leaves as (
     select domain, lang, source, sum(tokens)::hugeint as tokens, sum(tokens)::hugeint * 2 as cap,
            case domain when 'web' then 40 when 'books' then 30 when 'code' then 20 when 'forum' then 10 else 1 end::hugeint as w1,
@@ -183,3 +185,8 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_prefix_trie_join")
 def op10_prefix_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_subsequence_svm")
+def op5_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subsequence_svm.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
