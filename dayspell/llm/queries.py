@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.llm import codeword_lang, label_shards, piece_counts, prefix_trie_join, subsequence_svm, url_aliases, weighted_mix
+from dayspell.llm import codeword_lang, label_shards, piece_counts, prefix_trie_join, subsequence_svm, template_leaks, url_aliases, weighted_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +190,50 @@ def op10_prefix_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_subsequence_svm")
 def op5_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subsequence_svm.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _template_sql(source: str, key: str) -> str:
+    units = ", ".join(f"'{u}'" for u in template_leaks.UNITS)
+    return rf"""
+    select {key}, raw, [case
+        when raw[i][1] between '0' and '9' then '#number'
+        when lower(raw[i][1]) <> raw[i][1] and raw[i][2] <> '' and lower(raw[i][2]) = raw[i][2] then '#name'
+        when i > 1 and raw[i - 1][1] between '0' and '9' and lower(raw[i]) in ({units}) then '#unit'
+        else lower(raw[i]) end for i in range(1, len(raw) + 1)] as code
+    from (select {key}, regexp_extract_all(text, '(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|\p{{L}}[\p{{L}}\p{{M}}''’]*)', 1) as raw
+          from {source} where text is not null)"""
+
+
+OP4_SQL = f"""
+with items as ({_template_sql('benchmark', 'item_id')}),
+item_windows as (
+    select distinct on (item_id, pos, win) * from (
+        select item_id, pos, code[pos + 1 : pos + 5] as win, [case when code[k] in ('#number', '#name', '#unit') then raw[k] end for k in range(pos + 1, pos + 6)] as slots
+        from (select *, unnest(range(greatest(len(code) - 4, 0))) as pos from items))
+    where len([x for x in slots if x is null]) >= 2),
+known as (select w.*, n.windows from item_windows w join (select item_id, count(distinct pos) as windows from item_windows group by item_id) n
+          on w.item_id is not distinct from n.item_id),
+docs as ({_template_sql('documents', 'doc_id')}),
+doc_windows as (
+    select doc_id, i, code[i + 1 : i + 5] as win, [case when code[k] in ('#number', '#name', '#unit') then raw[k] end for k in range(i + 1, i + 6)] as seen
+    from (select *, unnest(range(greatest(len(code) - 4, 0))) as i from docs)),
+met as (select doc_id, item_id, windows, pos, i - pos as shift, seen, slots from doc_windows d join known k on d.win = k.win),
+pairs as (
+    select doc_id, item_id, shift, count(distinct v) as values_, count(distinct o) as others, count(distinct (v, o)) as pairs
+    from (select doc_id, item_id, shift, unnest(slots) as v, unnest(seen) as o from met) where v is not null
+    group by all),
+consistent as (
+    select m.* from met m left join pairs p on m.doc_id is not distinct from p.doc_id and m.item_id is not distinct from p.item_id
+        and m.shift = p.shift where p.shift is null or p.pairs * 0.8 <= least(p.values_, p.others)),
+found as (select doc_id, item_id, count(distinct pos) as matched, max(windows) as windows from consistent group by doc_id, item_id),
+kept as (select doc_id, item_id, max(values_) as slots, max(case when pairs * 0.8 <= least(values_, others) then values_ end) as slots_kept
+         from pairs group by doc_id, item_id)
+select f.doc_id, f.item_id, matched, windows, matched / windows as share_matched, coalesce(slots, 0) as slots, coalesce(slots_kept, 0) as slots_kept
+from found f left join kept k on f.doc_id is not distinct from k.doc_id and f.item_id is not distinct from k.item_id
+where matched >= 0.8 * windows
+"""
+
+
+@query("op4_template_leaks", OP4_SQL)
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -250,8 +250,8 @@ def learn(sample: pd.DataFrame, landmarks: int = 96, rounds: int = 4, most_negat
             break
         # who is to blame: the worst unit of each toxic text, where enough other texts hold it or it looks like those
         worst = {int(units[np.argmax(everything[units])]) for units, bad, j in zip(texts, toxic, judge, strict=True) if bad and not j}
-        found = [i for i in worst if clean[i] < 0.02 * dirty[i] + 0.5 and (everything[i] > 0 or evidence[i] >= 6)]
-        likely = np.flatnonzero((everything > 0) & (clean == 0) & (dirty >= 1))
+        found = [i for i in worst if clean[i] < 0.02 * dirty[i] + 0.5 and (everything[i] > 0.5 or evidence[i] >= 6)]
+        likely = np.flatnonzero((everything > 0.5) & (clean == 0) & (dirty >= 1))
         blamed = np.union1d(blamed[lift[blamed] > 2], np.union1d(np.array(found, dtype=int), likely)).astype(int)
         hard = ordinary[np.argsort(-everything[ordinary], kind="stable")[: most_negatives // 2]]
         negative = np.setdiff1d(np.union1d(negative[: most_negatives // 2], hard), blamed)
