@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.llm import codeword_lang, label_shards, piece_counts, prefix_trie_join, subsequence_svm, template_leaks, url_aliases, weighted_mix
+from dayspell.llm import codeword_lang, label_shards, page_text, piece_counts, prefix_trie_join, subsequence_svm, template_leaks, url_aliases, weighted_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -237,3 +237,8 @@ where matched >= 0.8 * windows
 @query("op4_template_leaks", OP4_SQL)
 def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_page_text")
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(table(spark, sf_dir, "pages"))
