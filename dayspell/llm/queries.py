@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.llm import codeword_lang, label_shards, page_text, piece_counts, prefix_trie_join, subsequence_svm, template_leaks, url_aliases, weighted_mix
+from dayspell.llm import codeword_lang, label_shards, page_text, piece_counts, prefix_trie_join, subsequence_svm, template_leaks, url_aliases, wand_search, weighted_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +242,9 @@ def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_page_text")
 def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op7_wand_search")
+def op7_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return wand_search.top_matches(documents, documents.where("doc_id % 50 = 0"))
