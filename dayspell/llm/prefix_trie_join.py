@@ -307,3 +307,11 @@ def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, star
     result = known.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"),
                          F.coalesce("class_component", "doc_id").alias("component_id"))
+
+
+def without_copies(documents: DataFrame, **how: int) -> DataFrame:
+    """The rows of `documents` that have their component's smallest id, or no id; all columns stay."""
+    groups = similar_groups(documents, **how)
+    copies = staged(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct())
+    near = F.broadcast(copies) if copies.count() <= MOST_IDS else copies
+    return documents.join(near, documents["doc_id"] == near["copy"], "left_anti")
