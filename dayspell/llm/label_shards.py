@@ -52,25 +52,35 @@ def _held(parts: DataFrame, shards: int) -> list[int]:
 def propagate(parts: DataFrame, quotas: list[int], rounds: int = 8, buckets: int = 1024) -> DataFrame:
     """Moves the counts of `parts` (digest, shard, n) until no move helps or has room.
 
-    Each round joins every part with its group's best shard that has room (most members; of equals the lower shard). A
-    part that holds fewer moves there; of all that wish to enter a shard, those come first that the running sum in
-    hash order lets in, the last one in part.
+    Each round joins every part with its group's best shard (most members; equal ones by a hash) and lets it move there
+    if it holds fewer. A shard takes in what its quota leaves and, in every other round, as much as wishes to leave
+    it, so full shards can swap; the rounds between look only at shards with room. Of all that wish to enter a shard,
+    those come in that the running sum in hash order allows, the last one in part.
     """
-    shards = len(quotas)
-    for _ in range(rounds):
+    shards, idle = len(quotas), 0
+    draw = F.xxhash64("digest", "shard")
+    for turn in range(rounds):
         held = _held(parts, shards)
         room = [max(0, q - h) for q, h in zip(quotas, held, strict=True)]
-        best = (parts.where(_by_shard(room) > 0).groupBy("digest")
-                .agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("top"))
-                .select("digest", (-F.col("top.low")).alias("to"), F.col("top.n").alias("most")))
-        wish = (parts.join(best, "digest")
-                .where("shard <> to and (n < most or (n = most and shard > to))").select("digest", "shard", "to", "n"))
+        swaps = turn % 2 == 0
+        best = (parts.where(_by_shard([int(swaps or r > 0) for r in room]) > 0).groupBy("digest")
+                .agg(F.max(F.struct("n", draw.alias("draw"), "shard")).alias("top"))
+                .select("digest", F.col("top.shard").alias("to"), F.col("top.n").alias("most"), F.col("top.draw").alias("most_draw")))
+        wish = (parts.withColumn("draw", draw).join(best, "digest")
+                .where("shard <> to and (n < most or (n = most and draw < most_draw))").select("digest", "shard", "to", "n"))
+        wish = staged(wish)
+        if swaps:
+            room = [r + w for r, w in zip(room, _held(wish, shards), strict=True)]
         moves = (_running(wish, "n", ["to"], ["digest", "shard"], buckets)
                  .withColumn("moved", F.least("n", F.greatest(F.lit(0), _by_shard(room, "to") - F.col("before"))))
                  .where("moved > 0").select("digest", "shard", "to", "moved"))
         moves = staged(moves)
         if moves.isEmpty():
-            break
+            idle += 1
+            if idle == 2:
+                break
+            continue
+        idle = 0
         changes = (moves.select("digest", "shard", (-F.col("moved")).alias("n"))
                    .union(moves.select("digest", F.col("to").alias("shard"), F.col("moved").alias("n"))))
         parts = staged(parts.select("digest", "shard", "n").union(changes).groupBy("digest", "shard")
@@ -78,6 +88,13 @@ def propagate(parts: DataFrame, quotas: list[int], rounds: int = 8, buckets: int
     return parts
 
 
+def _within(parts: DataFrame, quotas: list[int], buckets: int) -> DataFrame:
+    """`parts` cut to the quotas, with slot (rows ahead in the shard)."""
+    kept = _running(parts, "n", ["shard"], ["digest"], buckets)
+    kept = kept.withColumn("n", F.least("n", F.greatest(F.lit(0), _by_shard(quotas) - F.col("before"))))
+    return kept.where("n > 0").select("digest", "shard", "n", F.col("before").alias("slot"))
+
+
 def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 8, salts: int = 256,
                     buckets: int = 4096) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of `documents` (doc_id, text).
@@ -96,17 +113,20 @@ def balanced_shards(documents: DataFrame, shards: int = 8, rounds: int = 8, salt
     total = atoms.agg(F.sum("n")).first()[0] or 0
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
 
-    linked = atoms.groupBy("digest").agg(F.sum("n").alias("members")).where("members > 1").select("digest")
-    homes = (atoms.join(linked, "digest").groupBy("digest", (F.col("salt") % shards).alias("shard"))
-             .agg(F.sum("n").alias("n")))
-    parts = propagate(staged(homes), quotas, rounds, buckets)
-
-    # what still exceeds a quota (homes alone can) leaves it and is placed like an unlinked document
-    kept = _running(parts, "n", ["shard"], ["digest"], buckets)
-    kept = kept.withColumn("n", F.least("n", F.greatest(F.lit(0), _by_shard(quotas) - F.col("before")))).where("n > 0")
+    linked = atoms.groupBy("digest").agg(F.sum("n").alias("members")).where("members > 1")
+    homes = staged(atoms.join(linked, "digest").groupBy("digest", "members", (F.col("salt") % shards).alias("shard"))
+                   .agg(F.sum("n").alias("n")))
+    # groups that fit a shard come first; those that must be cut anyway share the room behind them. What exceeds a quota
+    # in the end leaves it and is placed like an unlinked document
+    fits = F.col("members") <= max(1, min(quotas))
+    small = _within(propagate(homes.where(fits).drop("members"), quotas, rounds, buckets), quotas, buckets)
+    small = staged(small)
+    behind = _held(small, shards)
+    left = [q - h for q, h in zip(quotas, behind, strict=True)]
+    large = _within(propagate(homes.where(~fits).drop("members"), left, rounds, buckets), left, buckets)
+    kept = small.union(large.withColumn("slot", F.col("slot") + _by_shard(behind)))
     within = Window.partitionBy("digest").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    kept = staged(kept.withColumn("low", F.coalesce(F.sum("n").over(within), F.lit(0)))
-                  .select("digest", "shard", "n", "low", F.col("before").alias("slot")))
+    kept = staged(kept.withColumn("low", F.coalesce(F.sum("n").over(within), F.lit(0))))
     places = kept.groupBy("digest").agg(F.collect_list(F.struct("low", "n", "shard", "slot")).alias("places"))
 
     earlier = Window.partitionBy("digest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
