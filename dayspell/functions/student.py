@@ -33,7 +33,7 @@ def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
             h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
-    return h
+    return np.where(np.abs(d * c - 1) < 1e-12, h, np.nan)  # what has not settled is NULL, not a guess
 
 
 def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

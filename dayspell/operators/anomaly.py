@@ -75,13 +75,9 @@ def cosine_weights(cells: DataFrame, lat: str = "lat", mask: str | None = None,
 
 
 def season_offsets(months: Sequence[int]) -> list[int]:
-    """Year of each month relative to the year of the season's last month."""
-    result, shift = [], 0
-    for here, after in zip(reversed(months), [None, *reversed(months)]):
-        if after is not None and here > after:
-            shift -= 1
-        result.append(shift)
-    return result[::-1]
+    """Year of each month relative to the year of the season's last month: a month of a greater
+    number than the last one belongs to the year before."""
+    return [-1 if m > months[-1] else 0 for m in months]
 
 
 def season_means(monthly: DataFrame, months: Sequence[int] = (6, 7, 8),

@@ -29,16 +29,17 @@ def common_ids(a: DataFrame, b: DataFrame, unit: str = "unit") -> DataFrame:
     return a.select(unit).intersect(b.select(unit))
 
 
-def crosswalk_chain(crosswalk: DataFrame, offset_ids: DataFrame, stations: DataFrame) -> DataFrame:
+def crosswalk_chain(crosswalk: DataFrame, offset_ids: DataFrame, stations: DataFrame,
+                    order: str = "ord") -> DataFrame:
     """network id -> archive id -> position, for ids that carry offsets.
 
-    Archive ids must have 11 characters; a network id listed twice keeps its
-    smallest archive id, so the choice does not depend on row order.
+    Archive ids must have 11 characters; a network id listed twice keeps the row
+    listed first, by the list's ordinal `order`.
     """
     linked = crosswalk.filter(F.length("archive_id") == 11)
     return (
         linked.join(offset_ids.select("archive_id").distinct(), "archive_id", "left_semi")
-        .groupBy("network_id").agg(F.min("archive_id").alias("archive_id"))
+        .groupBy("network_id").agg(F.min_by("archive_id", order).alias("archive_id"))
         .join(stations.select("network_id", "lat", "lon"), "network_id", "inner")
     )
 

@@ -55,13 +55,18 @@ def unit_record_counts(panel: DataFrame, unit: str | Sequence[str] = "unit", day
 
 
 def record_series(counts: DataFrame, years: tuple[int, int], unit: str = "unit",
-                  weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+                  weights: DataFrame | None = None, by: Sequence[str] = (),
+                  members: DataFrame | None = None) -> DataFrame:
     """Weighted mean record count per year; a year without records is 0.
 
     One series, or one per `by` key. `weights` (unit, weight) limits and weighs the units. Every unit with data
     holds a record, so the units and their total weight come out of the counts
-    themselves in the same pass: each unit's first row carries its weight.
+    themselves in the same pass: each unit's first row carries its weight. Where
+    units without data belong to the mean, `members` (unit) names all units.
     """
+    if members is not None:
+        idle = members.select(unit, F.lit(years[0]).alias("year"), F.lit(0.0).alias("records")).distinct()
+        counts = counts.select(unit, "year", "records").unionByName(idle)
     if weights is not None:
         counts = counts.join(
             weights.select(unit, F.col("weight").cast("double").alias("_w")), unit, "inner")

@@ -114,9 +114,8 @@ def end_revision(series: DataFrame, keys: Sequence[str] = ("series",), x: str =
     """RMSE by distance from the cut of truncated smooths against the full one.
 
     Every cut position from `first_cut` to half a window before the end gives a
-    copy of the series up to the cut. Only the last 2 * years + lags points of a
-    copy can touch its last smooths when no robustness pass looks at the whole
-    series, so a copy is that short and the work stays linear in the length.
+    copy of the series up to the cut, and every copy is smoothed whole. A series
+    has a calendar's years at most, which bounds its copies.
     """
     half = (years - 1) // 2
     w = Window.partitionBy(*keys).orderBy(x)
@@ -124,9 +123,8 @@ def end_revision(series: DataFrame, keys: Sequence[str] = ("series",), x: str =
     base = base.withColumn("_i", F.row_number().over(w) - 1).withColumn(
         "_n", F.count("*").over(Window.partitionBy(*keys)).cast("int"))
     last = F.col("_n") - half - 1
-    final = F.least(last, F.col("_i") + 2 * years + lags) if passes == 0 else last
     first = F.greatest(F.col("_i"), F.lit(first_cut))
-    copies = base.filter(first <= final).withColumn("cut", F.explode(F.sequence(first, final)))
+    copies = base.filter(first <= last).withColumn("cut", F.explode(F.sequence(first, last)))
     kept = lowess(copies.select(*keys, "cut", x, "_i", F.col("_y").alias("_v")),
                   [*keys, "cut"], x, "_v", years, passes, "_est")
     tail = kept.withColumn("lag", F.col("cut") - F.col("_i")).filter(F.col("lag") < lags)

@@ -106,8 +106,8 @@ def _candidates(cells: DataFrame, stations: DataFrame, angle: float, salts: int)
 
     A station lies in one bucket. A cell is repeated per bucket its cap touches,
     and per salt; the station picks one salt, so a bucket with very many stations
-    is spread over `salts` tasks. Stations are few bytes but much trigonometry, so
-    their partition count is fixed: sized by bytes, they would end up in one task.
+    is spread over `salts` tasks, and the skew join can split it further, because
+    neither side's partitioning is fixed here.
     """
     c = cells.select(
         "cell", F.col("lat").alias("clat"), F.col("lon").alias("clon"),
@@ -120,9 +120,7 @@ def _candidates(cells: DataFrame, stations: DataFrame, angle: float, salts: int)
         F.pmod(F.floor(lon / _LON_BIN).cast("int"), F.lit(_LON_BINS)).alias("_bj"),
         F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("int").alias("_salt"),
     )
-    keys = ["_bi", "_bj", "_salt"]
-    wanted = stations.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    return c.join(s.repartition(int(wanted) if wanted.isdigit() else 200, *keys), keys, "inner")
+    return c.join(s, ["_bi", "_bj", "_salt"], "inner")
 
 
 def near_pairs(cells: DataFrame, stations: DataFrame, radius_km: float,
@@ -158,10 +156,12 @@ def radial_pairs(cells: DataFrame, stations: DataFrame, radius_km: float, salts:
 # ---- polygons ---------------------------------------------------------------
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
-    """Edges (poly, x1, y1, x2, y2) of vertex rows (poly, ring, seq, lon, lat).
+    """Edges (poly, turn, x1, y1, x2, y2) of vertex rows (poly, ring, seq, lon, lat[, hole]).
 
-    Rings close themselves. Shells and holes need no marking for point tests;
-    for areas, holes run opposite to their shell.
+    Rings close themselves. `turn` orients each ring, whichever way it was drawn:
+    +1 or -1 so that a shell's signed area counts and a hole's is taken away. A
+    `hole` column says which rings are holes; without it those that run against
+    their polygon's largest ring are.
     """
     w = Window.partitionBy("poly", "ring").orderBy("seq")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -169,13 +169,21 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
     def following(name: str) -> Column:
         return F.coalesce(F.lead(name).over(w), F.first(name).over(whole))
 
-    return vertices.select(
-        "poly", F.col("lon").alias("x1"), F.col("lat").alias("y1"),
+    hole = F.col("hole") if "hole" in vertices.columns else F.lit(None).cast("boolean")
+    edges = vertices.select(
+        "poly", "ring", hole.alias("_hole"), F.col("lon").alias("x1"), F.col("lat").alias("y1"),
         following("lon").alias("x2"), following("lat").alias("y2"))
+    doubled = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+    edges = edges.withColumn("_area", doubled.over(Window.partitionBy("poly", "ring")))
+    shell = F.max_by("_area", F.abs("_area")).over(Window.partitionBy("poly"))
+    own = F.signum("_area")
+    turn = F.when(F.col("_hole").isNull(), F.signum(shell)).when(F.col("_hole"), -own).otherwise(own)
+    return edges.withColumn("turn", turn.cast("int")).select("poly", "turn", "x1", "y1", "x2", "y2")
 
 
 def points_inside(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",)) -> DataFrame:
-    """Points with `inside`: whether a ray to the east crosses the edges an odd number of times.
+    """Points with `inside`: whether, for any polygon, a ray to the east crosses its edges an odd
+    number of times; polygons may overlap.
 
     Edges are repeated per whole degree of latitude they span and joined to the
     points of that degree; crossings are summed map-side before the shuffle. Rays
@@ -192,9 +200,9 @@ def points_inside(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("un
                                     F.col("y2") - F.col("y1"))
     crossing = F.when(spans & (F.col("_x") < at), 1).otherwise(0)
     odd = (
-        p.join(banded.select("_band", "x1", "y1", "x2", "y2"), "_band", "inner")
-        .groupBy(*key).agg((F.sum(crossing) % 2).alias("_odd")).filter(F.col("_odd") == 1)
-        .select(*key, F.lit(True).alias("_in"))
+        p.join(banded.select("_band", "poly", "x1", "y1", "x2", "y2"), "_band", "inner")
+        .groupBy(*key, "poly").agg((F.sum(crossing) % 2).alias("_odd")).filter(F.col("_odd") == 1)
+        .select(*key, F.lit(True).alias("_in")).distinct()
     )
     return points.join(odd, list(key), "left").withColumn(
         "inside", F.coalesce(F.col("_in"), F.lit(False))).drop("_in")
@@ -216,12 +224,13 @@ def _area_below(y1: Column, y2: Column, dx: Column, south: Column, north: Column
 
 
 def cell_fractions(edges: DataFrame, grid: Grid, keep: Sequence[str] = ("cell", "lat", "lon")) -> DataFrame:
-    """Share of each grid cell inside the polygon (planar area), cells with any overlap.
+    """Share of each grid cell inside the polygons (planar area), cells with any overlap.
 
     The area of a polygon inside a cell is the signed sum over its edges of the
     area under the edge, with the height clamped to the cell. That needs no
     clipping, so it stays in built-in expressions for any simple polygon with
-    holes: an edge goes to the grid columns it spans and is summed per cell.
+    holes: an edge goes to the grid columns it spans and is summed per cell and
+    polygon. Polygons are taken not to overlap each other; their shares add up.
     """
     spark = edges.sparkSession
     west = F.col("lon") - grid.dlon / 2
@@ -247,13 +256,23 @@ def cell_fractions(edges: DataFrame, grid: Grid, keep: Sequence[str] = ("cell",
 
     a, b = clip(F.col("x1")), clip(F.col("x2"))
     part = _area_below(height_at(a), height_at(b), b - a, F.col("_s"), F.col("_n"))
-    area = F.abs(F.sum(part)) / F.lit(grid.dlat * grid.dlon)
+    area = F.abs(F.sum(F.col("turn") * part)) / F.lit(grid.dlat * grid.dlon)
     return (
-        cells.join(pieces.select("_col", "x1", "y1", "x2", "y2"), "_col", "inner")
-        .groupBy(*keep).agg(area.alias("fraction")).filter(F.col("fraction") > 1e-12)
+        cells.join(pieces.select("_col", "poly", "turn", "x1", "y1", "x2", "y2"), "_col", "inner")
+        .groupBy(*keep, "poly").agg(area.alias("_share"))
+        .groupBy(*keep).agg(F.least(F.sum("_share"), F.lit(1.0)).alias("fraction"))
+        .filter(F.col("fraction") > 1e-12)
     )
 
 
+def subtract_fractions(land: DataFrame, taken: DataFrame, keys: Sequence[str] = ("cell",)) -> DataFrame:
+    """`land` fractions less those of `taken`, a set of areas inside it (lakes); emptied cells drop."""
+    less = taken.select(*keys, F.col("fraction").alias("_taken"))
+    rest = F.col("fraction") - F.coalesce(F.col("_taken"), F.lit(0.0))
+    return land.join(less, list(keys), "left").withColumn("fraction", rest).drop("_taken").filter(
+        F.col("fraction") > 1e-12)
+
+
 def cell_weights(fractions: DataFrame, dlat: float) -> DataFrame:
     """weight = share inside the polygon x width of the latitude band on the sphere."""
     band = geo.band_weight(F.col("lat") - dlat / 2, F.col("lat") + dlat / 2)
@@ -287,11 +306,13 @@ def axis_nearest(targets: DataFrame, sources: DataFrame) -> DataFrame:
         targets.select("axis", "centre").distinct().withColumn("_src", F.lit(None).cast("double"))
         .unionByName(sources.select("axis", "centre").distinct().withColumn("_src", F.col("centre")))
     )
-    order = Window.partitionBy("axis").orderBy("centre")
+    # both frames end at the current row, so each grows by one row per step
+    upward = Window.partitionBy("axis").orderBy("centre")
+    downward = Window.partitionBy("axis").orderBy(F.desc("centre"))
     below = F.last("_src", ignorenulls=True).over(
-        order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first("_src", ignorenulls=True).over(
-        order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+        upward.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.last("_src", ignorenulls=True).over(
+        downward.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     c = F.col("centre")
     pick = F.when(F.col("_a").isNull() | (c - F.col("_b") <= F.col("_a") - c), F.col("_b")).otherwise(
         F.col("_a"))

@@ -31,7 +31,7 @@ def missing_columns(table: DataFrame, names: Sequence[str]) -> list[str]:
 def require_columns(table: DataFrame, names: Sequence[str], purpose: str) -> DataFrame:
     lacking = missing_columns(table, names)
     if lacking:
-        raise ValueError(f"{purpose}: the table has no column(s) {lacking}; build those datasets first")
+        raise ValueError(f"{purpose} needs {', '.join(lacking)}, which this table does not hold")
     return table
 
 

@@ -75,14 +75,16 @@ def grid_series(counts: DataFrame, cells: DataFrame, axis: DataFrame,
 
 
 def at_network_series(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid,
-                      years: tuple[int, int] = RECORD_YEARS) -> DataFrame:
+                      years: tuple[int, int] = RECORD_YEARS, axis: DataFrame | None = None) -> DataFrame:
     """Cell record counts seen at station sites: a cell counts once per station in it.
 
     The duplicates of a cell are one weight, so the counts are not copied per
-    station.
+    station. With the field's whole-year `axis`, years past its last full one are
+    blanked.
     """
     weights = grid.snap(stations).groupBy("cell").agg(F.count("*").cast("double").alias("weight"))
-    return records.record_series(cell_counts, years, "cell", weights)
+    out = records.record_series(cell_counts, years, "cell", weights)
+    return out if axis is None else coverage.blank_after_last_full_year(out, axis)
 
 
 def at_network_cells_series(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid,
@@ -94,11 +96,19 @@ def at_network_cells_series(cell_counts: DataFrame, stations: DataFrame, grid: s
 
 
 def at_network_masked_series(field: DataFrame, stations: DataFrame, station_days: DataFrame,
-                             grid: spatial.Grid, years: tuple[int, int] = RECORD_YEARS) -> DataFrame:
-    """Each station carries its cell's values, only on days the station reported."""
-    sites = grid.snap(stations).select("unit", "cell")
+                             grid: spatial.Grid, kept_cells: DataFrame, axis: DataFrame,
+                             years: tuple[int, int] = RECORD_YEARS) -> DataFrame:
+    """Each station in a kept cell carries its cell's values, only on days the station reported.
+
+    `kept_cells` (cell) passed share, land and completeness. A station that never
+    reports holds no record but counts in the mean; years past the last full one
+    of the whole-year `axis` are blanked.
+    """
+    sites = joins.keep_listed(grid.snap(stations).select("unit", "cell"), kept_cells, "cell")
     carried = station_days.select("unit", "day").join(sites, "unit").join(field, ["cell", "day"])
-    return records.record_series(records.unit_record_counts(carried, axis=field), years)
+    counts = records.unit_record_counts(carried, axis=field)
+    out = records.record_series(counts, years, members=sites.select("unit"))
+    return coverage.blank_after_last_full_year(out, axis)
 
 
 def sampling_factor(full: DataFrame, sampled: DataFrame, years: int = LOWESS_YEARS,

@@ -102,20 +102,19 @@ def heatwave_counts_pair(spark, d):
 
 
 @query("crosswalk_positions", """
-WITH x AS (SELECT c_custkey AS network_id, 'S' || lpad(CAST(c_custkey % 90 * (1 + c_custkey % 3 // 2 * 9999999999) AS VARCHAR), 10, '0') AS archive_id
-           FROM customer),
+WITH x AS (SELECT c_custkey // 2 AS network_id, -c_custkey AS ord,
+             'S' || lpad(CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 3 = 2 THEN 12 ELSE 10 END, '0') AS archive_id FROM customer),
 o AS (SELECT DISTINCT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS archive_id FROM supplier)
-SELECT network_id, archive_id, lat, lon FROM (SELECT network_id, min(archive_id) AS archive_id FROM x JOIN o USING (archive_id)
+SELECT network_id, archive_id, lat, lon FROM (SELECT network_id, arg_min(archive_id, ord) AS archive_id FROM x JOIN o USING (archive_id)
   WHERE length(archive_id) = 11 GROUP BY network_id) JOIN (SELECT unit AS network_id, lat, lon FROM site) USING (network_id)
 """, ("site",))
 def crosswalk_positions(spark, d):
     key = F.col("c_custkey")
-    # a third of the ids overflow eleven characters and must be dropped
-    number = (key % 90) * (F.lit(1) + F.floor(key % 3 / 2) * F.lit(9999999999))
-    digits = number.cast("string")
-    padded = F.when(F.length(digits) < 10, F.lpad(digits, 10, "0")).otherwise(F.substring(digits, 1, 10))
+    # a third of the ids exceed eleven characters and must be dropped; each network id is listed twice, the later key first
+    digits = key.cast("string")
+    padded = F.when(key % 3 == 2, F.lpad(digits, 12, "0")).otherwise(F.lpad(digits, 10, "0"))
     x = views.table(spark, d, "customer").select(
-        key.alias("network_id"), F.concat(F.lit("S"), padded).alias("archive_id"))
+        F.floor(key / 2).alias("network_id"), (-key).alias("ord"), F.concat(F.lit("S"), padded).alias("archive_id"))
     o = views.table(spark, d, "supplier").select(
         F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0")).alias("archive_id"))
     sites = views.site(spark, d).withColumnRenamed("unit", "network_id")

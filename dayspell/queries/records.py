@@ -146,16 +146,24 @@ def record_series_at_network_cells(spark, d):
                                               cells, views.YEARS))
 
 
-@query("record_series_masked", "WITH " + FIELD_SQL + """,
-rep AS (SELECT DISTINCT l_suppkey AS unit, CAST(l_shipdate AS DATE) AS day FROM lineitem)""" + _SITES + """
-carried AS (SELECT unit, day, f.year, f.value FROM rep JOIN sited USING (unit) JOIN field f USING (cell, day)
+# one station in seven never reports; it stays in the mean's denominator
+@query("record_series_masked", "WITH " + _GRID_RECORDS.replace("cr", "gcr") + """,
+rep AS (SELECT DISTINCT l_suppkey AS unit, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_suppkey % 7 <> 0)""" + _SITES + """
+own AS (SELECT unit, cell FROM sited WHERE cell IN (SELECT cell FROM gcr_n)),
+carried AS (SELECT unit, day, f.year, f.value FROM rep JOIN own USING (unit) JOIN field f USING (cell, day)
             WHERE month(day) BETWEEN 5 AND 9),""" + _credit("cr", "carried", "unit") + """
-SELECT year, round(value, 6) + 0.0 AS value FROM (""" + _series("cr_n", "unit") + ")", ("days", "station", "site"))
+SELECT y.year, CASE WHEN y.year <= (SELECT CASE WHEN strftime(max(day), '%m%d') = '1231' THEN year(max(day))
+    ELSE year(max(day)) - 1 END FROM field)
+  THEN round(coalesce(sum(n.records), 0) / (SELECT nullif(count(*), 0) FROM own), 6) + 0.0 END AS value
+FROM (SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2002)) y LEFT JOIN cr_n n USING (year) GROUP BY y.year
+""", (*_USES, "site"))
 def record_series_masked(spark, d):
-    reports = views.table(spark, d, "lineitem").select(
+    reports = views.table(spark, d, "lineitem").filter("l_suppkey % 7 <> 0").select(
         F.col("l_suppkey").alias("unit"), F.col("l_shipdate").cast("date").alias("day")).distinct()
     season = field(spark, d).filter(F.month("day").between(5, 9))
-    return tidy(plans.at_network_masked_series(season, views.site(spark, d), reports, views.GRID, views.YEARS))
+    kept = _grid_counts(spark, d, _cells(spark)).select("cell").distinct()
+    return tidy(plans.at_network_masked_series(season, views.site(spark, d), reports, views.GRID, kept,
+                                               field_days(spark, d), views.YEARS))
 
 
 @query("mask_to_reporting", "WITH " + FIELD_SQL + """,

@@ -93,7 +93,7 @@ def robustness_table(spark, d):
 @query("end_revision", "WITH " + _SRC + """,
 num AS (SELECT series, x, y, row_number() OVER (PARTITION BY series ORDER BY x) - 1 AS k,
                count(*) OVER (PARTITION BY series) AS nn FROM src),
-copies AS (SELECT series, cut, x, y FROM num, range(33, 200) t(cut) WHERE cut < nn - 8 AND k <= cut),"""
+copies AS (SELECT series, cut, x, y FROM num, (SELECT unnest(range(33, (SELECT max(nn) FROM num))) AS cut) WHERE cut < nn - 8 AND k <= cut),"""
        + lowess_sql("c", "copies", keys="series, cut") + "," + lowess_sql("f", "src") + """
 SELECT series, CAST(cut - k AS INTEGER) AS lag, round(sqrt(avg((c.smooth - f.smooth) ** 2)), 6) + 0.0 AS rmse, count(*) AS n_cuts
 FROM c JOIN num USING (series, x) JOIN f USING (series, x) WHERE cut - k < 8 GROUP BY ALL
@@ -243,7 +243,22 @@ def trend_table(spark, d):
     return tidy(_trends(spark, d).drop("p_ols", "p_ar1"))
 
 
-@query("trend_significance")
+#: Simpson's rule over the angle: P(|T| >= t) = 1 - 2 C * integral of cos(a)^(df - 1) from 0 to atan(t / sqrt(df)).
+_T_TAIL = """(1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * atan({t} / sqrt({df})) / 2000 / 3 * list_sum([
+    (CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(k * atan({t} / sqrt({df})) / 2000), {df} - 1)
+    for k in range(0, 2001)]))"""
+
+
+@query("trend_significance", "WITH " + _TREND + """,
+f AS (SELECT *, abs(slope / se) AS tt, n - 2.0::DOUBLE AS d1, n_eff - 2 AS d2 FROM e)
+SELECT series, start, n, CASE WHEN n >= 10 THEN round(slope * 100, 6) + 0.0 END AS trend,
+       CASE WHEN n >= 10 THEN round(se * 100, 6) + 0.0 END AS se,
+       CASE WHEN n >= 10 THEN round(""" + _T_TAIL.format(df="d1", t="tt") + """, 6) + 0.0 END AS p_ols,
+       CASE WHEN n >= 10 THEN round(r1, 6) + 0.0 END AS r1, CASE WHEN n >= 10 THEN round(n_eff, 6) + 0.0 END AS n_eff,
+       CASE WHEN n >= 10 AND n_eff <= 2.5 THEN 1.0
+            WHEN n >= 10 THEN round(""" + _T_TAIL.format(df="greatest(d2, 0.5)", t="(tt / sqrt(d1 / greatest(d2, 0.5)))") + """, 6) + 0.0 END AS p_ar1
+FROM f
+""", ("month_series",))
 def trend_significance(spark, d):
     return tidy(_trends(spark, d), 6)
 

@@ -51,6 +51,45 @@ def polygon_daily_counts(spark, d):
     return rows.join(kept, "unit", "left_semi").groupBy("day").agg(F.count("*").alias("n_rows"))
 
 
+# two halves of one area drawn in opposite directions, and a third polygon that overlaps both
+_PATCHES = (
+    (1, ((-110.0, 30.0), (-100.0, 30.0), (-100.0, 40.0), (-110.0, 40.0))),
+    (2, ((-100.0, 30.0), (-100.0, 40.0), (-90.0, 40.0), (-90.0, 30.0))),
+    (3, ((-105.0, 33.0), (-95.0, 33.0), (-95.0, 37.0), (-105.0, 37.0))),
+)
+
+
+def _patches(spark, polys):
+    return spatial.polygon_edges(spark.createDataFrame(
+        [(p, 0, i, x, y) for p, ring in _PATCHES if p in polys for i, (x, y) in enumerate(ring)],
+        "poly int, ring int, seq int, lon double, lat double"))
+
+
+@query("sites_in_any_polygon", """
+SELECT unit, lat BETWEEN 30 AND 40 AND lon >= -110 AND lon < -90 AS inside, count(*) AS n_rows
+FROM site JOIN lineitem ON unit = l_suppkey GROUP BY ALL
+""", ("site",))
+def sites_in_any_polygon(spark, d):
+    found = spatial.points_inside(views.site(spark, d), _patches(spark, (1, 2, 3)))
+    n = views.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.count("*").alias("n_rows"))
+    return found.join(n, "unit").select("unit", "inside", "n_rows")
+
+
+@query("cells_of_two_halves", """
+WITH c AS (SELECT cell, greatest(0, least(lat + 1, 40) - greatest(lat - 1, 30)) * greatest(0, least(lon + 1, -90) - greatest(lon - 1, -110)) / 4 AS fraction,
+                  greatest(0, least(lat + 1, 37) - greatest(lat - 1, 33)) * greatest(0, least(lon + 1, -95) - greatest(lon - 1, -105)) / 4 AS lake FROM grid),
+s AS (SELECT CAST(round_even((lat - 25) / 2, 0) * 30 + round_even((lon + 124) / 2, 0) AS BIGINT) AS cell, count(*) AS n_sites FROM site
+      WHERE round_even((lat - 25) / 2, 0) BETWEEN 0 AND 12 AND round_even((lon + 124) / 2, 0) BETWEEN 0 AND 29 GROUP BY ALL)
+SELECT cell, round(fraction - lake, 6) + 0.0 AS fraction, coalesce(n_sites, 0) AS n_sites
+FROM c LEFT JOIN s USING (cell) WHERE fraction - lake > 1e-12
+""", ("grid", "site"))
+def cells_of_two_halves(spark, d):
+    land = spatial.cell_fractions(_patches(spark, (1, 2)), views.GRID, ("cell",))
+    dry = spatial.subtract_fractions(land, spatial.cell_fractions(_patches(spark, (3,)), views.GRID, ("cell",)))
+    n = views.GRID.snap(views.site(spark, d)).groupBy("cell").agg(F.count("*").alias("n_sites"))
+    return tidy(dry.join(n, "cell", "left").na.fill(0, ["n_sites"]).select("cell", "fraction", "n_sites"))
+
+
 @query("grid_stations_2deg", """
 SELECT CAST(least(greatest(trunc((lat - 24) / 2), 0), 12) * 180 + least(greatest(trunc((lon + 180) / 2), 0), 179) AS BIGINT)
          AS cell, day, round(avg(tmax), 6) + 0.0 AS value, count(*) AS n_stations

@@ -97,3 +97,13 @@ SELECT unit, day, round(value + 273.15 - 273.15, 6) + 0.0 AS value FROM days
 def celsius_by_mean(spark, d):
     kelvin = views.days(spark, d).select("unit", "day", (F.col("value") + 273.15).alias("value"))
     return tidy(fields.celsius_by_mean(kelvin))
+
+
+# odd years come in kelvin, even ones in degC; some kelvin files lack most days
+@query("celsius_by_file", """
+SELECT unit, day, year, round(value, 6) + 0.0 AS value FROM days WHERE year % 4 <> 3 OR month(day) = 7
+""", ("days",))
+def celsius_by_file(spark, d):
+    mixed = views.days(spark, d).filter("year % 4 <> 3 or month(day) = 7").withColumn(
+        "value", F.col("value") + F.when(F.col("year") % 2 == 1, 273.15).otherwise(0.0))
+    return tidy(fields.celsius_by_mean(mixed, by="year").select("unit", "day", "year", "value"))

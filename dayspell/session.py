@@ -1,4 +1,4 @@
-"""Session helper: settings for tests and local runs, and a safe way to cut lineage.
+"""Session helper: settings for tests and local runs.
 
 On a cluster the caller's own session is used as it is; nothing in the
 library changes a running session's settings.
@@ -7,9 +7,8 @@ library changes a running session's settings.
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", app: str = "dayspell", **extra: str) -> SparkSession:
@@ -32,23 +31,3 @@ def local_session(cores: str = "*", app: str = "dayspell", **extra: str) -> Spar
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master without that setting falls back to a temporary folder; on a
-    cluster a missing folder is an error, because a machine-local one would be
-    lost with its executor.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

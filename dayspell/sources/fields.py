@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.functions.geo import in_box, wrap_lon
+from dayspell.functions.geo import in_box, lon_between, wrap_lon
 from dayspell.functions.units import kelvin_to_celsius, null_if_huge
 from dayspell.operators.qc import first_wins
 from dayspell.operators.spatial import axis_edges
@@ -26,13 +26,14 @@ def standardise(df: DataFrame, wrap: bool = True) -> DataFrame:
 
 def read_panel(spark: SparkSession, path: str, columns: Sequence[str],
                box: dict[str, float] | None = None, years: tuple[int, int] | None = None) -> DataFrame:
-    """Named columns of a station panel, limited to a box and to year partitions.
+    """Named columns of a station panel, limited to a box and to years.
 
-    Both limits are plain comparisons on stored columns, so they reach the scan.
+    Both limits are plain comparisons on stored columns, so they reach the scan;
+    years cut the `year` partitions where there are any, and days otherwise.
     """
     df = spark.read.parquet(path)
-    if years is not None and "year" in df.columns:
-        df = df.filter(F.col("year").between(*years))
+    if years is not None:
+        df = in_years(df, years)
     if box is not None:
         df = df.filter(in_box(F.col("lat"), F.col("lon"), **box))
     return df.select(*columns)
@@ -54,16 +55,28 @@ def read_field(spark: SparkSession, path: str | list[str], lat_bounds: tuple[flo
     if lat_bounds is not None:
         df = df.filter(F.col("lat").between(min(lat_bounds), max(lat_bounds)))
     if lon_bounds is not None:
-        df = df.filter(F.col("lon").between(*lon_bounds))
+        df = df.filter(lon_between(F.col("lon"), *lon_bounds))
     if years is not None:
-        df = df.filter(F.col("day").between(
-            F.make_date(F.lit(years[0]), F.lit(1), F.lit(1)),
-            F.make_date(F.lit(years[1]), F.lit(12), F.lit(31))))
+        df = in_years(df, years)
     if months is not None:
         df = df.filter(F.month("day").isin(list(months)))
     return df.withColumn(value, null_if_huge(F.col(value)))
 
 
+def in_years(df: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """Rows of the years: by the `year` column, which prunes partitions, and by `day`."""
+    held = [c for c in ("year", "day") if c in df.columns]
+    if not held:
+        raise ValueError("a limit to years needs a year or a day column")
+    if "year" in held:
+        df = df.filter(F.col("year").between(*years))
+    if "day" in held:
+        df = df.filter(F.col("day").between(
+            F.make_date(F.lit(years[0]), F.lit(1), F.lit(1)),
+            F.make_date(F.lit(years[1]), F.lit(12), F.lit(31))))
+    return df
+
+
 def thin(cells: DataFrame, every: int = 4) -> DataFrame:
     """Every `every`-th latitude and longitude of a cell table (lat, lon, ...)."""
     axes = cells.select(F.inline(F.array(
@@ -92,11 +105,21 @@ def celsius_from_attribute(field: DataFrame, units: str, value: str = "value") -
     return field.withColumn(value, kelvin_to_celsius(F.col(value))) if kelvin else field
 
 
-def celsius_by_mean(field: DataFrame, value: str = "value", limit: float = 150.0) -> DataFrame:
-    """Kelvin turned to degC when the field's mean says so (a one-row aggregate)."""
-    mean = field.agg(F.avg(value)).scalar()
-    return field.withColumn(value, F.when(mean > limit, kelvin_to_celsius(F.col(value)))
-                            .otherwise(F.col(value)))
+def celsius_by_mean(field: DataFrame, value: str = "value", limit: float = 150.0,
+                    by: str | Sequence[str] | None = None) -> DataFrame:
+    """Kelvin turned to degC where the mean says so, file by file.
+
+    `by` names what tells the files apart (a file column, or year); without it
+    the field is one file. The means are one aggregate, joined back to the rows.
+    """
+    if by is None:
+        mean = field.agg(F.avg(value)).scalar()
+        return field.withColumn(value, F.when(mean > limit, kelvin_to_celsius(F.col(value)))
+                                .otherwise(F.col(value)))
+    keys = [by] if isinstance(by, str) else list(by)
+    means = field.groupBy(*keys).agg((F.avg(value) > limit).alias("_kelvin"))
+    return field.join(means, keys, "left").withColumn(value, F.when(
+        F.col("_kelvin"), kelvin_to_celsius(F.col(value))).otherwise(F.col(value))).drop("_kelvin")
 
 
 def absolute_from_anomaly(field: DataFrame, climatology: DataFrame, cell: str = "cell",

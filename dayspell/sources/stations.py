@@ -27,15 +27,14 @@ def _number(column: Column) -> Column:
 
 
 def row_ordinal() -> Column:
-    """File order as one number, also for files that are split.
+    """Ingest order as (file, block, row), also for files that are split.
 
-    The block's start orders the splits of a file, and the row number inside the
-    task orders rows inside a block. (Rows of different files never compete for
-    one station-day: files are yearly.)
+    Files count in the order of their names; the block's start orders the splits
+    of a file, and the row number inside the task orders rows inside a block.
     """
-    block = F.shiftright(F.col("_metadata.file_block_start"), 10)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.shiftleft(block, 33) + row
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
 
 
 def read_daily_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -126,15 +125,18 @@ def read_header_csv(spark: SparkSession, path: str, schema: str | None = None) -
 
 
 def read_pair_csv(spark: SparkSession, path: str, months: Sequence[int] | None = None) -> DataFrame:
-    """Per-station pair files -> (unit, day, raw, adj); the station is the name's first 11 characters.
+    """Per-station pair files -> (unit, day, raw, adj).
 
-    A day needs both legs; the first row of a repeated day wins.
+    The station is the first 11 characters of the file's name, or the name of its
+    `unit=` folder, which the writer makes. A day needs both legs; the first row
+    of a repeated day wins.
     """
     rows = spark.read.option("header", True).schema(
         "date string, tmax_raw_c string, tmax_adj_c string").csv(path)
+    folder = F.regexp_extract(F.input_file_name(), r"/unit=([^/]+)/[^/]+$", 1)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
     rows = rows.select(
-        F.substring(name, 1, 11).alias("unit"), parse_yyyymmdd(F.col("date")).alias("day"),
+        F.when(folder != "", F.url_decode(folder)).otherwise(F.substring(name, 1, 11)).alias("unit"), parse_yyyymmdd(F.col("date")).alias("day"),
         _number(F.col("tmax_raw_c")).alias("raw"), _number(F.col("tmax_adj_c")).alias("adj"),
         row_ordinal().alias("ord"))
     rows = rows.filter(F.col("day").isNotNull() & F.col("raw").isNotNull() & F.col("adj").isNotNull())

@@ -300,11 +300,3 @@ def test_sample_hours_ignore_the_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert tuple(got) == (475010, -1, -1)
-
-
-def test_checkpoints_go_to_the_named_folder(spark, tmp_path):
-    from dayspell.session import checkpointed
-
-    df = checkpointed(spark.range(5).withColumn("x", F.col("id") * 2))
-    assert df.count() == 5 and "Range" not in df._jdf.queryExecution().logical().toString()
-    assert spark.sparkContext.getCheckpointDir() is not None

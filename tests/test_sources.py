@@ -204,9 +204,9 @@ def test_wide_days_and_crosswalk(spark):
     df = spark.createDataFrame([("a", dt.date(2000, 6, 1), 1.0), ("b", dt.date(2000, 6, 1), 2.0), ("b", dt.date(2000, 6, 2), 3.0)],
                                "unit string, day date, value double")
     assert [(r["a"], r["b"]) for r in rows(writers.wide_days(df, ["a", "b"]), "day")] == [(1.0, 2.0), (None, 3.0)]
-    x = spark.createDataFrame([("n1", "A2345678901"), ("n1", "A2345678900"), ("n2", "short"), ("n3", "B2345678901")],
-                              "network_id string, archive_id string")
+    x = spark.createDataFrame([("n1", "A2345678901", 1), ("n1", "A2345678900", 2), ("n2", "short", 3), ("n3", "B2345678901", 4)],
+                              "network_id string, archive_id string, ord int")
     o = spark.createDataFrame([("A2345678901",), ("A2345678900",), ("B2345678901",)], "archive_id string")
     s = spark.createDataFrame([("n1", 1.0, 2.0), ("n2", 1.0, 2.0)], "network_id string, lat double, lon double")
     assert rows(joins.crosswalk_chain(x, o, s)) == [
-        {"network_id": "n1", "archive_id": "A2345678900", "lat": 1.0, "lon": 2.0}]
+        {"network_id": "n1", "archive_id": "A2345678901", "lat": 1.0, "lon": 2.0}]
