@@ -17,21 +17,24 @@ def local_days(samples: DataFrame, step_hours: int, keys: Sequence[str] = ("cell
     """Max, min and mean of each place's local day: (keys, day, tmax, tmin, tmean, tavg).
 
     At offset k, local day D covers the UTC hours [24 D - k, 24 D - k + 24). A day
-    needs all of its 24 / step samples; otherwise its statistics are NULL. Samples
-    are one per place and time. The grouping key is an expression, so neighbouring
+    needs each of its 24 / step samples once; otherwise its statistics are NULL, so
+    a repeated sample cannot stand in for a missing one. The hours seen are kept as
+    bits of one number. The grouping key is an expression, so neighbouring
     files need no margin and each row is shuffled at most once, after partial
     aggregation.
     """
     if 24 % step_hours:
         raise ValueError("the sample step must divide 24 hours")
     need = 24 // step_hours
-    number = F.floor((F.col(hours) + utc_offset_hours(F.col(lon))) / 24.0).cast("int")
+    local = F.col(hours) + utc_offset_hours(F.col(lon))
+    number = F.floor(local / 24.0).cast("int")
+    seen = F.call_function("shiftleft", F.lit(1), F.floor(F.pmod(local, F.lit(24))).cast("int"))
     epoch = F.lit("1970-01-01").cast("date")
     stats = samples.groupBy(*keys, number.alias("_n")).agg(
         F.max(value).alias("tmax"), F.min(value).alias("tmin"), F.avg(value).alias("tmean"),
-        F.count(value).alias("n_samples"),
+        F.count(value).alias("n_samples"), F.bit_or(F.when(F.col(value).isNotNull(), seen)).alias("_seen"),
     )
-    whole = F.col("n_samples") == need
+    whole = (F.col("n_samples") == need) & (F.bit_count("_seen") == need)
     out = stats.select(
         *keys, F.date_add(epoch, F.col("_n")).alias("day"), "n_samples",
         *[F.when(whole, F.col(c)).alias(c) for c in ("tmax", "tmin", "tmean")])

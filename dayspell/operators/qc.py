@@ -19,35 +19,52 @@ def select_elements(obs: DataFrame, elements: Sequence[str] = ("TMAX", "TMIN"),
     return obs.filter(F.col(elem).isin(list(elements)))
 
 
-def keep_unflagged(obs: DataFrame, flags: Iterable[str] = FLAG_COLUMNS) -> DataFrame:
-    """Rows whose every quality flag is blank or NULL; flag columns are found by name."""
+def unflagged(columns: Sequence[str], flags: Iterable[str] = FLAG_COLUMNS) -> Column:
+    """True where every quality flag among `columns` is blank or NULL; flags are found by name."""
+    blank = F.lit(True)
     for name in flags:
-        if name in obs.columns:
-            obs = obs.filter(units.flag_is_blank(F.col(name)))
-    return obs
+        if name in columns:
+            blank = blank & units.flag_is_blank(F.col(name))
+    return blank
+
+
+def keep_unflagged(obs: DataFrame, flags: Iterable[str] = FLAG_COLUMNS) -> DataFrame:
+    return obs.filter(unflagged(obs.columns, flags))
+
+
+def is_real(value: str = "value", day: str = "day", sentinels: Sequence[float] = (-9999,)) -> Column:
+    """A real date and a finite value that is no sentinel."""
+    return units.null_if(F.col(value), *sentinels).isNotNull() & F.col(day).isNotNull()
 
 
 def drop_missing(obs: DataFrame, value: str = "value", day: str = "day",
                  sentinels: Sequence[float] = (-9999,)) -> DataFrame:
-    """Rows with a real date and a finite value that is no sentinel."""
-    clean = units.null_if(F.col(value), *sentinels)
-    return obs.filter(clean.isNotNull() & F.col(day).isNotNull())
+    return obs.filter(is_real(value, day, sentinels))
+
+
+def is_within(value: str = "value", bounds: tuple[float, float] = RECORD_BOUNDS, strict: bool = False) -> Column:
+    v = F.col(value)
+    return (v > bounds[0]) & (v < bounds[1]) if strict else v.between(*bounds)
 
 
 def within_bounds(obs: DataFrame, value: str = "value",
                   bounds: tuple[float, float] = RECORD_BOUNDS, strict: bool = False) -> DataFrame:
-    v = F.col(value)
-    return obs.filter((v > bounds[0]) & (v < bounds[1]) if strict else v.between(*bounds))
+    return obs.filter(is_within(value, bounds, strict))
+
+
+def is_in_season(months: Sequence[int] = MAY_SEP, day: str = "day", years: tuple[int, int] | None = None) -> Column:
+    """In the months, and in the years, whose span is a date range."""
+    month = F.month(day).isin(list(months))
+    if years is None:
+        return month
+    return F.col(day).between(F.make_date(F.lit(years[0]), F.lit(1), F.lit(1)),
+                              F.make_date(F.lit(years[1]), F.lit(12), F.lit(31))) & month
 
 
 def in_months(df: DataFrame, months: Sequence[int] = MAY_SEP, day: str = "day",
               years: tuple[int, int] | None = None) -> DataFrame:
     """Season filter. The year span is a date range, so it reaches the scan."""
-    if years is not None:
-        df = df.filter(F.col(day).between(
-            F.make_date(F.lit(years[0]), F.lit(1), F.lit(1)),
-            F.make_date(F.lit(years[1]), F.lit(12), F.lit(31))))
-    return df.filter(F.month(day).isin(list(months)))
+    return df.filter(is_in_season(months, day, years))
 
 
 def _ordering(order: str | Sequence[str]) -> Column:

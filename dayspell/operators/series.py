@@ -14,14 +14,19 @@ from pyspark.sql.window import Window
 
 from dayspell.defaults import LOWESS_PASSES, LOWESS_YEARS, MAD_K, MAD_SCALE, PERIOD_MIN_YEARS, TAIL_Z
 from dayspell.functions.student import t_two_sided
+from dayspell.operators.guards import enforce
 
 
 def unbroken_runs(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year",
                   value: str = "value") -> DataFrame:
-    """Rows with a value and `run`, equal inside each stretch of consecutive years."""
+    """Rows with a value and `run`, equal inside each stretch of consecutive years.
+
+    A year that occurs twice fails the job: no run could hold it.
+    """
     w = Window.partitionBy(*keys).orderBy(x)
-    return series.filter(F.col(value).isNotNull()).withColumn(
-        "run", (F.col(x) - F.row_number().over(w)).cast("int"))
+    held = series.filter(F.col(value).isNotNull()).withColumn("_step", F.col(x) - F.lag(x).over(w))
+    held = enforce(held, F.coalesce(F.col("_step") > 0, F.lit(True)), f"{x} repeats within a series")
+    return held.withColumn("run", (F.col(x) - F.row_number().over(w)).cast("int")).drop("_step")
 
 
 # ---- LOWESS -----------------------------------------------------------------
@@ -115,11 +120,14 @@ def end_revision(series: DataFrame, keys: Sequence[str] = ("series",), x: str =
 
     Every cut position from `first_cut` to half a window before the end gives a
     copy of the series up to the cut, and every copy is smoothed whole. A series
-    has a calendar's years at most, which bounds its copies.
+    has a calendar's years at most, which bounds its copies. Lags count years, so
+    a record with holes fails the job.
     """
     half = (years - 1) // 2
     w = Window.partitionBy(*keys).orderBy(x)
     base = series.filter(F.col(value).isNotNull()).select(*keys, x, F.col(value).alias("_y"))
+    base = base.withColumn("_step", F.col(x) - F.lag(x).over(w))
+    base = enforce(base, F.coalesce(F.col("_step") == 1, F.lit(True)), f"{x} is not unbroken within a series").drop("_step")
     base = base.withColumn("_i", F.row_number().over(w) - 1).withColumn(
         "_n", F.count("*").over(Window.partitionBy(*keys)).cast("int"))
     last = F.col("_n") - half - 1

@@ -41,14 +41,18 @@ def one_series(table: DataFrame, name: str) -> DataFrame | None:
     return table.select(F.lit(name).alias("series"), "year", F.col(name).cast("double").alias("value"))
 
 
-def describe_columns(series: DataFrame) -> DataFrame:
+def describe_columns(series: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Catalogue row per series: domain, quantity and dataset from the name, and its span.
 
-    Names read <domain>_<quantity>__<dataset>.
+    Names read <domain>_<quantity>__<dataset>. With `columns` each of them has a
+    row, with no span and 0 years where it holds no value.
     """
     spans = series.filter(F.col("value").isNotNull()).groupBy("series").agg(
         F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.count("*").alias("n_years"))
+    if columns is not None:
+        every = series.sparkSession.createDataFrame([(c,) for c in columns], "series string")
+        spans = every.join(spans, "series", "left").na.fill(0, ["n_years"])
     parts = F.split("series", "__")
     head = F.element_at(parts, 1)
     cut = F.instr(head, "_")

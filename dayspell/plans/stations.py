@@ -51,5 +51,8 @@ def reconstruct_pair(daily: DataFrame, offsets: DataFrame) -> Pair:
 
 
 def grid_stations(panel: DataFrame, grid: spatial.Grid | None = None, value: str = "tmax") -> DataFrame:
-    """Daily two-degree cell means of a station panel with lat and lon."""
-    return gridding.bin_daily(panel, grid or spatial.two_degree_band(), value)
+    """Daily two-degree cell means of a station panel with lat and lon; stations outside the
+    grid's latitudes drop out instead of joining its edge rows."""
+    g = grid or spatial.two_degree_band()
+    south, north = g.lat0 - g.dlat / 2, g.lat0 + (g.nlat - 0.5) * g.dlat
+    return gridding.bin_daily(panel.filter(F.col("lat").between(south, north)), g, value)

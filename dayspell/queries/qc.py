@@ -28,18 +28,12 @@ FROM obs GROUP BY unit, elem
 """, ("obs",))
 def qc_gate_counts(spark, d):
     raw = qc.select_elements(views.obs(spark, d))
-    keys = ["unit", "elem"]
-
-    def count(df, name):
-        return df.groupBy(*keys).agg(F.count("*").alias(name))
-
-    clean = qc.drop_missing(qc.keep_unflagged(raw))
-    bounded = qc.within_bounds(clean, bounds=(100, 400))
-    season = qc.in_months(bounded, years=(1996, 2000))
-    out = count(raw, "n_rows")
-    for df, name in ((clean, "n_unflagged"), (bounded, "n_bounded"), (season, "n_season")):
-        out = out.join(count(df, name), keys, "left")
-    return out.na.fill(0)
+    clean = qc.unflagged(raw.columns) & qc.is_real()
+    bounded = clean & qc.is_within(bounds=(100, 400))
+    season = bounded & qc.is_in_season(years=(1996, 2000))
+    gates = (("n_unflagged", clean), ("n_bounded", bounded), ("n_season", season))
+    return raw.groupBy("unit", "elem").agg(
+        F.count("*").alias("n_rows"), *[F.count(F.when(gate, 1)).alias(name) for name, gate in gates])
 
 
 @query("qc_slot_cube", """

@@ -20,7 +20,9 @@ def years_present(spark: SparkSession, path: str, column: str = "year") -> DataF
     """Partition values already written; empty when the path does not exist yet."""
     try:
         return spark.read.parquet(path).select(F.col(column).cast("int").alias(column)).distinct()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], f"{column} int")
 
 
@@ -58,10 +60,14 @@ def write_series_csv(series: DataFrame, columns: Sequence[str], years: tuple[int
 
 
 def write_master(series: DataFrame, columns: Sequence[str], years: tuple[int, int], table_path: str,
-                 catalogue_path: str, labels: DataFrame | None = None) -> None:
-    """Master table at full precision plus its catalogue."""
+                 catalogue_path: str, labels: DataFrame | None = None,
+                 notes: dict[str, str] | None = None) -> None:
+    """Master table at full precision plus its catalogue, which has a row for every column, also
+    for those without a value, and the columns' notes."""
     write_series_csv(series, columns, years, table_path, decimals=None)
-    catalogue = describe_columns(series.filter(F.col("year").between(*years)))
+    catalogue = describe_columns(series.filter(F.col("year").between(*years)), columns)
+    remarks = [(c, (notes or {}).get(c, "")) for c in columns]
+    catalogue = catalogue.join(series.sparkSession.createDataFrame(remarks, "series string, note string"), "series", "left")
     if labels is not None:
         catalogue = catalogue.join(labels, "series", "left")
     catalogue.coalesce(1).sortWithinPartitions("series").write.mode("overwrite").option(

@@ -186,7 +186,7 @@ def test_master_table_is_incremental(spark, tmp_path):
         "conus", "records", "berkeley", "1900", "1909", "10", "Berkeley Earth")
     with pytest.raises(ValueError, match="unknown"):
         master.wanted_columns([], datasets=["nothing"])
-    with pytest.raises(ValueError, match="no column"):
+    with pytest.raises(ValueError, match="does not hold"):
         tables.require_columns(held, ["band_hw_days__era5"], "heat")
     assert rows(tables.one_series(held, names[0]).filter("year = 1905")) == [
         {"series": names[0], "year": 1905, "value": 1905.0}]

@@ -110,3 +110,33 @@ def test_seasons_and_unsettled_fractions():
     import numpy as np
 
     assert np.isfinite(_beta_fraction(np.array([5.0]), 0.5, np.array([0.3]))).all()
+
+
+def test_repeated_and_missing_years_are_refused(spark):
+    from pyspark.errors import PySparkException
+
+    from dayspell.operators import series
+
+    twice = spark.createDataFrame([("a", 2000 + i % 20, float(i)) for i in range(40)], "series string, year int, value double")
+    with pytest.raises(PySparkException, match="repeats"):
+        series.lowess(twice).collect()
+    holes = spark.createDataFrame([("a", 1900 + i + (i > 30), float(i)) for i in range(60)], "series string, year int, value double")
+    with pytest.raises(PySparkException, match="not unbroken"):
+        series.end_revision(holes).collect()
+
+
+def test_a_repeated_sample_does_not_hide_a_missing_one(spark):
+    from dayspell.operators import localday
+
+    hours = [0, 6, 12, 18, 24, 24, 30, 36]
+    df = spark.createDataFrame([("c", 0.0, h, float(h)) for h in hours], "cell string, lon double, hours int, value double")
+    got = rows(localday.local_days(df, 6), "day")
+    assert [(r["n_samples"], r["tmax"]) for r in got] == [(4, 18.0), (4, None)]
+
+
+def test_every_column_has_a_catalogue_row(spark):
+    from dayspell.operators import tables
+
+    held = spark.createDataFrame([("conus_records__era5", 2000, 1.0)], "series string, year int, value double")
+    got = rows(tables.describe_columns(held, ["conus_records__era5", "band_hw_days__20cr"]), "series")
+    assert [(r["domain"], r["n_years"], r["first_year"]) for r in got] == [("band", 0, None), ("conus", 1, 2000)]
