@@ -185,15 +185,49 @@ def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int, l
               .select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
                       F.lit(None).cast(kind).alias("b"), "members"))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        probe_rows, rows = part[part["b"].isna()], part[part["b"].notna()]
-        stored_sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["members"]]
-        near = {i for p in probe_rows["members"]
-                for i in trie_matches(np.frombuffer(p, dtype=np.uint64), stored_sets, percent)}
-        chosen = rows.iloc[sorted(near)]
-        return pd.DataFrame({"a": chosen["a"], "b": chosen["b"].astype(part["a"].dtype)})
-
-    return stored.union(probes).groupBy("a", "lot").applyInPandas(walk, f"a {kind}, b {kind}")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, ["a", "lot"]):
+            probe = part["b"].isna().to_numpy()
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in part["members"]]
+            a, b = part["a"].to_numpy(), part["b"].to_numpy()
+            left, right = [], []
+            for begin, end in group_bounds(part, ["a", "lot"]):
+                stored = [i for i in range(begin, end) if not probe[i]]
+                near = {stored[k] for i in range(begin, end) if probe[i]
+                        for k in trie_matches(sets[i], [sets[x] for x in stored], percent)}
+                left += [a[i] for i in near]
+                right += [b[i] for i in near]
+            yield pd.DataFrame({"a": np.array(left, dtype=a.dtype), "b": np.array(right).astype(a.dtype)})
+
+    return (stored.union(probes).repartition("a", "lot").sortWithinPartitions("a", "lot")
+            .mapInPandas(walk, f"a {kind}, b {kind}"))
+
+
+def group_bounds(part: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal keys."""
+    new = np.zeros(len(part), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        v = part[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    begin = np.flatnonzero(new)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of sorted rows, dealt anew so that each holds whole groups: the last group waits for the next batch."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = group_bounds(batch, keys)[-1][0]
+        if last == 0 and held and all(held[-1][k].iloc[-1] == batch[k].iloc[0] for k in keys):
+            held.append(batch)
+            continue
+        yield pd.concat([*held, batch.iloc[:last]], ignore_index=True) if held else batch.iloc[:last].reset_index(drop=True)
+        held = [batch.iloc[last:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 # --- candidates ----------------------------------------------------------------------------------------------------
@@ -223,31 +257,43 @@ def _branch_pairs(postings: DataFrame, percent: int, block: int) -> DataFrame:
                      "rep", "n", "component", "sketch"))
     kind = postings.schema["rep"].dataType.simpleString()
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n", kind="stable")
-        rep, n, comp, own = (part[c].to_numpy() for c in ("rep", "n", "component", "own"))
-        same_block = part["i"].iloc[0] == part["j"].iloc[0]
-        marks = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(part), SKETCH_BITS // 64)
-        ends = np.searchsorted(n, 100 * n // percent, side="right")
-        left, right = [], []
-        for k in range(len(part) - 1):
-            rest = slice(k + 1, ends[k])
-            keep = comp[rest] != comp[k]
-            if not same_block:
-                keep &= own[rest] != own[k]
-            at = k + 1 + np.flatnonzero(keep)
-            if len(at):
-                gap = np.bitwise_count(marks[at] ^ marks[k]).sum(axis=1)
-                at = at[gap * (100 + percent) <= (100 - percent) * (n[at] + n[k])]
-                left.append(np.full(len(at), rep[k]))
-                right.append(rep[at])
-        a, b = (np.concatenate(x) if x else rep[:0] for x in (left, right))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("ngram", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b").distinct()
-
-
-def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, stars: int = 2,
+    keys = ["ngram", "i", "j"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, keys):
+            yield close_pairs(part, keys, percent)
+
+    return (dealt.repartition(*keys).sortWithinPartitions(*keys, "n").mapInPandas(compare, f"a {kind}, b {kind}")
+            .where("a <> b").distinct())
+
+
+def close_pairs(part: pd.DataFrame, keys: list[str], percent: int) -> pd.DataFrame:
+    """Pairs (a, b) of rows of one group that may be similar; rows are sorted by group and size. Every row is compared
+    with the one `step` places on, for growing steps, until the group ends or the sizes differ too much."""
+    rep, n, comp, own = (part[c].to_numpy() for c in ("rep", "n", "component", "own"))
+    within_block = (part["i"] == part["j"]).to_numpy()
+    marks = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(part), SKETCH_BITS // 64)
+    group = np.zeros(len(part), dtype=np.int64)
+    for g, (begin, end) in enumerate(group_bounds(part, keys)):
+        group[begin:end] = g
+    left, right, live, step = [], [], np.arange(len(part)), 0
+    while len(live):
+        step += 1
+        live = live[live + step < len(part)]
+        to = live + step
+        live = live[(group[to] == group[live]) & (percent * n[to] <= 100 * n[live])]
+        to = live + step
+        ask = (comp[to] != comp[live]) & (within_block[live] | (own[to] != own[live]))
+        a, b = live[ask], to[ask]
+        gap = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
+        near = gap * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+        left.append(a[near])
+        right.append(b[near])
+    a, b = (rep[np.concatenate(x)] if x else rep[:0] for x in (left, right))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, stars: int = 4,
                    block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `documents` (doc_id, text; doc_id a whole number).
 
@@ -282,10 +328,13 @@ def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, star
         star = (_unsettled(shared, components).withColumn("pivot", pivot)
                 .where("component <> pivot.component and " + _length_fits("n", "pivot.n", percent))
                 .select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct())
-        found = staged(verified(staged(star), documents, width, percent))
-        if found.isEmpty():
-            break
-        components = merged(found)
+        star = staged(star)
+        found = staged(verified(star, documents, width, percent))
+        linked = found.count()
+        if linked:
+            components = merged(found)
+        if 2 * linked < star.count():
+            break  # another star pays only where most of a branch is alike
     marks = alone.select(F.col("doc_id").alias("rep"), "sketch")
     rest = _unsettled(shared, components)
     pairs = staged(_branch_pairs(rest.join(marks, "rep"), percent, block))

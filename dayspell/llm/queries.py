@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ RULES = url_aliases.parse_rules("block net/, allow example.net/en/, block exampl
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # on a local master Python workers find this package even if it is not installed
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
