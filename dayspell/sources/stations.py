@@ -42,11 +42,20 @@ def read_daily_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Unreadable values and dates become NULL; they never fail the job.
     """
-    raw = spark.read.schema(DAILY_SCHEMA).option("header", False).csv(path)
+    return _daily(spark.read.schema(DAILY_SCHEMA).option("header", False).csv(path), row_ordinal())
+
+
+def parse_daily(lines: DataFrame, order: str = "ord") -> DataFrame:
+    """The same from lines that are already in a table (value, and their ordinal)."""
+    rows = lines.select(F.from_csv("value", DAILY_SCHEMA).alias("_row"), F.col(order).alias("_ord"))
+    return _daily(rows.select("_row.*", "_ord"), F.col("_ord"))
+
+
+def _daily(raw: DataFrame, order: Column) -> DataFrame:
     return raw.select(
         F.col("id").alias("unit"), parse_yyyymmdd(F.col("date")).alias("day"), "elem",
         _number(F.trim("value")).alias("value"), "mflag", "qflag", "sflag", "obstime",
-        row_ordinal().alias("ord"))
+        order.alias("ord"))
 
 
 def parse_station_list(lines: DataFrame, key: str = "unit") -> DataFrame:
