@@ -180,14 +180,14 @@ def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int, l
     sizes = pairs.join(sets.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n"))
     lots = staged(sizes.select("a", (F.floor(F.col("n") / load) + 1).cast("int").alias("lots")))
     stored = (pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"))
-              .join(sets.select(F.col("id").alias("b"), "members"), "b").select("a", "lot", "b", "members"))
+              .join(sets.select(F.col("id").alias("b"), "members"), "b").select("a", "lot", "b", "members", F.lit(False).alias("probe")))
     probes = (lots.join(sets.select(F.col("id").alias("a"), "members"), "a")
               .select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
-                      F.lit(None).cast(kind).alias("b"), "members"))
+                      F.col("a").alias("b"), "members", F.lit(True).alias("probe")))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in whole_groups(batches, ["a", "lot"]):
-            probe = part["b"].isna().to_numpy()
+            probe = part["probe"].to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in part["members"]]
             a, b = part["a"].to_numpy(), part["b"].to_numpy()
             left, right = [], []
@@ -197,14 +197,16 @@ def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int, l
                         for k in trie_matches(sets[i], [sets[x] for x in stored], percent)}
                 left += [a[i] for i in near]
                 right += [b[i] for i in near]
-            yield pd.DataFrame({"a": np.array(left, dtype=a.dtype), "b": np.array(right).astype(a.dtype)})
+            yield pd.DataFrame({"a": np.array(left, dtype=a.dtype), "b": np.array(right, dtype=b.dtype)})
 
     return (stored.union(probes).repartition("a", "lot").sortWithinPartitions("a", "lot")
             .mapInPandas(walk, f"a {kind}, b {kind}"))
 
 
 def group_bounds(part: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
-    """(begin, end) of the runs of equal keys."""
+    """(begin, end) of the runs of equal keys; none without rows."""
+    if not len(part):
+        return []
     new = np.zeros(len(part), dtype=bool)
     new[:1] = True
     for k in keys:
@@ -221,10 +223,11 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         if not len(batch):
             continue
         last = group_bounds(batch, keys)[-1][0]
-        if last == 0 and held and all(held[-1][k].iloc[-1] == batch[k].iloc[0] for k in keys):
+        same = held and all(held[-1][k].iloc[-1] == batch[k].iloc[0] for k in keys)
+        if last == 0 and (same or not held):
             held.append(batch)
             continue
-        yield pd.concat([*held, batch.iloc[:last]], ignore_index=True) if held else batch.iloc[:last].reset_index(drop=True)
+        yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
         held = [batch.iloc[last:]]
     if held:
         yield pd.concat(held, ignore_index=True)

@@ -145,7 +145,7 @@ def _search(mean_length: float, k: int):
         def built() -> Shard:
             part = pd.concat(held)
             sizes = part["terms"].map(len).to_numpy() // 8
-            return Shard(part["doc_id"].to_numpy().astype(np.int64), part["length"].to_numpy(dtype=np.float64),
+            return Shard(part["id"].to_numpy(), part["length"].to_numpy(dtype=np.float64),
                          np.frombuffer(b"".join(part["terms"]), dtype=np.int64),
                          np.frombuffer(b"".join(part["counts"]), dtype=np.int32).astype(np.float64), sizes, mean_length)
 
@@ -153,16 +153,16 @@ def _search(mean_length: float, k: int):
             for shard, part in batch.groupby("shard", sort=True):
                 if shard != now:
                     now, index, held = shard, None, []
-                docs = part[part["query_id"].isna()]
+                docs = part[~part["asked"]]
                 if len(docs):
                     held.append(docs)
-                asked = part[part["query_id"].notna()]
+                asked = part[part["asked"]]
                 if not len(asked) or not held:
                     continue
                 if index is None:
                     index = built()
                 out = []
-                for query, terms, idf in zip(asked["query_id"], asked["terms"], asked["counts"], strict=True):
+                for query, terms, idf in zip(asked["id"], asked["terms"], asked["counts"], strict=True):
                     best, score = index.top(np.frombuffer(terms, dtype=np.int64), np.frombuffer(idf, dtype=np.float64), k)
                     out.append(pd.DataFrame({"query_id": np.full(len(best), int(query)), "doc_id": index.ids[best], "score": score}))
                 if out:
@@ -205,11 +205,10 @@ def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_ter
     weighed = staged(weighed)
 
     place = F.pmod(F.xxhash64("doc_id", "terms"), F.lit(shards)).cast("int")
-    rows = bags.select(place.alias("shard"), F.lit(None).cast("long").alias("query_id"), "doc_id", "length", "terms", "counts")
-    asks = weighed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id",
-                          F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("length"), "terms", "counts")
-    dealt = (rows.union(asks).repartition(shards, "shard")
-             .sortWithinPartitions("shard", F.col("query_id").asc_nulls_first(), "doc_id"))
+    rows = bags.select(place.alias("shard"), F.lit(False).alias("asked"), F.col("doc_id").alias("id"), "length", "terms", "counts")
+    asks = weighed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"),
+                          F.col("query_id").alias("id"), F.lit(0).cast("long").alias("length"), "terms", "counts")
+    dealt = rows.union(asks).repartition(shards, "shard").sortWithinPartitions("shard", "asked", "id")
     found = dealt.mapInPandas(_search(mean_length, k), "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
