@@ -26,6 +26,18 @@ def monthly_offsets(raw: DataFrame, adjusted: DataFrame, unit: str = "unit") ->
         F.col("offset").isNotNull())
 
 
+def leg_offsets(legs: DataFrame, unit: str = "unit") -> DataFrame:
+    """The same from one long table of both legs (unit, leg, elem, year, month, value, flag): one
+    conditional aggregate, so the files are read once and not joined with themselves."""
+    kept = (F.col("leg") == "raw") | (F.coalesce(F.trim("flag"), F.lit("")) != "E")
+
+    def of(leg: str) -> Column:
+        return F.max(F.when((F.col("leg") == leg) & kept, F.col("value")))
+
+    both = legs.groupBy(unit, "elem", "year", "month").agg(((of("adj") - of("raw")) * OFFSET_SCALE).alias("offset"))
+    return both.filter(F.col("offset").isNotNull())
+
+
 def offsets_wide(offsets: DataFrame, unit: str = "unit") -> DataFrame:
     """One row per unit and month with tmax_offset, tmin_offset and tavg_offset."""
     return offsets.groupBy(unit, "year", "month").agg(*[

@@ -28,9 +28,13 @@ def qc_cube(obs: DataFrame, axis: DataFrame | None = None) -> DataFrame:
     return qc.slot_cube(obs if axis is None else joins.keep_listed(obs, axis))
 
 
-def homogenization_offsets(raw: DataFrame, adjusted: DataFrame) -> DataFrame:
-    """Monthly raw and adjusted legs -> one row of offsets per unit and month."""
-    return pairs.offsets_wide(pairs.monthly_offsets(raw, adjusted))
+def homogenization_offsets(raw: DataFrame, adjusted: DataFrame | None = None) -> DataFrame:
+    """Monthly raw and adjusted legs -> one row of offsets per unit and month.
+
+    One table that holds both legs (a `leg` column, as the reader gives it) is read once.
+    """
+    offsets = pairs.leg_offsets(raw) if adjusted is None else pairs.monthly_offsets(raw, adjusted)
+    return pairs.offsets_wide(offsets)
 
 
 @dataclass(frozen=True)

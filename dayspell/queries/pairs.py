@@ -14,20 +14,21 @@ from dayspell.functions.dates import season_day
 from dayspell.sources.stations import parse_monthly
 
 
-def monthly_leg(spark, d, leg: str):
-    """One leg written as fixed-width monthly lines and read back by the parser."""
-    o = views.offsets(spark, d)
+def monthly_legs(spark, d):
+    """Both legs written as fixed-width monthly lines and read back by the parser, in one pass."""
     base = (F.col("unit") * 13 + F.col("month") * 50).cast("int")
-    value = base if leg == "raw" else base + F.col("hundredths")
-    flag = F.lit(" ") if leg == "raw" else F.col("flag")
-    cells = o.select("unit", "elem", "year", "month", F.concat(
-        F.format_string("%6d", value), flag, F.lit("  ")).alias("text"))
+
+    def cell(leg, value, flag):
+        return F.struct(F.lit(leg).alias("leg"), F.concat(F.format_string("%6d", value), flag, F.lit("  ")).alias("text"))
+
+    both = F.array(cell("raw", base, F.lit(" ")), cell("adj", base + F.col("hundredths"), F.col("flag")))
+    cells = views.offsets(spark, d).select("unit", "elem", "year", "month", F.inline(both))
     by_month = F.map_from_entries(F.collect_list(F.struct("month", "text")))
-    lines = cells.groupBy("unit", "elem", "year").agg(by_month.alias("m"))
+    lines = cells.groupBy("unit", "leg", "elem", "year").agg(by_month.alias("m"))
     blank = F.lit(" -9999   ")
     text = F.concat(F.format_string("U%010d", "unit"), F.lit("1"), F.col("year").cast("string"), *[
         F.coalesce(F.try_element_at("m", F.lit(i)), blank) for i in range(1, 13)])
-    return parse_monthly(lines.select("unit", "elem", text.alias("value")), ("unit", "elem"))
+    return parse_monthly(lines.select("unit", "leg", "elem", text.alias("value")), ("unit", "leg", "elem"))
 
 
 _OFF = """
@@ -38,7 +39,7 @@ wide AS (SELECT unit, year, month, max(o) FILTER (WHERE elem = 'tmax') AS tmax_o
 
 
 def _offsets(spark, d):
-    return plans.homogenization_offsets(monthly_leg(spark, d, "raw"), monthly_leg(spark, d, "adj"))
+    return plans.homogenization_offsets(monthly_legs(spark, d))
 
 
 @query("homogenization_offsets", "WITH " + _OFF + """
@@ -58,9 +59,9 @@ SELECT 'offset' AS name, count(o) AS n_old, count(n) AS n_new, count(*) FILTER (
 FROM j
 """, ("offsets",))
 def offset_rebuild_diff(spark, d):
-    raw, adj = monthly_leg(spark, d, "raw"), monthly_leg(spark, d, "adj")
-    keep_all = pairs.monthly_offsets(raw, adj.withColumn("flag", F.lit(" ")))
-    dropped = pairs.monthly_offsets(raw, adj)
+    legs = monthly_legs(spark, d)
+    keep_all = pairs.leg_offsets(legs.withColumn("flag", F.lit(" ")))
+    dropped = pairs.leg_offsets(legs)
     return tidy(joins.differences(keep_all, dropped, ["unit", "elem", "year", "month"], ["offset"]))
 
 
