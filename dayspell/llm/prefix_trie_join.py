@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from dayspell.llm.common import connected_components, staged
 from dayspell.llm.shingles import shingle_rows
 
-SKETCH_BITS = 1024
+LEAST_BITS = 1024  # of a sketch; larger sets have more, half as many bits as members at least
 #: Ids sent to every executor at most (8 MB); more are joined by a shuffle.
 MOST_IDS = 1_000_000
 
@@ -79,11 +79,35 @@ def ordered(ngrams: np.ndarray, late: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 
 def sketch(ngrams: np.ndarray) -> bytes:
-    """Parity of the n-grams that fall on each bit: two sketches differ in no more bits than the sets in members."""
-    bits = np.bincount((ngrams & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parity of the n-grams that fall on each bit: two sketches differ in no more bits than the sets in members. Folding
+    a sketch's halves over each other gives the sketch of half the width."""
+    width = max(LEAST_BITS, 1 << ((len(ngrams) + 1) // 2 - 1).bit_length())
+    bits = np.bincount((ngrams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def sketch_gaps(marks: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of rows a[k] and b[k] differ, at the narrower one's width."""
+    size = np.array([len(m) for m in marks], dtype=np.int64)
+    narrow = np.minimum(size[a], size[b])
+    gaps = np.zeros(len(a), dtype=np.int64)
+    for width in np.unique(narrow):
+        at = np.flatnonzero(narrow == width)
+        rows, place = np.unique(np.concatenate((a[at], b[at])), return_inverse=True)
+        folded = []
+        for row in rows:
+            m = np.frombuffer(marks[row], dtype=np.uint64)
+            while m.nbytes > width:
+                m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+            folded.append(m)
+        table = np.stack(folded)
+        for lo in range(0, len(at), 4096):
+            part = slice(lo, lo + 4096)
+            left, right = table[place[: len(at)][part]], table[place[len(at) :][part]]
+            gaps[at[part]] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return gaps
+
+
 def profiles(documents: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """doc_id, n (set size), digest of the set, prefix and sketch of every document."""
     late = np.sort(frequent)
@@ -275,7 +299,7 @@ def close_pairs(part: pd.DataFrame, keys: list[str], percent: int) -> pd.DataFra
     with the one `step` places on, for growing steps, until the group ends or the sizes differ too much."""
     rep, n, comp, own = (part[c].to_numpy() for c in ("rep", "n", "component", "own"))
     within_block = (part["i"] == part["j"]).to_numpy()
-    marks = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(part), SKETCH_BITS // 64)
+    marks = part["sketch"].tolist()
     group = np.zeros(len(part), dtype=np.int64)
     for g, (begin, end) in enumerate(group_bounds(part, keys)):
         group[begin:end] = g
@@ -288,8 +312,7 @@ def close_pairs(part: pd.DataFrame, keys: list[str], percent: int) -> pd.DataFra
         to = live + step
         ask = (comp[to] != comp[live]) & (within_block[live] | (own[to] != own[live]))
         a, b = live[ask], to[ask]
-        gap = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
-        near = gap * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+        near = sketch_gaps(marks, a, b) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
         left.append(a[near])
         right.append(b[near])
     a, b = (rep[np.concatenate(x)] if x else rep[:0] for x in (left, right))

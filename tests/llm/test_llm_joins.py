@@ -208,6 +208,17 @@ def test_near_copies_of_nothing(spark):
     assert prefix_trie_join.without_copies(frame).count() == 3
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (10, 500, 2100, 4200, 9000)]
+    sets += [s[rng.random(len(s)) > 0.1] for s in sets]
+    marks = [prefix_trie_join.sketch(s) for s in sets]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(10) for j in range(10)], strict=True))
+    gaps = prefix_trie_join.sketch_gaps(marks, a, b)
+    assert all(g <= len(np.setxor1d(sets[i], sets[j])) for g, i, j in zip(gaps, a, b, strict=True))
+    assert gaps[3 * 10 + 8] > 0 and gaps[44] == 0 and gaps[3 * 10 + 4] > 0.2 * len(sets[3])
+
+
 def test_trie_matches_like_brute_force():
     rng = np.random.default_rng(4)
     for percent in (60, 80, 85, 100):
