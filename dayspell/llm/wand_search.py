@@ -116,6 +116,8 @@ class Shard:
             pivot += 1
         at, owner = self._lists(t[:pivot], self.start)
         partial = np.bincount(self.doc[at], w[owner] * self.by_term[at], self.n)
+        if self.n > k:  # a partial score bounds its document's from below, so the k-th best of them raises the threshold
+            floor = max(floor, np.partition(partial, self.n - k)[self.n - k] - 1e-9)
         if pivot < len(t):
             rest, owner = self._lists(t[pivot:], self.block_start)
             blocks = np.bincount(self.block[rest], w[pivot:][owner] * self.block_most[rest], (self.n + BLOCK - 1) // BLOCK)
@@ -179,7 +181,7 @@ def _query_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "counts": [np.array([w for _, w in r], dtype=np.float64).tobytes() for r in rows]})
 
 
-def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_terms: int = 6_000_000) -> DataFrame:
+def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_terms: int = 2_000_000) -> DataFrame:
     """query_id, rank, doc_id, score: the `k` best rows of `documents` (doc_id, text) for each of `queries` (doc_id, text).
 
     Terms are words (ASCII letters lower-cased, other ASCII signs blanks; whole texts); a query's different terms count
@@ -208,7 +210,7 @@ def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_ter
     rows = bags.select(place.alias("shard"), F.lit(False).alias("asked"), F.col("doc_id").alias("id"), "length", "terms", "counts")
     asks = weighed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"),
                           F.col("query_id").alias("id"), F.lit(0).cast("long").alias("length"), "terms", "counts")
-    dealt = rows.union(asks).repartition(shards, "shard").sortWithinPartitions("shard", "asked", "id")
+    dealt = rows.union(asks).repartition(3 * shards, "shard").sortWithinPartitions("shard", "asked", "id")
     found = dealt.mapInPandas(_search(mean_length, k), "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
