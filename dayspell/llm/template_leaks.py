@@ -3,7 +3,8 @@
 Words of a text become template tokens: numbers, units behind numbers, and capitalised names turn into typed
 placeholders, other words are lower-cased. Windows of template tokens are hashed and joined with those of the benchmark
 items. Where windows meet, the values behind the placeholders are compared: a re-parameterised question replaces each
-value by one other value throughout, a chance resemblance does not. DataFrame operations only.
+value by one other value throughout, a chance resemblance does not. A second stream of windows holds names as case-folded
+words, so that a copy in other case is met as well. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -44,34 +45,58 @@ def _kind(token: Column, previous: Column) -> Column:
             .when(unit, F.lit(UNIT).cast("long")).otherwise(F.xxhash64(low)))
 
 
+def _folded(token: Column, previous: Column) -> Column:
+    """Code of a token whose case says nothing: a number's or unit's placeholder or the hash of the case-folded word."""
+    unit = F.substring(previous, 1, 1).between("0", "9") & F.lower(token).isin(*UNITS)
+    return (F.when(F.substring(token, 1, 1).between("0", "9"), F.lit(NUMBER).cast("long"))
+            .when(unit, F.lit(UNIT).cast("long")).otherwise(F.xxhash64(F.lower(F.upper(token)))))
+
+
 def templates(texts: DataFrame, key: str) -> DataFrame:
-    """key, raw (tokens) and code (template codes) of every row with a text."""
+    """key, raw (tokens), code (template codes) and folded (case-folded codes) of every row with a text."""
     raw = _held(texts.where("text is not null").select(key, "text"),
                 raw=F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).drop("text")
-    return _held(raw, code=F.transform("raw", lambda t, i: _kind(t, F.coalesce(F.get(F.col("raw"), i - 1), F.lit("")))))
+    before = lambda i: F.coalesce(F.get(F.col("raw"), i - 1), F.lit(""))
+    return _held(raw, code=F.transform("raw", lambda t, i: _kind(t, before(i))),
+                 folded=F.transform("raw", lambda t, i: _folded(t, before(i))))
 
 
-def _window_hash(code: Column, i: Column, width: int) -> Column:
-    return F.xxhash64(*[F.get(code, i + k) for k in range(width)])
+def _window_hash(i: Column, width: int, folded: bool) -> Column:
+    """Hash of the window at `i`; the streams' hashes differ, so that neither meets the other."""
+    code = F.col("folded" if folded else "code")
+    return F.xxhash64(*[F.lit(True)] * folded, *[F.get(code, i + k) for k in range(width)])
 
 
 def _starts(width: int) -> Column:
     return F.when(F.size("code") >= width, F.sequence(F.lit(0), F.size("code") - width)).otherwise(F.array().cast("array<int>"))
 
 
-def _slots(i: Column, width: int) -> Column:
-    """Per token of the window: its raw text at a placeholder, else null."""
-    return F.array(*[F.when(F.get(F.col("code"), i + k).between(NUMBER, NAME), F.get(F.col("raw"), i + k)) for k in range(width)])
+def _slots(i: Column, width: int, folded: bool) -> Column:
+    """Per token of the window: its raw text (lower-cased in the folded stream) at a placeholder, else null."""
+    code, raw = F.col("folded" if folded else "code"), lambda k: F.get(F.col("raw"), i + k)
+    return F.array(*[F.when(F.get(code, i + k).between(NUMBER, NAME), F.lower(raw(k)) if folded else raw(k)) for k in range(width)])
+
+
+def _windows(starts: Column, width: int, folded: bool, at: str, slots: str) -> Column:
+    return F.transform(starts, lambda i: F.struct(i.alias(at), F.lit(folded).alias("folded"), _window_hash(i, width, folded).alias("hash"),
+                                                  _slots(i, width, folded).alias(slots)))
+
+
+def _covered(starts: Column, width: int) -> Column:
+    """How many tokens the windows at `starts` cover together."""
+    return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda a: F.sequence(a, a + (width - 1))))))
 
 
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
-    """item_id, at, hash, slots of every window that holds `literals` words at least, and windows (how many the item has)."""
+    """item_id, at, folded, hash, slots of every window that holds `literals` words at least, windows (how many of them the
+    item's templates have) and tokens (how many tokens they and the folded ones cover)."""
     rows = templates(benchmark.select("item_id", "text"), "item_id")
-    found = rows.select("item_id", F.explode(F.transform(_starts(width), lambda i: F.struct(
-        i.alias("at"), _window_hash(F.col("code"), i, width).alias("hash"), _slots(i, width).alias("slots")))).alias("w"))
+    found = rows.select("item_id", F.explode(F.concat(*[
+        _windows(_starts(width), width, folded, "at", "slots") for folded in (False, True)])).alias("w"))
     enough = F.size(F.filter("w.slots", lambda s: s.isNull())) >= literals
-    found = found.where(enough).select("item_id", "w.at", "w.hash", "w.slots").dropDuplicates(["item_id", "at", "hash"])
-    sizes = found.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
+    found = found.where(enough).select("item_id", "w.at", "w.folded", "w.hash", "w.slots").dropDuplicates(["item_id", "at", "hash"])
+    sizes = found.groupBy("item_id").agg(F.count_distinct(F.when(~F.col("folded"), F.col("at"))).alias("windows"),
+                                         _covered(F.collect_set("at"), width).alias("tokens"))
     return found.join(sizes, found["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
 
 
@@ -87,49 +112,65 @@ def _filter_words(windows: DataFrame) -> list[int]:
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, literals: int = 2,
-          agreement: float = 0.8) -> DataFrame:
-    """doc_id, item_id, matched, windows, share_matched, slots, slots_kept of every document that holds an item.
-
-    An item is held if `share` of its windows occur in the document, in alignments whose slots are consistent: of the
-    different values the item has there, `agreement` stand for one value of the document and the other way round. Windows
-    with fewer than `literals` words (others are placeholders) say nothing; an item without a telling window, so also
-    one of fewer than `width` tokens, is never found. Null texts hold nothing; rows of equal doc_id count as one document,
-    null ids too; an empty table gives an empty result; other columns are not read.
+          agreement: float = 0.8, cover: float = 0.6) -> DataFrame:
+    """doc_id, item_id, matched, windows, share_matched, slots, slots_kept, share_covered of every document that holds an item.
+
+    An item is held if `share` of its template windows occur in the document, or if windows of either stream that lie in one
+    stretch of the document, as long as the item or so, cover `cover` of the item's tokens (a copy in other case, with a word
+    changed, or of a part). Windows count in alignments whose slots are consistent: of the different values the item has there,
+    `agreement` stand for one value of the document and the other way round. Windows with fewer than `literals` words (others
+    are placeholders) say nothing; an item without a telling window, so also one of fewer than `width` tokens, is never
+    found. matched to slots_kept tell of templates, share_covered of both streams. Null texts hold nothing; rows of equal
+    doc_id count as one document, null ids too; an empty table gives an empty result; other columns are not read.
     """
     known = staged(item_windows(benchmark, width, literals))
     bits = F.array(*[F.lit(v) for v in _filter_words(known)])
     near = F.broadcast(known) if known.count() <= MOST_SENT else known
 
     def passes(i: Column) -> Column:
-        place = F.pmod(_window_hash(F.col("code"), i, width), F.lit(FILTER_BITS)).cast("int")
+        found = F.when(i >= 0, _window_hash(i, width, False)).otherwise(_window_hash(-1 - i, width, True))
+        place = F.pmod(found, F.lit(FILTER_BITS)).cast("int")
         word = F.get(bits, F.call_function("shiftright", place, F.lit(6)))
         return F.call_function("shiftright", word, place % 64).bitwiseAND(F.lit(1)) == 1
 
-    rows = _held(templates(documents.select("doc_id", "text"), "doc_id"), hits=F.filter(_starts(width), passes))
-    hits = rows.select("doc_id", F.explode(F.transform("hits", lambda i: F.struct(
-        i.alias("i"), _window_hash(F.col("code"), i, width).alias("hash"), _slots(i, width).alias("seen")))).alias("h"))
+    # one pass over both streams: the folded window at i is -1 - i, so that the plan holds the filter once
+    every = F.concat(_starts(width), F.transform(_starts(width), lambda i: -1 - i))
+    rows = _held(templates(documents.select("doc_id", "text"), "doc_id"), hits=F.filter(every, passes))
+    hits = rows.select("doc_id", F.explode(F.concat(
+        _windows(F.filter("hits", lambda i: i >= 0), width, False, "i", "seen"),
+        _windows(F.transform(F.filter("hits", lambda i: i < 0), lambda i: -1 - i), width, True, "i", "seen"))).alias("h"))
     met = hits.select("doc_id", "h.i", "h.hash", "h.seen").join(near, "hash").select(
-        "doc_id", "item_id", "windows", "at", (F.col("i") - F.col("at")).alias("shift"), "seen", "slots")
+        "doc_id", "item_id", "windows", "tokens", "folded", "at", (F.col("i") - F.col("at")).alias("shift"), "seen", "slots")
     met = staged(met)
 
-    pairs = (met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "seen")).alias("s"))
+    pairs = (met.select("doc_id", "item_id", "folded", "shift", F.explode(F.arrays_zip("slots", "seen")).alias("s"))
              .where("s.slots is not null")
-             .groupBy("doc_id", "item_id", "shift").agg(
+             .groupBy("doc_id", "item_id", "folded", "shift").agg(
                  F.count_distinct("s.slots").alias("values"), F.count_distinct("s.seen").alias("others"),
                  F.count_distinct("s.slots", "s.seen").alias("pairs")))
     broken = pairs.where((F.col("pairs") * agreement > F.least("values", "others"))).select(
-        F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("shift").alias("z"))
-    same = met["doc_id"].eqNullSafe(broken["d"]) & met["item_id"].eqNullSafe(broken["t"]) & (met["shift"] == broken["z"])
+        F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("folded").alias("f"), F.col("shift").alias("z"))
+    same = (met["doc_id"].eqNullSafe(broken["d"]) & met["item_id"].eqNullSafe(broken["t"])
+            & (met["shift"] == broken["z"]) & (met["folded"] | ~broken["f"]))  # folded windows fall with the templates of their alignment
     consistent = met.join(broken, same, "left_anti")
-    values = pairs.groupBy("doc_id", "item_id").agg(F.max("values").alias("slots"), F.max(
+    values = pairs.where(~F.col("folded")).groupBy("doc_id", "item_id").agg(F.max("values").alias("slots"), F.max(
         F.when(F.col("pairs") * agreement <= F.least("values", "others"), F.col("values"))).alias("slots_kept"))
-    found = (consistent.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("matched"), F.max("windows").alias("windows"))
-             .where(F.col("matched") >= share * F.col("windows")))
+    # stretches that overlap by half: shifts that differ by less than half an item share one
+    stretch = F.explode(F.array(*[F.struct(F.lit(half).alias("half"), F.floor(F.col("shift") / F.col("tokens") + half / 2).alias("n"))
+                                  for half in (0, 1)]))
+    parts = (consistent.select("doc_id", "item_id", "windows", "tokens", "folded", "at", stretch.alias("stretch"))
+             .groupBy("doc_id", "item_id", "stretch").agg(
+                 F.collect_set(F.when(~F.col("folded"), F.col("at"))).alias("kept"), _covered(F.collect_set("at"), width).alias("covered"),
+                 F.max("windows").alias("windows"), F.max("tokens").alias("tokens")))
+    found = (parts.groupBy("doc_id", "item_id").agg(
+                 F.size(F.array_distinct(F.flatten(F.collect_list("kept")))).cast("long").alias("matched"), F.max("windows").alias("windows"),
+                 (F.max("covered") / F.max("tokens")).alias("share_covered"))
+             .where(((F.col("windows") > 0) & (F.col("matched") >= share * F.col("windows"))) | (F.col("share_covered") >= cover)))
     both = found["doc_id"].eqNullSafe(values["doc_id"]) & found["item_id"].eqNullSafe(values["item_id"])
     return found.join(values, both, "left").select(
         found["doc_id"], found["item_id"], "matched", "windows",
-        (F.col("matched") / F.col("windows")).alias("share_matched"),
-        F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("slots_kept", F.lit(0)).alias("slots_kept"))
+        F.when(F.col("windows") > 0, F.col("matched") / F.col("windows")).otherwise(0.0).alias("share_matched"),
+        F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("slots_kept", F.lit(0)).alias("slots_kept"), "share_covered")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

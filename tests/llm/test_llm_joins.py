@@ -153,6 +153,18 @@ def test_items_that_say_nothing(spark):
     assert leaked(spark, [ITEM, ITEM], (ITEM, ITEM)) == [(0, 0), (0, 1), (1, 0), (1, 1)]
 
 
+def test_leaks_in_other_case_edited_or_in_part(spark):
+    words = ITEM.split()
+    edited = " ".join(words[:20] + ["stroll"] + words[21:])
+    texts = [f"so {ITEM.upper()} so", ITEM.lower(), edited, ITEM[: len(ITEM) * 3 // 4], ITEM[len(ITEM) // 4 :],
+             " ".join([*words[:12], *["filler"] * 2_000, *words[12:24], *["filler"] * 2_000, *words[24:36]])]
+    assert leaked(spark, texts) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)]
+    short = "Straße und Haus stehen am Rande der Stadt, wo Anna im Mai wohnt."  # 13 tokens
+    texts = [short.upper(), short.lower(), short.replace("am", "an"), "Die Stadt, wo Anna wohnt."]
+    assert leaked(spark, texts, (short,)) == [(0, 0), (1, 0), (2, 0)]
+    assert leaked(spark, ["so anna bert carla dora emil so"], ("Anna Bert Carla Dora Emil",)) == [(0, 0)]  # no template tells of it
+
+
 # --- near copies ----------------------------------------------------------------------------------------------------
 
 def shingle_set(text, width):
