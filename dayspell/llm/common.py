@@ -87,3 +87,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     every = found.union(roots)
     return every.union(loops.join(every, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def joined_by_key(rows: DataFrame, by_key: DataFrame, key: str, most: int = 100_000, salts: int = 32) -> DataFrame:
+    """`rows` with the columns of `by_key`, which has one row per value of `key` (null is a value).
+
+    Up to `most` keys, counted first, are broadcast. Beyond that every key is repeated per salt and both sides meet on
+    (key, salt), so rows of one key are dealt to several tasks.
+    """
+    named = by_key.withColumnRenamed(key, "j_key")
+    if by_key.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("j_key"))).drop("j_key")
+    left = rows.withColumn("j_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    right = named.withColumn("j_turn", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = F.col(key).eqNullSafe(F.col("j_key")) & (F.col("j_salt") == F.col("j_turn"))
+    return left.join(right, same).drop("j_key", "j_salt", "j_turn")

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspell.llm import codeword_lang, label_shards, page_text, piece_counts, prefix_trie_join, subsequence_svm, template_leaks, url_aliases, wand_search, weighted_mix
+from dayspell.llm import cell_codes, codeword_lang, guess_cost, importance_draw, label_shards, page_text, piece_counts, prefix_trie_join, subsequence_svm, template_leaks, url_aliases, wand_search, weighted_mix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -252,3 +252,97 @@ def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return wand_search.top_matches(documents, documents.where("doc_id % 50 = 0"))
+
+
+def _cell_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assigning and averaging over (vector, part, place) rows; for tables of one vector length."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+    select v, part, arg_min(entry, gap * {entries} + entry) as entry, min(gap) as gap
+    from (select c.v, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) as gap
+          from comps c join b{r} b on c.part = b.part and c.place = b.place group by c.v, c.part, b.entry)
+    group by v, part)""")
+        if r < rounds:
+            steps.append(f"""
+b{r + 1} as materialized (
+    select b.part, b.entry, b.place, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.x)::bigint as x
+    from b{r} b left join (
+        select a.part, a.entry, c.place, sum(c.x)::hugeint as s, count(*)::hugeint as n
+        from a{r} a join comps c on a.v = c.v and a.part = c.part group by all) m
+    on b.part = m.part and b.entry = m.entry and b.place = m.place)""")
+    return f"""
+with kept as materialized (
+    select row_number() over (order by vec_id, embedding) as v, vec_id, label, embedding from embeddings
+    where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+flat as (select v, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i, len(embedding) // {parts} as width from kept),
+comps as materialized (select v, (i // width)::int as part, (i % width)::int as place, floor(1024 * x)::bigint as x from flat),
+b0 as materialized (select part, (v - 1)::int as entry, place, x from comps where v <= {entries}),
+{",".join(steps)},
+coded as (
+    select v, string_agg(format('{{:02x}}', entry), '' order by part) as code, sum(gap)::bigint as error from a{rounds} group by v),
+labelled as (select k.vec_id, k.label, c.code, c.error from coded c join kept k on c.v = k.v),
+totals as (select label, sum(error)::bigint as label_error from labelled group by label)
+select l.vec_id, l.code, l.error, t.label_error,
+       (select sha256(string_agg(x::varchar, ',' order by part, entry, place)) from b{rounds}) as codebooks_sha256
+from labelled l join totals t on l.label is not distinct from t.label
+"""
+
+
+@query("op11_cell_codes", _cell_codes_sql())
+def op11_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _runs_sql(source: str) -> str:
+    return rf"""
+    select *, unnest(words) as word from (
+        select *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from {source})"""
+
+
+#: crc32 of each distinct word, byte by byte from its UTF-8 bytes in hexadecimal.
+OP12_SQL = f"""
+with crc_table as (
+    select list(c order by i) as t from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c
+        from (select unnest(range(256)) as i))),
+numbered as (select row_number() over () as row_id, doc_id, text from documents),
+doc_words as materialized (select row_id, doc_id, len(words) as n, word from ({_runs_sql('numbered')})),
+item_words as materialized (select word from ({_runs_sql('benchmark')})),
+spelled as (
+    select word, hex(encode(word)) as h from (select word from doc_words union select word from item_words)),
+bucketed as materialized (
+    select word, xor(list_reduce(
+        list_prepend(4294967295, [('0x' || substr(h, (2 * i + 1)::bigint, 2))::bigint for i in range(len(h) // 2)]),
+        lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) % 10000 as bucket
+    from spelled, crc_table),
+s as (select bucket, count(*) as s from doc_words join bucketed using (word) group by bucket),
+t as (select bucket, count(*) as t from item_words join bucketed using (word) group by bucket),
+totals as (select (select count(*) from doc_words) as ss, (select count(*) from item_words) as tt),
+gains as (
+    select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (ss + 10000)::double / ((coalesce(s, 0) + 1)::double * (tt + 10000)::double)))::bigint as gain
+    from (select distinct bucket from bucketed) left join s using (bucket) left join t using (bucket), totals),
+weights as (
+    select row_id, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight
+    from doc_words join bucketed using (word) join gains using (bucket) group by row_id),
+scored as (
+    select d.row_id, d.doc_id, coalesce(w.n, 0) as n_features, coalesce(w.weight, 0) as weight,
+           coalesce(w.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+    from numbered d left join weights w using (row_id)),
+eligible as (select *, row_number() over (order by score desc, doc_id) as turn, count(*) over () as total from scored where n_features >= 20)
+select s.doc_id, s.n_features::bigint as n_features, s.weight, s.score,
+       case when e.turn <= e.total * 10 // 100 then e.turn end::bigint as rank
+from scored s left join eligible e using (row_id)
+"""
+
+
+@query("op12_importance_draw", OP12_SQL)
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_draw.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_guess_cost")
+def op13_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guess_cost.secrets(table(spark, sf_dir, "documents"))
