@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,8 +96,15 @@ def blank_after_last_full_year(series: DataFrame, daily: DataFrame, day: str = "
 
     An absent year is not a year of zero.
     """
+    return blank_after(series, last_full_year(daily, day), value)
+
+
+def last_full_year(daily: DataFrame, day: str = "day") -> Column:
+    """Last year the data covers to 31 December, as one value."""
     last = F.max(day)
-    full = daily.agg(
-        (F.year(last) - F.when(F.date_format(last, "MMdd") == "1231", 0).otherwise(1)).alias("y"))
-    return series.withColumn(
-        value, F.when(F.col("year") <= full.scalar(), F.col(value)))
+    return daily.agg(
+        (F.year(last) - F.when(F.date_format(last, "MMdd") == "1231", 0).otherwise(1)).alias("y")).scalar()
+
+
+def blank_after(series: DataFrame, year: Column, value: str = "value") -> DataFrame:
+    return series.withColumn(value, F.when(F.col("year") <= year, F.col(value)))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from dayspell.defaults import SEASON_DAYS
 from dayspell.functions.dates import month_day
+from dayspell.operators.guards import stop
 
 
 def _names(unit: str | Sequence[str]) -> list[str]:
@@ -56,13 +57,17 @@ def unit_record_counts(panel: DataFrame, unit: str | Sequence[str] = "unit", day
 
 def record_series(counts: DataFrame, years: tuple[int, int], unit: str = "unit",
                   weights: DataFrame | None = None, by: Sequence[str] = (),
-                  members: DataFrame | None = None) -> DataFrame:
+                  members: DataFrame | None = None, expected: float | None = None,
+                  tolerance: float = 0.5) -> DataFrame:
     """Weighted mean record count per year; a year without records is 0.
 
     One series, or one per `by` key. `weights` (unit, weight) limits and weighs the units. Every unit with data
     holds a record, so the units and their total weight come out of the counts
     themselves in the same pass: each unit's first row carries its weight. Where
     units without data belong to the mean, `members` (unit) names all units.
+
+    Every unit holds one record per calendar day it observed, so a complete series sums to the days of the season.
+    `expected` makes a series that does not fail the job, from the row that holds its total anyway.
     """
     if members is not None:
         idle = members.select(unit, F.lit(years[0]).alias("year"), F.lit(0.0).alias("records")).distinct()
@@ -79,6 +84,11 @@ def record_series(counts: DataFrame, years: tuple[int, int], unit: str = "unit",
     # one row per series, holding at most one entry per year
     whole = yearly.groupBy(*by).agg(F.sum("_m").alias("_total"), F.map_from_entries(
         F.collect_list(F.struct("year", "_s"))).alias("_by_year"))
+    if expected is not None:
+        held = F.aggregate(F.map_values("_by_year"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+        gap = F.abs(F.try_divide(held, F.col("_total")) - expected)
+        told = F.concat(F.lit(f"a record series must sum to {expected:g}; this one is off by "), gap.cast("string"))
+        whole = whole.withColumn("_total", stop(gap < tolerance, told, F.col("_total")))
     return whole.select(
         *by, F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))).alias("year"),
         "_total", "_by_year",

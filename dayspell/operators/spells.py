@@ -86,6 +86,48 @@ def heatwave_counts(panel: DataFrame, unit: Sequence[str] = ("unit",), doy: str
     ).drop("_tshare", "_hot")
 
 
+def unit_years(panel: DataFrame, unit: Sequence[str] = ("unit",), doy: str = "doy", value: str = "value",
+               records_of: str | None = None, record_years: tuple[int, int] | None = None,
+               mean_days: tuple[int, int] | None = None, percentile: float = HEAT_PERCENTILE,
+               half_window: int = HEAT_HALF_WINDOW, min_pool: int = HEAT_MIN_POOL, min_run: int = HEAT_MIN_RUN,
+               min_share: float = HEAT_MIN_SHARE, season_days: int = SEASON_DAYS, method: str = "nearest_rank",
+               inclusive: bool = True, need_thresholds: bool = True, laid_out: bool = False) -> DataFrame:
+    """Everything a season tells about a unit and a year, in one chain behind one layout by unit:
+    (unit, year, n_days, hw_days, n_records_of, credits, n_mean, mean).
+
+    hw_days as `heatwave_counts`. `credits` lists (doy, credit) of the calendar days whose all-time maximum, over
+    `record_years`, falls into the year, N years sharing it with 1/N each; `records_of` names the column it is
+    taken from when that is not `value`. `mean` is the average over the season days in `mean_days`.
+    """
+    thresholds = heat_thresholds(panel, unit, doy, value, percentile, half_window, min_pool, method, season_days,
+                                 keep_days=True, laid_out=laid_out, carry=records_of)
+    field = "c" if records_of else "v"
+
+    def counts_for_records(r: Column) -> Column:
+        live = r[field].isNotNull()
+        return live if record_years is None else live & r["year"].between(*record_years)
+
+    whole = Window.partitionBy(*unit)
+    thresholds = thresholds.withColumn("_tshare", F.count("threshold").over(whole) / F.lit(float(season_days)))
+    thresholds = thresholds.withColumn("_rec", F.transform(F.filter("own", counts_for_records), lambda r: r[field]))
+    thresholds = thresholds.withColumn("_top", F.array_max("_rec"))
+    thresholds = thresholds.withColumn("_credit", F.lit(1.0) / F.size(F.filter("_rec", lambda v: v == F.col("_top"))))
+    days = thresholds.select(*unit, doy, "threshold", "_tshare", "_top", "_credit", F.inline("own"))
+    hot = exceeds(F.col("v"), F.col("threshold"), inclusive)
+    live = F.col(field).isNotNull() & (F.lit(True) if record_years is None else F.col("year").between(*record_years))
+    credit = F.struct(F.col(doy).alias("doy"), F.col("_credit").alias("credit"))
+    in_mean = F.col("v") if mean_days is None else F.when(F.col(doy).between(*mean_days), F.col("v"))
+    counts = days.groupBy(*unit, "year").agg(
+        F.count("v").alias("n_days"), F.min("_tshare").alias("_tshare"),
+        F.collect_list(F.when(hot, F.col(doy))).alias("_hot"), F.count(F.when(live, 1)).alias("n_records_of"),
+        F.collect_list(F.when(live & (F.col(field) == F.col("_top")), credit)).alias("credits"),
+        F.count(in_mean).alias("n_mean"), F.avg(in_mean).alias("mean"))
+    known = F.col("n_days") / F.lit(float(season_days)) >= min_share
+    if need_thresholds:
+        known = known & (F.col("_tshare") >= min_share)
+    return counts.withColumn("hw_days", F.when(known, days_in_runs(F.col("_hot"), min_run))).drop("_tshare", "_hot")
+
+
 def axis_days(field: DataFrame, doy: str = "doy") -> DataFrame:
     """Days a dataset's own time axis has in each year: (year, n_axis)."""
     return field.select("year", doy).distinct().groupBy("year").agg(F.count("*").alias("n_axis"))

@@ -37,18 +37,20 @@ def linear_percentile(ordered: Column, percentile: float) -> Column:
 
 
 def by_day(panel: DataFrame, unit: Sequence[str], doy: str, value: str,
-           first: int, last: int, laid_out: bool = False) -> DataFrame:
-    """(unit, doy, own) for every doy in [first, last]; `own` lists (year, value).
+           first: int, last: int, laid_out: bool = False, carry: str | None = None) -> DataFrame:
+    """(unit, doy, own) for every doy in [first, last]; `own` lists (year, v), or (year, v, c) with a carried
+    column, which then also keeps days without a value.
 
     Days without data get an empty list, filled in between the unit's own days
     without another table or shuffle. `laid_out` says the rows already lie by unit.
     """
-    rows = panel.filter(F.col(value).isNotNull() & F.col(doy).between(first, last))
-    rows = rows.select(*unit, doy, "year", value)
+    known = F.col(value).isNotNull() if carry is None else F.col(value).isNotNull() | F.col(carry).isNotNull()
+    rows = panel.filter(known & F.col(doy).between(first, last))
+    rows = rows.select(*unit, doy, "year", value, *([carry] if carry else []))
     if not laid_out:
         rows = rows.repartition(*unit)
     held = rows.groupBy(*unit, doy).agg(
-        F.collect_list(F.struct(F.col("year"), F.col(value).alias("v"))).alias("own"))
+        F.collect_list(F.struct(F.col("year"), F.col(value).alias("v"), *([F.col(carry).alias("c")] if carry else []))).alias("own"))
     w = Window.partitionBy(*unit).orderBy(doy)
     start = F.when(F.lag(doy).over(w).isNull(), F.lit(first)).otherwise(F.col(doy))
     stop = F.coalesce(F.lead(doy).over(w) - 1, F.lit(last))
@@ -62,7 +64,7 @@ def by_day(panel: DataFrame, unit: Sequence[str], doy: str, value: str,
 def _pooled(days: DataFrame, unit: Sequence[str], doy: str, before: int, after: int) -> DataFrame:
     """Add `pool`, the sorted values of days [doy - before, doy + after] inside the range."""
     w = Window.partitionBy(*unit).orderBy(doy).rangeBetween(-before, after)
-    values = F.transform("own", lambda r: r["v"])
+    values = F.array_compact(F.transform("own", lambda r: r["v"]))
     return days.withColumn("_v", values).withColumn(
         "pool", F.sort_array(F.flatten(F.collect_list("_v").over(w)))).drop("_v")
 
@@ -71,14 +73,14 @@ def heat_thresholds(panel: DataFrame, unit: Sequence[str] = ("unit",), doy: str
                     value: str = "value", percentile: float = HEAT_PERCENTILE,
                     half_window: int = HEAT_HALF_WINDOW, min_pool: int = HEAT_MIN_POOL,
                     method: str = "nearest_rank", season_days: int = SEASON_DAYS,
-                    keep_days: bool = False, laid_out: bool = False) -> DataFrame:
+                    keep_days: bool = False, laid_out: bool = False, carry: str | None = None) -> DataFrame:
     """Threshold per unit and season day from the +/- `half_window` day pool.
 
     The pool is clipped to the season, and a day with fewer than `min_pool`
     values has no threshold. With `keep_days` the (year, value) list of each day
     stays beside its threshold, which saves a join back to the days.
     """
-    days = by_day(panel, unit, doy, value, 1, season_days, laid_out)
+    days = by_day(panel, unit, doy, value, 1, season_days, laid_out, carry)
     pooled = _pooled(days, unit, doy, half_window, half_window)
     rule = nearest_rank if method == "nearest_rank" else linear_percentile
     n = F.size("pool")

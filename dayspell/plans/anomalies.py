@@ -35,11 +35,13 @@ def seasonal_anomaly_field(field_months: DataFrame, weights: DataFrame, months:
 
 def station_field(values: DataFrame, cells: DataFrame, baseline: tuple[int, int] = BASELINE,
                   min_base: int = MIN_BASE_YEARS_STATION, k: int = IDW_NEIGHBOURS,
-                  power: float = IDW_POWER, radius_km: float = IDW_RADIUS_KM) -> DataFrame:
-    """Station-month values -> station anomalies -> monthly interpolated field."""
+                  power: float = IDW_POWER, radius_km: float = IDW_RADIUS_KM, pairs: DataFrame | None = None) -> DataFrame:
+    """Station-month values -> station anomalies -> monthly interpolated field. `pairs` are the distances where the
+    caller has them already, of all stations in `values` or more."""
     anomalies = anomaly.anomalies(values, ("unit", "month"), baseline=baseline, min_years=min_base)
-    stations = values.groupBy("unit").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
-    pairs = spatial.near_pairs(cells, stations, radius_km)
+    if pairs is None:
+        stations = values.groupBy("unit").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+        pairs = spatial.near_pairs(cells, stations, radius_km)
     return gridding.nearest_idw(anomalies, pairs, k=k, power=power)
 
 
@@ -83,8 +85,15 @@ def band_anomaly(field: DataFrame, cells: DataFrame, mask: str = "land", months:
                  min_base: int = MIN_BASE_YEARS_BAND, lat_bounds: tuple[float, float] = BAND_LAT,
                  k: float = MAD_K) -> DataFrame:
     """Daily field -> season mean -> cell anomaly -> land mean with coverage -> MAD guard."""
-    land = cells.filter(F.col(mask))
     seasons = monthly.season_year_means(field, ("cell",), months=months, min_days=min_days)
+    return band_of_seasons(seasons, cells, mask, baseline, min_base, lat_bounds, k)
+
+
+def band_of_seasons(seasons: DataFrame, cells: DataFrame, mask: str = "land", baseline: tuple[int, int] = BASELINE,
+                    min_base: int = MIN_BASE_YEARS_BAND, lat_bounds: tuple[float, float] = BAND_LAT,
+                    k: float = MAD_K) -> DataFrame:
+    """The same from season means (cell, year, value)."""
+    land = cells.filter(F.col(mask))
     anomalies = anomaly.anomalies(seasons, ("cell",), baseline=baseline, min_years=min_base)
     band = gridding.cosine_mean(anomalies, land, lat_bounds=lat_bounds)
     named = band.withColumn("series", F.lit("band"))

@@ -65,17 +65,18 @@ def domain_cells(cells: DataFrame, min_fraction: float = MIN_CELL_FRACTION) -> D
     return kept.filter(F.col("land")) if "land" in cells.columns else kept
 
 
-def grid_series(counts: DataFrame, cells: DataFrame, axis: DataFrame,
-                years: tuple[int, int] = RECORD_YEARS, blank: bool = True) -> DataFrame:
+def grid_series(counts: DataFrame, cells: DataFrame, axis: DataFrame | None,
+                years: tuple[int, int] = RECORD_YEARS, blank: bool = True, expected: float | None = None) -> DataFrame:
     """Record series of a grid, cells weighted by their share; years past the last full one
     of the whole-year axis are blanked, because absent is not zero."""
     out = records.record_series(counts, years, "cell",
-                                cells.select("cell", F.col("fraction").alias("weight")))
+                                cells.select("cell", F.col("fraction").alias("weight")), expected=expected)
     return coverage.blank_after_last_full_year(out, axis) if blank else out
 
 
 def at_network_series(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid,
-                      years: tuple[int, int] = RECORD_YEARS, axis: DataFrame | None = None) -> DataFrame:
+                      years: tuple[int, int] = RECORD_YEARS, axis: DataFrame | None = None,
+                      expected: float | None = None) -> DataFrame:
     """Cell record counts seen at station sites: a cell counts once per station in it.
 
     The duplicates of a cell are one weight, so the counts are not copied per
@@ -83,7 +84,7 @@ def at_network_series(cell_counts: DataFrame, stations: DataFrame, grid: spatial
     blanked.
     """
     weights = grid.snap(stations).groupBy("cell").agg(F.count("*").cast("double").alias("weight"))
-    out = records.record_series(cell_counts, years, "cell", weights)
+    out = records.record_series(cell_counts, years, "cell", weights, expected=expected)
     return out if axis is None else coverage.blank_after_last_full_year(out, axis)
 
 

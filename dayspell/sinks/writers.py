@@ -7,6 +7,7 @@ written by one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayspell.operators.tables import describe_columns, long_to_wide
+from dayspell.sources.tables import committed_version
 
 
 def years_present(spark: SparkSession, path: str, column: str = "year") -> DataFrame:
@@ -65,13 +67,36 @@ def write_master(series: DataFrame, columns: Sequence[str], years: tuple[int, in
     """Master table at full precision plus its catalogue, which has a row for every column, also
     for those without a value, and the columns' notes."""
     write_series_csv(series, columns, years, table_path, decimals=None)
+    catalogue = master_catalogue(series, columns, years, labels, notes)
+    catalogue.coalesce(1).sortWithinPartitions("series").write.mode("overwrite").option(
+        "header", True).csv(catalogue_path)
+
+
+def master_catalogue(series: DataFrame, columns: Sequence[str], years: tuple[int, int],
+                     labels: DataFrame | None = None, notes: dict[str, str] | None = None) -> DataFrame:
     catalogue = describe_columns(series.filter(F.col("year").between(*years)), columns)
     remarks = [(c, (notes or {}).get(c, "")) for c in columns]
     catalogue = catalogue.join(series.sparkSession.createDataFrame(remarks, "series string, note string"), "series", "left")
     if labels is not None:
         catalogue = catalogue.join(labels, "series", "left")
-    catalogue.coalesce(1).sortWithinPartitions("series").write.mode("overwrite").option(
-        "header", True).csv(catalogue_path)
+    return catalogue
+
+
+def commit_master(series: DataFrame, columns: Sequence[str], years: tuple[int, int], folder: str,
+                  labels: DataFrame | None = None, notes: dict[str, str] | None = None) -> str:
+    """Table and catalogue as one new version under `folder`, replaced together.
+
+    Both are written into a fresh subfolder, and one row in `commits` then makes it the version that
+    `sources.tables.committed_master` reads; a run that stops before that leaves the last version in force.
+    """
+    spark = series.sparkSession
+    folder = folder.rstrip("/")
+    version = f"{folder}/version-{uuid.uuid4().hex}"
+    write_master(series, columns, years, f"{version}/table", f"{version}/catalogue", labels, notes)
+    last = committed_version(spark, folder)
+    row = spark.createDataFrame([((last[0] if last else 0) + 1, version)], "turn int, path string")
+    row.coalesce(1).write.mode("append").json(f"{folder}/commits")
+    return version
 
 
 def write_table(df: DataFrame, path: str) -> None:

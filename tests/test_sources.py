@@ -197,7 +197,7 @@ def test_column_names_of_the_master_table():
     cols = master.all_columns()
     assert len(cols) == len(set(cols))
     assert "conus_jja_tavgmean_anom__20cr" in cols and "band_hw_days__ushcn" not in cols
-    assert master.section_columns(1, "noaa") == ["conus_jja_tavg_anom__noaa"]
+    assert [e.series for e in master.ENTRIES if (e.section, e.dataset) == (1, "noaa")] == ["conus_jja_tavg_anom__noaa"]
 
 
 def test_wide_days_and_crosswalk(spark):
