@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayspell.llm.common import held_out, learnable
+from dayspell.llm.common import held_out, learnable, staged
 
 ORDER, GAPS = 4, 2  # letters of a run, and how many others it may skip
 PLACES = 1 << 18  # runs are hashed to so many weights
@@ -87,8 +87,9 @@ class Kernel:
             code = code * LETTERS + letters[:, at[:, k]]
         return (code * 0x9E3779B1 >> 7) & (PLACES - 1), weight
 
-    def value(self, units: list[str], tables: np.ndarray) -> np.ndarray:
-        """Inner products of units with rows of run weights (units x rows); 0 below `ORDER` letters."""
+    def value(self, units: list[str], tables: np.ndarray, place_of: np.ndarray | None = None) -> np.ndarray:
+        """Inner products of units with rows of run weights (units x rows); 0 below `ORDER` letters. `place_of` says where
+        the rows hold a run."""
         out = np.zeros((len(units), len(tables)), dtype=np.float64)
         by_length: dict[int, list[int]] = {}
         for i, u in enumerate(units):
@@ -99,6 +100,8 @@ class Kernel:
             for lo in range(0, len(rows), 2048):
                 part = rows[lo : lo + 2048]
                 places, weight = self.runs(self.codes([units[i] for i in part]))
+                if place_of is not None:
+                    places = place_of[places]
                 for k, table in enumerate(tables):
                     out[part, k] = table[places] @ weight
         return out
@@ -109,6 +112,29 @@ class Kernel:
         return np.bincount(places[0], weight, PLACES).astype(np.float32)
 
 
+class Tables:
+    """Run weights of the landmarks, kept only for runs that a landmark holds: the last column is any other run."""
+
+    def __init__(self, kernel: Kernel, units: list[str]):
+        self.kernel = kernel
+        found = [kernel.runs(kernel.codes([u])) for u in units]
+        self.runs = np.unique(np.concatenate([places[0] for places, _ in found])) if found else np.zeros(0, dtype=np.int64)
+        self.place_of = np.full(PLACES, len(self.runs), dtype=np.int32)
+        self.place_of[self.runs] = np.arange(len(self.runs))
+        self.rows = np.zeros((len(units), len(self.runs) + 1), dtype=np.float32)
+        for row, (places, weight) in zip(self.rows, found, strict=True):
+            np.add.at(row, self.place_of[places[0]], weight)
+
+    def values(self, units: list[str]) -> np.ndarray:
+        return self.kernel.value(units, self.rows, self.place_of)
+
+    def spread(self, coefficients: np.ndarray) -> np.ndarray:
+        """One table of run weights over all places."""
+        out = np.zeros(PLACES, dtype=np.float32)
+        out[self.runs] = (coefficients @ self.rows)[:-1]
+        return out
+
+
 @dataclass
 class Model:
     kernel: Kernel
@@ -146,25 +172,60 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w[:-1], float(w[-1])
 
 
-def sample_units(documents: DataFrame, labels: DataFrame, per_class: int) -> pd.DataFrame:
-    """toxic, key, units of at most `per_class` labelled documents of either class, by a hash of their ids.
-
-    Labels are taken only from ids that are not held out; of several labels of an id the higher one counts. `key` is the
-    same for most near copies: the unit with the least hash."""
+@dataclass
+class Sample:
+    """Labelled texts as numbers: text i holds the units `names[texts[i]]`."""
+
+    toxic: np.ndarray
+    key: np.ndarray  # the same for most near copies
+    texts: list[np.ndarray]
+    names: list[str]
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Sample:
+        """From rows of (toxic, key, units)."""
+        index: dict[str, int] = {}
+        texts = [np.array([index.setdefault(u, len(index)) for u in units], dtype=np.int64) for units in rows["units"]]
+        return cls(rows["toxic"].to_numpy(dtype=bool), rows["key"].to_numpy(), texts, list(index))
+
+    def ordered(self) -> Sample:
+        """The same whatever the order of rows and names."""
+        rank = np.argsort(np.array(self.names, dtype=object), kind="stable") if self.names else np.zeros(0, dtype=np.int64)
+        place = np.empty(len(rank), dtype=np.int64)
+        place[rank] = np.arange(len(rank))
+        texts = [np.sort(place[t]) for t in self.texts]
+        order = sorted(range(len(texts)), key=lambda i: (self.key[i], len(texts[i]), self.toxic[i], texts[i].tolist()))
+        return Sample(self.toxic[order], self.key[order], [texts[i] for i in order], [self.names[i] for i in rank])
+
+
+def sample_units(documents: DataFrame, labels: DataFrame, per_class: int) -> Sample:
+    """At most `per_class` labelled documents of either class, by a hash of their ids, one row per id.
+
+    Labels are taken only from ids that are not held out; of several labels of an id the higher one counts, of several
+    texts the one with the least hash. Texts reach the driver as numbers of their distinct words, and each word once. `key`
+    is the unit with the least hash."""
     known = (labels.where("doc_id is not null and toxic in (0, 1)").where(learnable())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     turn = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= per_class).select("doc_id", "toxic")
     texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             units = [sorted({u for w in words_of(t) for u in windows_of(w)}) for t in batch["text"]]
             yield pd.DataFrame({"toxic": batch["toxic"].astype("int32"), "units": units})
 
-    rows = texts.select("toxic", "text").mapInPandas(cut, "toxic int, units array<string>")
-    key = F.array_min(F.transform("units", lambda u: F.xxhash64(u)))
-    return rows.where("size(units) > 0").select("toxic", key.alias("key"), "units").toPandas()
+    rows = texts.select("toxic", "text").mapInPandas(cut, "toxic int, units array<string>").where("size(units) > 0")
+    rows = staged(rows.withColumn("codes", F.transform("units", lambda u: F.xxhash64(u))))
+    coded = rows.select("toxic", F.array_min("codes").alias("key"), "codes").toArrow()
+    names = rows.select(F.explode("units").alias("unit")).distinct().select("unit", F.xxhash64("unit").alias("code")).toArrow()
+    code = names.column("code").to_numpy()
+    order = np.argsort(code, kind="stable")
+    flat = order[np.searchsorted(code, coded.column("codes").combine_chunks().flatten().to_numpy(), sorter=order)] if len(code) else []
+    ends = np.cumsum([len(x) for x in coded.column("codes")])
+    return Sample(coded.column("toxic").to_numpy().astype(bool), coded.column("key").to_numpy(),
+                  np.split(flat, ends[:-1]) if len(ends) else [], names.column("unit").to_pylist())
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2500, **sizes: int) -> Model:
@@ -172,31 +233,28 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2500, **sizes:
     return learn(sample_units(documents, labels, per_class), **sizes)
 
 
-def learn(sample: pd.DataFrame, landmarks: int = 96, rounds: int = 4, most_negatives: int = 12_000, seed: int = 5) -> Model:
-    """The model for a sample of labelled texts (toxic, key, units)."""
-    sample = sample.iloc[np.argsort([f"{k:020d}{len(u):09d}{t}" for k, u, t in zip(
-        sample["key"], sample["units"], sample["toxic"], strict=True)], kind="stable")].reset_index(drop=True)
+def learn(sample: Sample | pd.DataFrame, landmarks: int = 96, rounds: int = 4, most_negatives: int = 12_000, seed: int = 5) -> Model:
+    """The model for a sample of labelled texts, as a `Sample` or as rows of (toxic, key, units)."""
+    sample = (Sample.of(sample) if isinstance(sample, pd.DataFrame) else sample).ordered()
+    toxic, names, texts = sample.toxic, sample.names, sample.texts
+    uses = np.bincount(np.concatenate(texts), minlength=len(names)) if texts else np.zeros(0, dtype=np.int64)
     letters: dict[str, int] = {}
-    for units in sample["units"]:
-        for u in units:
-            for c in u:
-                letters[c] = letters.get(c, 0) + 1
+    for u, n in zip(names, uses.tolist(), strict=True):
+        for c in u:
+            letters[c] = letters.get(c, 0) + n
     letters.pop("^", None)
     alphabet = {c: i + 1 for i, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[: LETTERS - 2])}
     kernel = Kernel(alphabet)
-    toxic = sample["toxic"].to_numpy(dtype=bool)
     if not toxic.any() or toxic.all():  # one class or none: its rate for every text
         rate = np.clip(toxic.mean() if len(toxic) else 0.0, 1e-6, 1 - 1e-6)
         return Model(kernel, np.zeros(PLACES, dtype=np.float32), float(np.log(rate / (1 - rate))), 0.0, 1.0)
 
     # every fourth key sets the threshold, the others train; near copies count once
-    judge = (sample["key"] % 4 == 0).to_numpy()
+    judge = sample.key % 4 == 0
     if not (toxic & judge).any() or not (toxic & ~judge).any():
-        judge = np.zeros(len(sample), dtype=bool)
-    share = 1 / sample.groupby(["key", "toxic"])["toxic"].transform("size").to_numpy()
-    index: dict[str, int] = {}
-    texts = [np.array([index.setdefault(u, len(index)) for u in units]) for units in sample["units"]]
-    names = list(index)
+        judge = np.zeros(len(toxic), dtype=bool)
+    copies = pd.DataFrame({"key": sample.key, "toxic": toxic})
+    share = 1 / copies.groupby(["key", "toxic"])["toxic"].transform("size").to_numpy()
     dirty, clean = np.zeros(len(names)), np.zeros(len(names))
     for units, bad, w, j in zip(texts, toxic, share, judge, strict=True):
         if not j:
@@ -219,8 +277,8 @@ def learn(sample: pd.DataFrame, landmarks: int = 96, rounds: int = 4, most_negat
     long_enough = np.array([len(u) >= 4 for u in names])
     marks = [*[i for i in blamed if long_enough[i]][:half]]
     marks += [i for i in rng.permutation(negative) if long_enough[i]][: landmarks - len(marks)]
-    tables = np.array([kernel.table(names[i]) for i in marks]).reshape(-1, PLACES)
-    own = kernel.value([names[i] for i in marks], tables)
+    tables = Tables(kernel, [names[i] for i in marks])
+    own = tables.values([names[i] for i in marks])
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6
     whiten = vectors[:, keep] / np.sqrt(values[keep])
@@ -231,7 +289,7 @@ def learn(sample: pd.DataFrame, landmarks: int = 96, rounds: int = 4, most_negat
         rows = list(rows)
         new = [i for i in rows if i not in features]
         if new:
-            for i, x in zip(new, kernel.value([names[i] for i in new], tables) @ whiten, strict=True):
+            for i, x in zip(new, tables.values([names[i] for i in new]) @ whiten, strict=True):
                 features[i] = x
         return np.array([features[i] for i in rows])
 
@@ -243,7 +301,7 @@ def learn(sample: pd.DataFrame, landmarks: int = 96, rounds: int = 4, most_negat
         cost = np.r_[np.minimum(dirty[blamed], 20) / max(1e-9, np.minimum(dirty[blamed], 20).sum()),
                      np.full(len(negative), 2 / len(negative))] * 200
         w, bias = squared_hinge(nystrom(rows), y, cost)
-        model.weights = ((whiten @ w) @ tables).astype(np.float32)
+        model.weights = tables.spread(whiten @ w)
         model.bias = bias
         everything = model.unit_scores(names)
         if turn == rounds - 1:
