@@ -319,16 +319,35 @@ def close_pairs(part: pd.DataFrame, keys: list[str], percent: int) -> pd.DataFra
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+#: Rows without an id get one from here on, made of their text; real ids are smaller.
+NO_ID = 1 << 62
+
+
+def with_keys(documents: DataFrame) -> DataFrame:
+    """`documents` with k_key: the id, or for a row without one a number above all ids that equal texts share."""
+    own = F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
+    return documents.withColumn("k_key", F.coalesce(F.col("doc_id").cast("long"), own))
+
+
 def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, stars: int = 4,
                    block: int = 2048) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `documents` (doc_id, text; doc_id a whole number).
+    """doc_id, n_shingles, component_id of every row of `documents` (doc_id, text; doc_id a whole number below 2**62).
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set holds the distinct `width`-word shingles, of a shorter
     text the whole sequence. Documents link when 100 x intersection >= percent x union. component_id is the smallest
     id that links reach; a null or wordless text links with nothing and has its own id. Repeated rows and rows of equal
-    id give a row each and share a component through their id. A null id joins the component of its set. An empty
-    table gives an empty result; other columns are not read.
+    id give a row each and share a component through their id. A row without an id links like any other and holds others
+    together; its component_id is null where no row reached has an id. An empty table gives an empty result; other columns
+    are not read.
     """
+    kind = dict(documents.dtypes)["doc_id"]
+    keyed = with_keys(documents.select("doc_id", "text")).select(F.col("k_key").alias("doc_id"), "text")
+    named = [F.when(F.col(c) < NO_ID, F.col(c)).cast(kind).alias(c) for c in ("doc_id", "component_id")]
+    return keyed_groups(keyed, width, percent, stars, block).select(named[0], "n_shingles", named[1])
+
+
+def keyed_groups(documents: DataFrame, width: int, percent: int, stars: int = 4, block: int = 2048) -> DataFrame:
+    """`similar_groups` of rows that all have an id."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     documents = documents.select("doc_id", "text")
@@ -384,9 +403,17 @@ def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, star
                          F.coalesce("class_component", "doc_id").alias("component_id"))
 
 
-def without_copies(documents: DataFrame, **how: int) -> DataFrame:
-    """The rows of `documents` that have their component's smallest id, or no id; all columns stay."""
-    groups = similar_groups(documents, **how)
+def without_copies(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component: those with its smallest id, or where no row of it has one, those of one text; rows that
+    repeat id and text count once. Texts without a word all stay. All columns stay."""
+    rows = with_keys(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("k_row"), "doc_id", "text"))
+    groups = staged(keyed_groups(rows.select(F.col("k_key").alias("doc_id"), "text"), width, percent))
     copies = staged(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct())
     near = F.broadcast(copies) if copies.count() <= MOST_IDS else copies
-    return documents.join(near, documents["doc_id"] == near["copy"], "left_anti")
+    repeated = staged(groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
+    few = F.broadcast(repeated) if repeated.count() <= MOST_IDS else repeated
+    left = rows.join(near, F.col("k_key") == F.col("copy"), "left_anti").join(few, F.col("k_key") == F.col("again"), "left")
+    once = left.where("again is not null").groupBy("k_key", F.md5(F.col("text").cast("binary"))).agg(
+        F.min_by("k_row", F.xxhash64("k_row")).alias("k_row"))
+    return left.where("again is null").select("k_row").union(once.select("k_row")).select(
+        *[F.col("k_row")[c].alias(c) for c in documents.columns])

@@ -363,6 +363,12 @@ def score(documents: DataFrame, model: Model, most_cached: int = 1_000_000) -> D
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of `documents` that `model` does not reject; all columns stay, whatever their names."""
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("t_row"), "text")
+    return score(whole, model).where("predicted = 0").select(*[F.col("t_row")[c].alias(c) for c in documents.columns])
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of `documents` (doc_id, text), learned from `labels` (doc_id,
     toxic) of ids that are not held out. Repeated rows, equal and null ids give a row each. Without labels of both

@@ -174,9 +174,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 5, share: flo
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of `documents` whose id holds no item; all columns stay."""
-    ids = staged(leaks(documents, benchmark, **how).select("doc_id").distinct())
+    """The rows of `documents` whose id holds no item; all columns stay. Rows of one id stand or fall together; rows without an
+    id are judged each by its own text."""
+    key = F.coalesce(F.concat(F.lit("id:"), F.col("doc_id").cast("string")), F.concat(F.lit("text:"), F.md5(F.col("text").cast("binary"))))
+    ids = staged(leaks(documents.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("w_leak")).distinct())
     near = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
-    return documents.join(near, documents["doc_id"].eqNullSafe(near["doc_id"]), "left_anti")
-
-
+    # a null key (no id, no text) meets nothing and stays
+    return documents.join(near, key == F.col("w_leak"), "left_anti")

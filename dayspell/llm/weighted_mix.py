@@ -152,3 +152,11 @@ def select_mix(documents: DataFrame, mix: Mix) -> DataFrame:
                .where("room > 0").select("m_doc", *LEVELS, "tokens", F.col("full_epochs").alias("epoch"),
                                          F.least("tokens", "room").alias("taken")))
     return whole_epochs.union(inside).union(at_edge)
+
+
+def mixed(documents: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of `documents` that the mix takes, whole and as often as it takes them, with their own columns. Texts without
+    a word cost no budget and all stay; null and empty texts are such. An empty table gives an empty one."""
+    taken = select_mix(documents, mix).select("m_doc")
+    free = _named(documents, mix).where("tokens = 0").select("m_doc")
+    return taken.union(free).select(*[F.col("m_doc")[c].alias(c) for c in documents.columns])
