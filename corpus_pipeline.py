@@ -7,7 +7,6 @@ every document's shard.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dayspell.llm import label_shards, prefix_trie_join, subsequence_svm, template_leaks, weighted_mix
 from dayspell.llm.common import staged
@@ -17,12 +16,12 @@ from dayspell.llm.queries import corpus_mix, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = subsequence_svm.fit(docs, table(spark, sf_dir, "labels"))
-    return subsequence_svm.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return subsequence_svm.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group whose five-word shingles link at 0.8 or more. Rows that
-    share an id are one document; rows without an id stay."""
+    """One document, that with the smallest id, of each group whose five-word shingles link at 0.8 or more; rows that repeat
+    id and text count once."""
     return prefix_trie_join.without_copies(docs, width=5, percent=80)
 
 
@@ -32,9 +31,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a budget of nine tenths of all tokens takes in one epoch; a partly taken one stays whole."""
-    chosen = weighted_mix.select_mix(docs, corpus_mix(share=0.9, epochs=1))
-    return chosen.select(*[F.col("m_doc")[c].alias(c) for c in docs.columns])
+    """Documents that a budget of nine tenths of all tokens takes in one epoch; a partly taken one stays whole, and
+    documents without a token all stay."""
+    return weighted_mix.mixed(docs, corpus_mix(share=0.9, epochs=1))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
