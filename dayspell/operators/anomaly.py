@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from dayspell.defaults import BASELINE, MIN_BASE_YEARS_CELL
 from dayspell.functions.dates import days_in_month
 from dayspell.functions.geo import cos_lat, lon_between
+from dayspell.operators.guards import stop
 
 
 def _in_base(value: str, baseline: tuple[int, int]) -> Column:
@@ -82,11 +83,14 @@ def season_offsets(months: Sequence[int]) -> list[int]:
 
 def season_means(monthly: DataFrame, months: Sequence[int] = (6, 7, 8),
                  years: tuple[int, int] | None = None, keys: Sequence[str] = (),
-                 values: Sequence[str] = ("value",)) -> DataFrame:
+                 values: Sequence[str] = ("value",), spine: bool = False,
+                 whole: tuple[int, int] | None = None) -> DataFrame:
     """Day-weighted season means, NULL unless every month of the season is there.
 
     A season carries the year of its last month, so December of one year joins
-    January and February of the next.
+    January and February of the next. With `spine` (and `years`) each key has a row
+    for every year of the span, NULL where it has no data. `whole` names years for
+    which every month must have a row of each key, or the job fails.
     """
     df = monthly.filter(F.col("month").isin(list(months)))
     if years is not None:
@@ -100,6 +104,23 @@ def season_means(monthly: DataFrame, months: Sequence[int] = (6, 7, 8),
     for v in values:
         weighted = F.sum(F.col(v) * length) / F.sum(F.when(F.col(v).isNotNull(), length))
         aggs.append(F.when(F.count(v) == len(months), weighted).alias(v))
-    out = df.groupBy(*keys, label.cast("int").alias("_label")).agg(*aggs)
+    out = df.groupBy(*keys, label.cast("int").alias("_label")).agg(*aggs, F.count_distinct("month").alias("_months"))
     out = out.withColumnRenamed("_label", "year")
+    spine = spine and years is not None
+    if not (spine or whole):
+        out = out.drop("_months")
+        return out.filter(F.col("year").between(*years)) if years is not None else out
+    # one row per key, with an entry per year at most
+    entry = F.struct(F.col("year").alias("k"), F.struct(*values, "_months").alias("v"))
+    packed = out.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_by_year"))
+    if whole:
+        span = F.sequence(F.lit(whole[0]), F.lit(whole[1]))
+        lacking = F.filter(span, lambda y: F.coalesce(F.try_element_at("_by_year", y)["_months"], F.lit(0)) < len(months))
+        told = F.concat(F.lit("months are missing in "), F.array_join(F.slice(lacking, 1, 5).cast("array<string>"), ", "))
+        packed = packed.withColumn("_by_year", stop(F.size(lacking) == 0, told, F.col("_by_year")))
+    if spine:
+        year = F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))).alias("year")
+        held = packed.select(*keys, "_by_year", year).withColumn("_v", F.try_element_at("_by_year", F.col("year")))
+        return held.select(*keys, "year", *[F.col("_v")[v].alias(v) for v in values])
+    out = packed.select(*keys, F.explode("_by_year").alias("year", "_v")).select(*keys, "year", *[F.col("_v")[v].alias(v) for v in values])
     return out.filter(F.col("year").between(*years)) if years is not None else out

@@ -109,8 +109,10 @@ def require_both_legs(pairs: DataFrame, a: str = "raw", b: str = "adj") -> DataF
 
 
 def require_positions(stations: DataFrame, unit: str = "unit") -> DataFrame:
-    """Fail on the first station without a position."""
-    return enforce(stations, F.col("lat").isNotNull() & F.col("lon").isNotNull(), "a station has no position")
+    """Fail on the first station without a position. The raise is in the columns: a later cut to a box would filter
+    the row out before a filter here looked at it."""
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return stations.withColumns({c: stop(placed, "a station has no position", F.col(c)) for c in ("lat", "lon")})
 
 
 def attach_all(rows: DataFrame, stations: DataFrame, columns: Sequence[str], unit: str = "unit") -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql.window import Window
 
 from dayspell.functions.geo import utc_offset_hours
 from dayspell.functions.units import mean_of_pair
+from dayspell.operators.guards import stop
 
 
 def local_days(samples: DataFrame, step_hours: int, keys: Sequence[str] = ("cell",),
-               hours: str = "hours", lon: str = "lon", value: str = "value") -> DataFrame:
+               hours: str = "hours", lon: str = "lon", value: str = "value", check: bool = False,
+               bounds: tuple[float, float] = (-100.0, 100.0)) -> DataFrame:
     """Max, min and mean of each place's local day: (keys, day, tmax, tmin, tmean, tavg).
 
     At offset k, local day D covers the UTC hours [24 D - k, 24 D - k + 24). A day
@@ -21,7 +23,9 @@ def local_days(samples: DataFrame, step_hours: int, keys: Sequence[str] = ("cell
     a repeated sample cannot stand in for a missing one. The hours seen are kept as
     bits of one number. The grouping key is an expression, so neighbouring
     files need no margin and each row is shuffled at most once, after partial
-    aggregation.
+    aggregation. With `check` the job fails on a day whose samples are not
+    `step_hours` apart (a hole inside the day, a repeat, another step) or whose mean cannot be degC;
+    a day that the data only begins or ends in stays NULL.
     """
     if 24 % step_hours:
         raise ValueError("the sample step must divide 24 hours")
@@ -32,8 +36,14 @@ def local_days(samples: DataFrame, step_hours: int, keys: Sequence[str] = ("cell
     epoch = F.lit("1970-01-01").cast("date")
     stats = samples.groupBy(*keys, number.alias("_n")).agg(
         F.max(value).alias("tmax"), F.min(value).alias("tmin"), F.avg(value).alias("tmean"),
-        F.count(value).alias("n_samples"), F.bit_or(F.when(F.col(value).isNotNull(), seen)).alias("_seen"),
+        F.count(value).alias("n_samples"), F.count("*").alias("_rows"),
+        (F.max(hours) - F.min(hours)).alias("_span"), F.bit_or(F.when(F.col(value).isNotNull(), seen)).alias("_seen"),
     )
+    if check:  # in the column that decides whether a day is whole, so that no later choice of columns skips it
+        even = F.col("_span") == (F.col("_rows") - 1) * step_hours
+        degrees = F.col("tmean").between(*bounds)
+        told = F.concat(F.lit("a daily mean of "), F.col("tmean").cast("string"), F.lit(": not degC?"))
+        stats = stats.withColumn("n_samples", stop(even, f"samples are not {step_hours} h apart", stop(degrees, told, F.col("n_samples"))))
     whole = (F.col("n_samples") == need) & (F.bit_count("_seen") == need)
     out = stats.select(
         *keys, F.date_add(epoch, F.col("_n")).alias("day"), "n_samples",

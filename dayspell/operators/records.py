@@ -18,12 +18,13 @@ def _names(unit: str | Sequence[str]) -> list[str]:
 
 
 def record_credit(panel: DataFrame, unit: str | Sequence[str] = "unit", day: str = "day",
-                  value: str = "value", laid_out: bool = False) -> DataFrame:
+                  value: str = "value", laid_out: bool = False, check: bool = True) -> DataFrame:
     """Rows that hold the all-time maximum of their unit and calendar day.
 
     N years that share a maximum get 1/N each. The data is laid out by unit
     once (not again when `laid_out` says it already is), and both windows and
-    the sums after them stay inside that layout.
+    the sums after them stay inside that layout. A second row for a unit and day
+    would share a record with itself: it fails the job unless `check` is off.
     """
     keys = _names(unit)
     rows = panel.filter(F.col(value).isNotNull())
@@ -31,6 +32,9 @@ def record_credit(panel: DataFrame, unit: str | Sequence[str] = "unit", day: str
         rows = rows.select(*keys, day, value).repartition(*keys)
     rows = rows.withColumn("month_day", month_day(F.col(day)))
     w = Window.partitionBy(*keys, "month_day")
+    if check:
+        first = F.coalesce(F.col(day) > F.lag(day).over(w.orderBy(day)), F.lit(True))
+        rows = rows.withColumn(value, stop(first, "a unit holds two rows for one day", F.col(value)))
     top = rows.withColumn("_max", F.max(value).over(w)).filter(F.col(value) == F.col("_max"))
     return top.withColumn("credit", F.lit(1.0) / F.count("*").over(w)).drop("_max")
 
@@ -46,10 +50,10 @@ def days_in_two_years(dates: DataFrame, day: str = "day") -> DataFrame:
 
 def unit_record_counts(panel: DataFrame, unit: str | Sequence[str] = "unit", day: str = "day",
                        value: str = "value", axis: DataFrame | None = None,
-                       laid_out: bool = False) -> DataFrame:
+                       laid_out: bool = False, check: bool = True) -> DataFrame:
     """Record credit per unit and year. `axis` gives the dataset's dates when they
     are not the canonical many-year calendar."""
-    credit = record_credit(panel, unit, day, value, laid_out)
+    credit = record_credit(panel, unit, day, value, laid_out, check)
     if axis is not None:
         credit = credit.join(days_in_two_years(axis, day), "month_day", "left_semi")
     return credit.groupBy(*_names(unit), F.year(day).alias("year")).agg(F.sum("credit").alias("records"))

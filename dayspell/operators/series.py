@@ -31,6 +31,30 @@ def unbroken_runs(series: DataFrame, keys: Sequence[str] = ("series",), x: str =
 
 # ---- LOWESS -----------------------------------------------------------------
 
+def lowess_kernel(years: int) -> list[list[float]]:
+    """Weights of a window's values by the place of the smoothed point in it.
+
+    Inside an unbroken run the window's years are consecutive, so a local line
+    without robustness weights is one fixed weighted sum, the same for every series.
+    """
+    rows = []
+    for at in range(years):
+        u = [float(k - at) for k in range(years)]
+        reach = max(at, years - 1 - at)
+        far = [abs(v) / reach for v in u]
+        w = [1.0 if r < 0.001 else 0.0 if r > 0.999 else (1.0 - r**3) ** 3 for r in far]
+        w0, w1, w2 = (sum(a * v**n for a, v in zip(w, u)) for n in (0, 1, 2))
+        det = w0 * w2 - w1 * w1
+        rows.append([a * (w2 - w1 * v) / det if det > 1e-12 * w0 * w0 else a / w0 for a, v in zip(w, u)])
+    return rows
+
+
+def _kernel_value(values: Column, place: Column, years: int) -> Column:
+    """Smoothed value at `place` of a window's `years` values."""
+    table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in lowess_kernel(years)])
+    return F.aggregate(F.zip_with(values, F.get(table, place), lambda y, w: y * w), F.lit(0.0), lambda a, v: a + v)
+
+
 def _local_line(df: DataFrame, points: str, at: str, out: str) -> DataFrame:
     """Add the value at `at` of a weighted straight line through the points (x, y, rw).
 
@@ -74,7 +98,8 @@ def lowess(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year"
     The window is the `years` nearest points and slides against the ends of the
     run; a run shorter than the window gets NULL. `passes` robustness passes
     reweigh by the bisquare of the residual over six median residuals; `plain`
-    names a column for the smooth before them.
+    names a column for the smooth before them. The plain smooth is a fixed weighted
+    sum per window place; only robustness passes fit lines point by point.
     """
     if years % 2 == 0:
         raise ValueError("the window must be odd")
@@ -96,7 +121,12 @@ def lowess(series: DataFrame, keys: Sequence[str] = ("series",), x: str = "year"
         skip = low - F.greatest(F.col("_pos") - (years - 1), F.lit(0))
         df = df.withColumn("_pts", F.when(
             F.col("_size") >= years, F.slice("_pts", F.greatest(skip, F.lit(0)) + 1, F.lit(years))))
-        df = _local_line(df, "_pts", x, smooth).withColumn(smooth, F.when(
+        if turn == 0 and years > 2:
+            ys = F.transform("_pts", lambda p: p["y"])
+            line = df.withColumn(smooth, F.when(F.col("_size") >= years, _kernel_value(ys, F.col("_pos") - low, years)))
+        else:
+            line = _local_line(df, "_pts", x, smooth)
+        df = line.withColumn(smooth, F.when(
             F.col("_size") >= years, F.coalesce(F.col(smooth), F.col(value).cast("double"))))
         if turn == 0 and plain:
             df = df.withColumn(plain, F.col(smooth))
@@ -118,12 +148,16 @@ def end_revision(series: DataFrame, keys: Sequence[str] = ("series",), x: str =
                  lags: int = 8, passes: int = LOWESS_PASSES) -> DataFrame:
     """RMSE by distance from the cut of truncated smooths against the full one.
 
-    Every cut position from `first_cut` to half a window before the end gives a
-    copy of the series up to the cut, and every copy is smoothed whole. A series
-    has a calendar's years at most, which bounds its copies. Lags count years, so
-    a record with holes fails the job.
+    Every cut position from `first_cut` to half a window before the end ends a copy
+    of the series. Without robustness passes the smooth at a lag is a weighted sum of
+    the last values before the cut, so one frame over the series holds all copies'
+    ends; with passes every copy is smoothed whole, and a series has a calendar's
+    years at most, which bounds its copies. Lags count years, so a record with
+    holes fails the job.
     """
     half = (years - 1) // 2
+    if passes == 0 and years > 2:
+        return _end_revision_by_kernel(series, keys, x, value, years, first_cut, lags)
     w = Window.partitionBy(*keys).orderBy(x)
     base = series.filter(F.col(value).isNotNull()).select(*keys, x, F.col(value).alias("_y"))
     base = base.withColumn("_step", F.col(x) - F.lag(x).over(w))
@@ -143,6 +177,30 @@ def end_revision(series: DataFrame, keys: Sequence[str] = ("series",), x: str =
                                             F.count("*").alias("n_cuts"))
 
 
+def _end_revision_by_kernel(series: DataFrame, keys: Sequence[str], x: str, value: str, years: int,
+                            first_cut: int, lags: int) -> DataFrame:
+    half = (years - 1) // 2
+    w = Window.partitionBy(*keys).orderBy(x)
+    base = series.filter(F.col(value).isNotNull()).select(*keys, x, F.col(value).cast("double").alias("_y"))
+    base = base.withColumn("_step", F.col(x) - F.lag(x).over(w))
+    base = enforce(base, F.coalesce(F.col("_step") == 1, F.lit(True)), f"{x} is not unbroken within a series").drop("_step")
+    full = lowess(base, keys, x, "_y", years, 0, "_full")
+    reach = years + lags
+    frame = w.rowsBetween(-(reach - 1), 0)
+    rows = full.withColumn("_i", F.row_number().over(w) - 1).withColumn(
+        "_n", F.count("*").over(Window.partitionBy(*keys)).cast("int")).withColumn(
+        "_last", F.collect_list(F.struct(F.col("_y").alias("y"), F.coalesce(F.col("_full"), F.lit(float("nan"))).alias("f"))).over(frame))
+    cuts = rows.filter((F.col("_i") >= first_cut) & (F.col("_i") <= F.col("_n") - half - 1))
+    ends = cuts.withColumn("lag", F.explode(F.sequence(F.lit(0), F.least(F.lit(lags - 1), F.col("_i")))))
+    at = F.col("_i") - F.col("lag")
+    low = F.least(F.greatest(at - half, F.lit(0)), F.col("_i") + 1 - years)
+    skip = low - (F.col("_i") + 1 - F.size("_last"))
+    ys = F.transform(F.slice("_last", F.greatest(skip, F.lit(0)) + 1, F.lit(years)), lambda p: p["y"])
+    est = F.when(F.col("_i") + 1 >= years, _kernel_value(ys, at - low, years))
+    err = est - F.nanvl(F.element_at("_last", -1 - F.col("lag"))["f"], F.lit(None).cast("double"))
+    return ends.groupBy(*keys, "lag").agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.count("*").alias("n_cuts"))
+
+
 # ---- guards -------------------------------------------------------------------
 
 def blank_outliers(series: DataFrame, keys: Sequence[str] = ("series",), value: str = "value",

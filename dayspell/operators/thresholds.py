@@ -18,6 +18,7 @@ from dayspell.defaults import (
     EXCEED_PERCENTILE, EXCEED_WINDOW_AFTER, EXCEED_WINDOW_BEFORE, HEAT_HALF_WINDOW, HEAT_MIN_POOL,
     HEAT_PERCENTILE, SEASON_DAYS,
 )
+from dayspell.operators.guards import stop
 
 
 def nearest_rank(ordered: Column, percentile: float) -> Column:
@@ -37,12 +38,13 @@ def linear_percentile(ordered: Column, percentile: float) -> Column:
 
 
 def by_day(panel: DataFrame, unit: Sequence[str], doy: str, value: str,
-           first: int, last: int, laid_out: bool = False, carry: str | None = None) -> DataFrame:
+           first: int, last: int, laid_out: bool = False, carry: str | None = None, check: bool = True) -> DataFrame:
     """(unit, doy, own) for every doy in [first, last]; `own` lists (year, v), or (year, v, c) with a carried
     column, which then also keeps days without a value.
 
     Days without data get an empty list, filled in between the unit's own days
-    without another table or shuffle. `laid_out` says the rows already lie by unit.
+    without another table or shuffle. `laid_out` says the rows already lie by unit. A
+    second row for a unit and date fails the job unless `check` is off.
     """
     known = F.col(value).isNotNull() if carry is None else F.col(value).isNotNull() | F.col(carry).isNotNull()
     rows = panel.filter(known & F.col(doy).between(first, last))
@@ -51,10 +53,13 @@ def by_day(panel: DataFrame, unit: Sequence[str], doy: str, value: str,
         rows = rows.repartition(*unit)
     held = rows.groupBy(*unit, doy).agg(
         F.collect_list(F.struct(F.col("year"), F.col(value).alias("v"), *([F.col(carry).alias("c")] if carry else []))).alias("own"))
+    if check:
+        years = F.transform("own", lambda r: r["year"])
+        held = held.withColumn("own", stop(F.size(F.array_distinct(years)) == F.size(years), "a unit holds two rows for one day", F.col("own")))
     w = Window.partitionBy(*unit).orderBy(doy)
-    start = F.when(F.lag(doy).over(w).isNull(), F.lit(first)).otherwise(F.col(doy))
-    stop = F.coalesce(F.lead(doy).over(w) - 1, F.lit(last))
-    spread = held.withColumn("_range", F.sequence(start, stop)).select(
+    begin = F.when(F.lag(doy).over(w).isNull(), F.lit(first)).otherwise(F.col(doy))
+    end = F.coalesce(F.lead(doy).over(w) - 1, F.lit(last))
+    spread = held.withColumn("_range", F.sequence(begin, end)).select(
         *unit, "own", F.col(doy).alias("_at"), F.explode("_range").alias(doy))
     return spread.withColumn(
         "own", F.when(F.col("_at") == F.col(doy), F.col("own")).otherwise(F.slice("own", 1, 0))

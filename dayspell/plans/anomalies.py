@@ -26,11 +26,15 @@ def station_month_values(months: DataFrame, elem: str, leg: str | None = None,
 
 def seasonal_anomaly_field(field_months: DataFrame, weights: DataFrame, months: Sequence[int] = JJA,
                            years: tuple[int, int] | None = None, baseline: tuple[int, int] = BASELINE,
-                           min_base: int = MIN_BASE_YEARS_CELL) -> DataFrame:
-    """Monthly field -> cell anomalies -> area mean -> season mean: (year, value, fraction)."""
+                           min_base: int = MIN_BASE_YEARS_CELL, check: bool = True) -> DataFrame:
+    """Monthly field -> cell anomalies -> area mean -> season mean: (year, value, fraction).
+
+    With `years` every year of the span has a row. A field that lacks a month of the season anywhere in the baseline
+    would silently lose that baseline: it fails the job unless `check` is off.
+    """
     anomalies = anomaly.anomalies(field_months, ("cell", "month"), baseline=baseline, min_years=min_base)
     area = anomaly.weighted_area_mean(anomalies, weights)
-    return anomaly.season_means(area, months, years, values=("value", "fraction"))
+    return anomaly.season_means(area, months, years, values=("value", "fraction"), spine=True, whole=baseline if check else None)
 
 
 def station_field(values: DataFrame, cells: DataFrame, baseline: tuple[int, int] = BASELINE,
@@ -49,19 +53,20 @@ def seasonal_anomaly_stations(values: DataFrame, cells: DataFrame, months: Seque
                               years: tuple[int, int] | None = None,
                               baseline: tuple[int, int] = BASELINE,
                               min_base_station: int = MIN_BASE_YEARS_STATION,
-                              min_base_cell: int = MIN_BASE_YEARS_CELL, **idw) -> DataFrame:
+                              min_base_cell: int = MIN_BASE_YEARS_CELL, check: bool = True, **idw) -> DataFrame:
     """The whole station chain; `cells` holds (cell, lat, lon, weight)."""
     live = cells.filter(F.col("weight") > 0)
     field = station_field(values, live, baseline, min_base_station, **idw)
-    return seasonal_anomaly_field(field, live, months, years, baseline, min_base_cell)
+    return seasonal_anomaly_field(field, live, months, years, baseline, min_base_cell, check)
 
 
 def official_series(national: DataFrame, months: Sequence[int] = JJA,
                     years: tuple[int, int] | None = None, baseline: tuple[int, int] = BASELINE,
-                    min_base: int = MIN_BASE_YEARS_CELL, keys: Sequence[str] = ()) -> DataFrame:
-    """National monthly means -> monthly anomalies -> season mean: (keys..., year, value)."""
+                    min_base: int = MIN_BASE_YEARS_CELL, keys: Sequence[str] = (), check: bool = True) -> DataFrame:
+    """National monthly means -> monthly anomalies -> season mean: (keys..., year, value); every year of `years` has a
+    row, and each series must have every month of the baseline unless `check` is off."""
     anomalies = anomaly.anomalies(national, [*keys, "month"], baseline=baseline, min_years=min_base)
-    return anomaly.season_means(anomalies, months, years, keys)
+    return anomaly.season_means(anomalies, months, years, keys, spine=True, whole=baseline if check else None)
 
 
 def checked_series(seasons: DataFrame, keys: Sequence[str] = ("series",), gate: bool = False,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dayspell.defaults import BAND_LAT, COUNT_IDW_RADIUS_CONUS_KM, JJA
 from dayspell.functions.dates import season_day
 from dayspell.functions.geo import cos_lat
-from dayspell.operators import gridding, qc, spatial, spells
+from dayspell.operators import gridding, guards, qc, spatial, spells
 
 
 def season_panel(daily: DataFrame, unit: Sequence[str] = ("unit",), value: str = "tmax",
@@ -84,14 +84,15 @@ def counts_at_network(cell_counts: DataFrame, stations: DataFrame, grid: spatial
 def reduce_at_network(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid, cells: DataFrame,
                       radius_km: float = COUNT_IDW_RADIUS_CONUS_KM,
                       lat_bounds: tuple[float, float] = BAND_LAT,
-                      lon_bounds: tuple[float, float] = (-180.0, 180.0), **rule) -> StationReduction:
+                      lon_bounds: tuple[float, float] = (-180.0, 180.0), check: bool = True, **rule) -> StationReduction:
     """The reduction of `counts_at_network` without copying a cell's counts to its stations.
 
     All pseudo stations of a source cell carry the same counts, so their weights
     are summed per source cell first. A network that crowds into one cell then
-    costs no more than one station there.
+    costs no more than one station there. A station without a position fails the
+    job unless `check` is off.
     """
-    sites = grid.snap(stations).select("unit", "lat", "lon", F.col("cell").alias("source"))
+    sites = grid.snap(guards.require_positions(stations) if check else stations).select("unit", "lat", "lon", F.col("cell").alias("source"))
     pairs = spatial.radial_pairs(cells, sites, radius_km)
     weights = gridding.shared_weights(gridding.radius_weights(pairs, radius_km), sites)
     own = sites.groupBy(F.col("source").alias("unit")).agg(F.sum(cos_lat(F.col("lat"))).alias("weight"))
@@ -113,5 +114,12 @@ def exceedance_map(field: DataFrame, eras: dict[str, tuple[int, int]], months: S
     """Share of days above the local percentile in each era, and its change, over land."""
     season = qc.in_months(field, months).select(
         "cell", F.year("day").alias("year"), F.dayofyear("day").alias("doy"), "value")
+    return exceedance_map_of_season(season, eras, months, land, axis, **kw)
+
+
+def exceedance_map_of_season(season: DataFrame, eras: dict[str, tuple[int, int]], months: Sequence[int] = JJA,
+                             land: DataFrame | None = None, axis: DataFrame | None = None, **kw) -> DataFrame:
+    """The same from season rows (cell, year, doy, value). Without an `axis` they are read a second time for it, so
+    they should be a written table."""
     out = spells.exceedance_share(season, eras, months=months, axis=axis, **kw)
     return out if land is None else out.join(land.select("cell"), "cell", "left_semi")

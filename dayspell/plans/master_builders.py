@@ -92,7 +92,7 @@ def _record_builders(f: Facts) -> dict[str, Builder]:
         return t.cells[ds].drop("land") if ds in t.reanalyses else t.cells[ds]
 
     def grid(ds: str) -> DataFrame:
-        full = record_plans.grid_series(f.cell_records(ds, domain(ds)), domain(ds), None, years, blank=False, expected=expected)
+        full = record_plans.grid_series(f.cell_records(ds, domain(ds)), domain(ds), None, years, blank=False, check=f.check)
         return coverage.blank_after(full, f.last_full_year(ds))
 
     for ds in ("berkeley", *t.reanalyses):
@@ -102,7 +102,7 @@ def _record_builders(f: Facts) -> dict[str, Builder]:
 
         def at_network() -> DataFrame:
             seen = record_plans.at_network_series(f.cell_records("berkeley", domain("berkeley")), f.complete_stations(),
-                                                  t.berkeley_grid, years, expected=expected)
+                                                  t.berkeley_grid, years, check=f.check)
             return coverage.blank_after(seen, f.last_full_year("berkeley"))
 
         out["conus_records__berkeley_at_ushcn"] = at_network

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayspell.defaults import (
-    LOWESS_YEARS, MIN_CELL_FRACTION, RECORD_MIN_SHARE, RECORD_MIN_YEARS, RECORD_YEARS, TREND_STARTS,
+    LOWESS_YEARS, MIN_CELL_FRACTION, RECORD_MIN_SHARE, RECORD_MIN_YEARS, RECORD_YEARS, SEASON_DAYS, TREND_STARTS,
 )
-from dayspell.operators import coverage, joins, qc, records, series, spatial
+from dayspell.operators import coverage, guards, joins, qc, records, series, spatial
 
 
 def _span(years: tuple[int, int]) -> int:
@@ -31,21 +31,28 @@ def complete_unit_counts(panel: DataFrame, years: tuple[int, int] = RECORD_YEARS
     return records.unit_record_counts(kept, keys, axis=axis, laid_out=True)
 
 
-def network_series(panel: DataFrame, years: tuple[int, int] = RECORD_YEARS, **kw) -> DataFrame:
+def _sum_of(check: bool) -> float | None:
+    """What a record series must sum to: every unit holds one record on each season day."""
+    return float(SEASON_DAYS) if check else None
+
+
+def network_series(panel: DataFrame, years: tuple[int, int] = RECORD_YEARS, check: bool = True, **kw) -> DataFrame:
     """Mean record count per station and year: (year, value)."""
-    return records.record_series(complete_unit_counts(panel, years, **kw), years)
+    return records.record_series(complete_unit_counts(panel, years, **kw), years, expected=_sum_of(check))
 
 
 def pair_series(pairs: DataFrame, years: tuple[int, int] = RECORD_YEARS,
-                min_years: int = RECORD_MIN_YEARS, min_share: float = RECORD_MIN_SHARE) -> DataFrame:
+                min_years: int = RECORD_MIN_YEARS, min_share: float = RECORD_MIN_SHARE, check: bool = True) -> DataFrame:
     """Record series of both legs: (series, year, value), completeness judged on the raw leg.
 
     The legs share their days, so each leg's own coverage is the same.
     """
+    if check:
+        pairs = guards.require_both_legs(pairs)
     long = pairs.select("unit", "day", F.year("day").alias("year"), "raw", "adj").unpivot(
         ["unit", "day", "year"], ["raw", "adj"], "series", "value")
     counts = complete_unit_counts(long, years, min_years, min_share, ("series", "unit"))
-    return records.record_series(counts, years, by=("series",))
+    return records.record_series(counts, years, by=("series",), expected=_sum_of(check))
 
 
 def grid_counts(field: DataFrame, cells: DataFrame, years: tuple[int, int] = RECORD_YEARS,
@@ -66,34 +73,36 @@ def domain_cells(cells: DataFrame, min_fraction: float = MIN_CELL_FRACTION) -> D
 
 
 def grid_series(counts: DataFrame, cells: DataFrame, axis: DataFrame | None,
-                years: tuple[int, int] = RECORD_YEARS, blank: bool = True, expected: float | None = None) -> DataFrame:
+                years: tuple[int, int] = RECORD_YEARS, blank: bool = True, check: bool = True) -> DataFrame:
     """Record series of a grid, cells weighted by their share; years past the last full one
     of the whole-year axis are blanked, because absent is not zero."""
     out = records.record_series(counts, years, "cell",
-                                cells.select("cell", F.col("fraction").alias("weight")), expected=expected)
+                                cells.select("cell", F.col("fraction").alias("weight")), expected=_sum_of(check))
     return coverage.blank_after_last_full_year(out, axis) if blank else out
 
 
 def at_network_series(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid,
                       years: tuple[int, int] = RECORD_YEARS, axis: DataFrame | None = None,
-                      expected: float | None = None) -> DataFrame:
+                      check: bool = True) -> DataFrame:
     """Cell record counts seen at station sites: a cell counts once per station in it.
 
     The duplicates of a cell are one weight, so the counts are not copied per
     station. With the field's whole-year `axis`, years past its last full one are
     blanked.
     """
-    weights = grid.snap(stations).groupBy("cell").agg(F.count("*").cast("double").alias("weight"))
-    out = records.record_series(cell_counts, years, "cell", weights, expected=expected)
+    placed = guards.require_positions(stations) if check else stations
+    weights = grid.snap(placed).groupBy("cell").agg(F.count("*").cast("double").alias("weight"))
+    out = records.record_series(cell_counts, years, "cell", weights, expected=_sum_of(check))
     return out if axis is None else coverage.blank_after_last_full_year(out, axis)
 
 
 def at_network_cells_series(cell_counts: DataFrame, stations: DataFrame, grid: spatial.Grid,
-                            cells: DataFrame, years: tuple[int, int] = RECORD_YEARS) -> DataFrame:
+                            cells: DataFrame, years: tuple[int, int] = RECORD_YEARS, check: bool = True) -> DataFrame:
     """The same cells without the density weighting: each once, weighted by its share."""
-    used = grid.snap(stations).select("cell").distinct()
+    placed = guards.require_positions(stations) if check else stations
+    used = grid.snap(placed).select("cell").distinct()
     weights = cells.join(used, "cell", "left_semi").select("cell", F.col("fraction").alias("weight"))
-    return records.record_series(cell_counts, years, "cell", weights)
+    return records.record_series(cell_counts, years, "cell", weights, expected=_sum_of(check))
 
 
 def at_network_masked_series(field: DataFrame, stations: DataFrame, station_days: DataFrame,

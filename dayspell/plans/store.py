@@ -34,6 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read back: for a table that several parts of one plan read, where
+    each would otherwise scan and build it again."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(*parts: object) -> str:
     """A key of rules and inputs; a DataFrame stands for its schema and the files it reads."""
     told = [(p.schema.simpleString(), sorted(p.inputFiles())) if isinstance(p, DataFrame) else repr(p) for p in parts]

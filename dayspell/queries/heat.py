@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dayspell.operators import gridding, spatial, spells, thresholds
 from dayspell.plans import heat as plans
+from dayspell.plans.store import written
 from dayspell.queries import views
 from dayspell.queries.records import FIELD_SQL, field
 from dayspell.queries.registry import query, rounded, tidy
@@ -176,7 +177,7 @@ def heatwave_idw_fixed_cells(spark, d):
 @query("heatwave_fixed_cell_list", _STATION_IDW + """
 SELECT cell FROM idw GROUP BY cell HAVING count(*) = (SELECT count(DISTINCT year) FROM idw)""", _USES)
 def heatwave_fixed_cell_list(spark, d):
-    return gridding.fixed_cells(_reduced(spark, d).field)
+    return gridding.fixed_cells(written(_reduced(spark, d).field))
 
 
 @query("heatwave_at_network", "WITH " + _GRID_FIELD + _thresholds_sql("fs", "cell") + "," + _counts_sql(
@@ -186,7 +187,7 @@ sited AS (SELECT unit, lat, lon, CAST(round_even((lat - 25) / 2, 0) * 30 + round
 pseudo AS (SELECT unit, year, hw_days FROM sited JOIN counts USING (cell)),""" + RADIAL_SQL.format(stations="site")
        + _IDW.format(counts="pseudo") + _AREA.format(field="idw", dom="land"), ("days", "station", "grid", "site"))
 def heatwave_at_network(spark, d):
-    return tidy(plans.reduce_at_network(_grid_counts(spark, d), views.site(spark, d), views.GRID, _land(spark),
+    return tidy(plans.reduce_at_network(written(_grid_counts(spark, d)), views.site(spark, d), views.GRID, _land(spark),
                                         views.RADIUS_KM).series)
 
 
@@ -199,7 +200,7 @@ SELECT year, round(sum(cos(radians(lat)) * hw_days) / sum(cos(radians(lat))), 6)
 FROM sited JOIN counts USING (cell) WHERE hw_days IS NOT NULL GROUP BY year
 """, ("days", "station", "site"))
 def heatwave_at_network_mean(spark, d):
-    return tidy(plans.reduce_at_network(_grid_counts(spark, d), views.site(spark, d), views.GRID, _land(spark),
+    return tidy(plans.reduce_at_network(written(_grid_counts(spark, d)), views.site(spark, d), views.GRID, _land(spark),
                                         views.RADIUS_KM).station_mean)
 
 
@@ -225,7 +226,7 @@ def heatwave_counts_at_sites(spark, d):
 shared AS (SELECT counts.cell, counts.year, counts.hw_days FROM counts SEMI JOIN idw USING (cell, year))"""
        + _AREA.format(field="shared", dom="land"), ("panel", "days", "station", "grid"))
 def heatwave_co_sampled(spark, d):
-    return tidy(plans.co_sampled_series(_grid_counts(spark, d), _reduced(spark, d).field, _land(spark)))
+    return tidy(plans.co_sampled_series(_grid_counts(spark, d), written(_reduced(spark, d).field), _land(spark)))
 
 
 @query("footprint_similarity", "WITH " + _GRID_FIELD.rstrip(",") + "," + RADIAL_SQL.format(stations="station") + """,
@@ -283,4 +284,5 @@ FROM e JOIN station ON unit = cell WHERE land
 """, ("days", "station"))
 def exceedance_map(spark, d):
     land = views.station(spark, d).filter("land").select(F.col("unit").alias("cell"))
-    return tidy(plans.exceedance_map(views.days(spark, d).withColumnRenamed("unit", "cell"), views.ERAS, land=land))
+    days = written(_jja(spark, d))  # the counts and the time axis read it
+    return tidy(plans.exceedance_map_of_season(days, views.ERAS, land=land))

@@ -29,9 +29,10 @@ def local_days_6h(spark, d):
     return tidy(localday.local_days(views.samples(spark, d, 6), 6), 9)
 
 
+# the events are no even samples, which the plan would refuse
 @query("local_day_extract", _sql("(SELECT * FROM samples WHERE lat BETWEEN 24 AND 40)", 8, "1"), ("samples",))
 def local_day_extract(spark, d):
-    out = plans.local_day_product(views.samples(spark, d, 3), 3, months=(1,), lat_bounds=(24.0, 40.0))
+    out = plans.local_day_product(views.samples(spark, d, 3), 3, months=(1,), lat_bounds=(24.0, 40.0), check=False)
     return tidy(out.drop("year"), 9)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dayspell.defaults import MIN_LAND_FRACTION
 from dayspell.operators import anomaly, gridding, monthly, qc, spatial
 from dayspell.plans import anomalies as plans
+from dayspell.plans.store import written
 from dayspell.queries import views
 from dayspell.queries.registry import query, tidy
 
@@ -161,9 +163,8 @@ near AS (SELECT s.unit, s.lat, s.lon, arg_min(g.land, abs(s.lat - g.lat) * 1e6 +
                 + (abs(s.lon - g.lon) * 1e6 + g.lon) * 1e9) AS land
          FROM station s, grid g GROUP BY ALL),""" + _BAND.format(cells="near", key="unit"), ("days", "station", "grid"))
 def band_anomaly_nearest_mask(spark, d):
-    cells = _cells(spark, d).drop("land")
-    return tidy(plans.band_anomaly_nearest_mask(
-        _field(spark, d), cells, views.grid(spark), baseline=views.BASE, min_base=views.MIN_BASE))
+    masked = written(spatial.carry_mask_nearest(written(_cells(spark, d).drop("land")), views.grid(spark)))
+    return tidy(plans.band_anomaly(_field(spark, d), masked, baseline=views.BASE, min_base=views.MIN_BASE))
 
 
 # four-degree cells over the two-degree grid, half a cell off it
@@ -207,9 +208,9 @@ masked AS (SELECT cell, lat, lon, land_fraction >= 0.5 AS land FROM share),"""
 def band_anomaly_area_mask(spark, d):
     located = views.days(spark, d).join(views.station(spark, d).select("unit", "lat", "lon"), "unit")
     field = COARSE.snap(located).groupBy("cell", "day").agg(F.avg("value").alias("value"))
-    out = plans.band_anomaly_area_mask(field, COARSE.cells(spark).select("cell", "lat", "lon"), views.grid(spark),
-                                       baseline=views.BASE, min_base=views.MIN_BASE)
-    return tidy(out)
+    shares = spatial.land_fraction(COARSE.cells(spark).select("cell", "lat", "lon"), views.grid(spark))
+    masked = written(shares.withColumn("land", F.col("land_fraction") >= MIN_LAND_FRACTION))
+    return tidy(plans.band_anomaly(field, masked, baseline=views.BASE, min_base=views.MIN_BASE))
 
 
 @query("land_area_share", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dayspell.operators import guards, joins, qc, records
 from dayspell.plans import records as plans
+from dayspell.plans.store import written
 from dayspell.queries import views
 from dayspell.queries.monthly import AREAS_SQL
 from dayspell.queries.registry import query, tidy
@@ -90,11 +91,6 @@ def field(spark, d):
         F.avg("value").alias("value")).withColumn("year", F.year("day"))
 
 
-def field_days(spark, d):
-    """The field's dates: every unit lies on the grid, so they are the days of unflagged rows."""
-    return qc.keep_unflagged(views.obs(spark, d)).select("day").distinct()
-
-
 _GRID_RECORDS = AREAS_SQL + "," + FIELD_SQL + """,
 dom AS (SELECT a.cell, a.fraction AS weight FROM area a JOIN grid g USING (cell) WHERE fraction >= 0.5 AND land),
 season AS (SELECT f.* FROM field f JOIN dom USING (cell) WHERE month(day) BETWEEN 5 AND 9),
@@ -110,8 +106,13 @@ def _cells(spark):
     return polygon_cells(spark).join(views.grid(spark).select("cell", "land"), "cell")
 
 
-def _grid_counts(spark, d, cells):
-    return plans.grid_counts(field(spark, d), cells, views.YEARS, axis=field_days(spark, d), **_RULE)
+def _cell_days(spark, d):
+    """The field as a table: counts, time axis and masks read it, none builds it again."""
+    return written(field(spark, d))
+
+
+def _grid_counts(days, cells):
+    return plans.grid_counts(days, cells, views.YEARS, axis=days, **_RULE)
 
 
 @query("record_series_grid", "WITH " + _GRID_RECORDS + """
@@ -119,8 +120,8 @@ SELECT year, CASE WHEN year <= (SELECT CASE WHEN strftime(max(day), '%m%d') = '1
     ELSE year(max(day)) - 1 END FROM field) THEN round(value, 6) + 0.0 END AS value FROM ("""
        + _series("cr_n", "cell", "dom") + ")", _USES)
 def record_series_grid(spark, d):
-    cells = _cells(spark)
-    return tidy(plans.grid_series(_grid_counts(spark, d, cells), cells, field_days(spark, d), views.YEARS))
+    cells, days = written(_cells(spark)), _cell_days(spark, d)
+    return tidy(plans.grid_series(_grid_counts(days, cells), cells, days, views.YEARS))
 
 
 _SITES = """,
@@ -133,22 +134,23 @@ sited AS (SELECT unit, CAST(round_even((lat - 25) / 2, 0) * 30 + round_even((lon
 nw AS (SELECT cell, count(*) AS weight FROM sited GROUP BY cell)
 SELECT year, round(value, 6) + 0.0 AS value FROM (""" + _series("cr_n", "cell", "nw") + ")", (*_USES, "site"))
 def record_series_at_network(spark, d):
-    return tidy(plans.at_network_series(_grid_counts(spark, d, _cells(spark)), views.site(spark, d), views.GRID, views.YEARS))
+    counts = _grid_counts(_cell_days(spark, d), _cells(spark))
+    return tidy(plans.at_network_series(counts, views.site(spark, d), views.GRID, views.YEARS))
 
 
 @query("record_series_at_network_cells", "WITH " + _GRID_RECORDS + _SITES + """
 nw AS (SELECT cell, fraction AS weight FROM area WHERE cell IN (SELECT cell FROM sited))
 SELECT year, round(value, 6) + 0.0 AS value FROM (""" + _series("cr_n", "cell", "nw") + ")", (*_USES, "site"))
 def record_series_at_network_cells(spark, d):
-    cells = _cells(spark)
-    return tidy(plans.at_network_cells_series(_grid_counts(spark, d, cells), views.site(spark, d), views.GRID,
+    cells = written(_cells(spark))
+    return tidy(plans.at_network_cells_series(_grid_counts(_cell_days(spark, d), cells), views.site(spark, d), views.GRID,
                                               cells, views.YEARS))
 
 
-# one station in seven never reports; it stays in the mean's denominator
+# every station has a silent twin in its cell, which never reports and stays in the mean's denominator
 @query("record_series_masked", "WITH " + _GRID_RECORDS.replace("cr", "gcr") + """,
-rep AS (SELECT DISTINCT l_suppkey AS unit, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_suppkey % 7 <> 0)""" + _SITES + """
-own AS (SELECT unit, cell FROM sited WHERE cell IN (SELECT cell FROM gcr_n)),
+rep AS (SELECT DISTINCT l_suppkey AS unit, CAST(l_shipdate AS DATE) AS day FROM lineitem)""" + _SITES + """
+own AS (SELECT unit, cell FROM (SELECT unit, cell FROM sited UNION ALL SELECT -unit, cell FROM sited) WHERE cell IN (SELECT cell FROM gcr_n)),
 carried AS (SELECT unit, day, f.year, f.value FROM rep JOIN own USING (unit) JOIN field f USING (cell, day)
             WHERE month(day) BETWEEN 5 AND 9),""" + _credit("cr", "carried", "unit") + """
 SELECT y.year, CASE WHEN y.year <= (SELECT CASE WHEN strftime(max(day), '%m%d') = '1231' THEN year(max(day))
@@ -157,12 +159,14 @@ SELECT y.year, CASE WHEN y.year <= (SELECT CASE WHEN strftime(max(day), '%m%d')
 FROM (SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2002)) y LEFT JOIN cr_n n USING (year) GROUP BY y.year
 """, (*_USES, "site"))
 def record_series_masked(spark, d):
-    reports = views.table(spark, d, "lineitem").filter("l_suppkey % 7 <> 0").select(
+    reports = views.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("unit"), F.col("l_shipdate").cast("date").alias("day")).distinct()
-    season = field(spark, d).filter(F.month("day").between(5, 9))
-    kept = _grid_counts(spark, d, _cells(spark)).select("cell").distinct()
-    return tidy(plans.at_network_masked_series(season, views.site(spark, d), reports, views.GRID, kept,
-                                               field_days(spark, d), views.YEARS))
+    days = _cell_days(spark, d)
+    season = days.filter(F.month("day").between(5, 9))
+    kept = written(_grid_counts(days, _cells(spark)).select("cell").distinct())
+    site = views.site(spark, d)
+    both = site.unionByName(site.withColumn("unit", -F.col("unit")))
+    return tidy(plans.at_network_masked_series(season, both, reports, views.GRID, kept, days, views.YEARS))
 
 
 @query("mask_to_reporting", "WITH " + FIELD_SQL + """,

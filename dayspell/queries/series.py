@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dayspell.operators import series
 from dayspell.plans import anomalies as anomaly_plans
 from dayspell.plans import records as record_plans
+from dayspell.plans.store import written
 from dayspell.queries import views
 from dayspell.queries.registry import query, tidy
 
@@ -306,13 +307,12 @@ FROM part_net p LEFT JOIN a USING (x) LEFT JOIN b USING (x)
 """, ("month_series", "station"))
 def sampling_correction(spark, d):
     months = views.month_series(spark, d)
-    land = views.station(spark, d).filter("land").select(F.col("unit").alias("series"))
-
-    def mean(df):
-        return df.groupBy("year").agg(F.avg("value").alias("value"))
-
-    sampled = mean(months.join(land, "series", "left_semi"))
-    return tidy(record_plans.sampling_correction(sampled, mean(months), sampled))
+    land = views.station(spark, d).filter("land").select(F.col("unit").alias("series"), F.lit(True).alias("land"))
+    means = written(months.join(land, "series", "left").groupBy("year").agg(
+        F.avg("value").alias("full"), F.avg(F.when(F.col("land"), F.col("value"))).alias("sampled"), F.count("land").alias("n")))
+    full = means.select("year", F.col("full").alias("value"))
+    sampled = means.filter("n > 0").select("year", F.col("sampled").alias("value"))
+    return tidy(record_plans.sampling_correction(sampled, full, sampled))
 
 
 @query("mean_of_series_pair", "WITH " + _NETS.rstrip(",") + """
