@@ -101,19 +101,43 @@ def on_footprint(field: DataFrame, footprint: DataFrame,
     return field.join(footprint.select(*keys), list(keys), "left_semi")
 
 
+def _digests(df: DataFrame, groups: Sequence[str], keys: Sequence[str], values: Sequence[str], side: str) -> DataFrame:
+    """Per group: rows, values per column, and two sums of row hashes; partial sums, so a group may be of any size."""
+    row = [*keys, *values]
+    return df.groupBy(*groups).agg(
+        F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*row)).alias("a"),
+                 F.sum(F.hash(*row).cast("bigint")).alias("b")).alias(f"_d{side}"),
+        F.struct(*[F.count(v).alias(v) for v in values]).alias(f"_c{side}"))
+
+
 def differences(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str],
-                tolerance: float = 1e-4) -> DataFrame:
+                tolerance: float = 1e-4, groups: Sequence[str] | None = None) -> DataFrame:
     """One row per value column: counts on each side, unmatched counts, worst gap, verdict.
 
-    All columns are compared in one full outer join and one aggregate.
+    Groups of rows (by the first two keys, or `groups`) are compared by digest first. Where all digests agree only they
+    are shuffled; rows of the groups that differ meet in one full outer join and one aggregate.
     """
-    left = old.select(*keys, *[F.col(v).cast("double").alias(f"_o_{v}") for v in values])
-    right = new.select(*keys, *[F.col(v).cast("double").alias(f"_n_{v}") for v in values])
-    both = left.join(right, list(keys), "full")
+    groups = list(groups or keys[:2])
+    doubles = [F.col(v).cast("double").alias(v) for v in values]
+    left, right = old.select(*keys, *doubles), new.select(*keys, *doubles)
+    told = _digests(left, groups, keys, values, "o").join(_digests(right, groups, keys, values, "n"), groups, "full")
+    same = F.coalesce(F.col("_do") == F.col("_dn"), F.lit(False))
+    unequal = told.filter(~same).select(*groups)
 
     def number(cond: Column) -> Column:
         return F.count(F.when(cond, 1))
 
+    equal = told.filter(same).agg(*[F.coalesce(F.sum(F.col("_co")[v]), F.lit(0)).alias(v) for v in values])
+    settled = equal.select(F.inline(F.array(*[F.struct(
+        F.lit(v).alias("name"), F.col(v).alias("n_old"), F.col(v).alias("n_new"), F.lit(0).cast("bigint").alias("only_old"),
+        F.lit(0).cast("bigint").alias("only_new"), F.lit(0.0).alias("max_abs_diff")) for v in values])))
+
+    # a null in a group key meets nothing, on either side
+    def rest(df: DataFrame, mark: str) -> DataFrame:
+        kept = df.join(unequal, [df[g].eqNullSafe(unequal[g]) for g in groups], "left_semi")
+        return kept.select(*keys, *[F.col(v).alias(f"_{mark}_{v}") for v in values])
+
+    both = rest(left, "o").join(rest(right, "n"), list(keys), "full")
     aggs = []
     for v in values:
         o, n = F.col(f"_o_{v}"), F.col(f"_n_{v}")
@@ -124,7 +148,9 @@ def differences(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Seq
             number(o.isNull() & n.isNotNull()).alias("only_new"),
             F.coalesce(F.max(F.abs(o - n)), F.lit(0.0)).alias("max_abs_diff"),
         ).alias(v))
-    rows = both.agg(*aggs).select(F.inline(F.array(*[F.col(v) for v in values])))
+    open_rows = both.agg(*aggs).select(F.inline(F.array(*[F.col(v) for v in values])))
+    rows = settled.unionByName(open_rows).groupBy("name").agg(
+        *[F.sum(c).alias(c) for c in ("n_old", "n_new", "only_old", "only_new")], F.max("max_abs_diff").alias("max_abs_diff"))
     return rows.withColumn(
         "same",
         (F.col("only_old") == 0) & (F.col("only_new") == 0) & (F.col("max_abs_diff") < tolerance))

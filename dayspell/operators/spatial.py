@@ -1,9 +1,9 @@
 """Spatial joins as bucketed equi-joins with an exact test.
 
 Every join here has an equality key: latitude/longitude buckets for distances,
-latitude bands for point in polygon, grid columns for areas, unit-wide bins for
+index cells for point in polygon, grid columns for areas, unit-wide bins for
 axis overlaps. Spark may broadcast a side only where its measured size allows;
-a crowded bucket is spread by `salts` or by AQE's skew join.
+a crowded bucket is dealt in as many parts as its measured count asks for.
 """
 
 from __future__ import annotations
@@ -101,33 +101,33 @@ def _covering_buckets(lat: Column, lon: Column, angle: float) -> Column:
         r.alias("_bi"), F.pmod(c, F.lit(_LON_BINS)).alias("_bj")))))
 
 
-def _candidates(cells: DataFrame, stations: DataFrame, angle: float, salts: int) -> DataFrame:
+def _candidates(cells: DataFrame, stations: DataFrame, angle: float, per_task: int) -> DataFrame:
     """Cell-station pairs that share a bucket; each pair once.
 
-    A station lies in one bucket. A cell is repeated per bucket its cap touches,
-    and per salt; the station picks one salt, so a bucket with very many stations
-    is spread over `salts` tasks, and the skew join can split it further, because
-    neither side's partitioning is fixed here.
+    A station lies in one bucket; a cell is repeated per bucket its cap touches that holds a station. Stations are
+    counted first, and a bucket with more than `per_task` of them is dealt in as many
+    parts as that takes, each with its own copy of the bucket's cells: a crowded region spreads over tasks, an
+    empty one costs nothing.
     """
-    c = cells.select(
-        "cell", F.col("lat").alias("clat"), F.col("lon").alias("clon"),
-        F.inline(_covering_buckets(F.col("lat"), F.col("lon"), angle)),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     lon = geo.wrap_lon(F.col("lon"))
     s = stations.select(
         "unit", F.col("lat").alias("slat"), F.col("lon").alias("slon"),
         F.floor(F.col("lat") / _LAT_BIN).cast("int").alias("_bi"),
-        F.pmod(F.floor(lon / _LON_BIN).cast("int"), F.lit(_LON_BINS)).alias("_bj"),
-        F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("int").alias("_salt"),
-    )
-    return c.join(s, ["_bi", "_bj", "_salt"], "inner")
+        F.pmod(F.floor(lon / _LON_BIN).cast("int"), F.lit(_LON_BINS)).alias("_bj"))
+    parts = s.groupBy("_bi", "_bj").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_parts"))
+    c = cells.select(
+        "cell", F.col("lat").alias("clat"), F.col("lon").alias("clon"),
+        F.inline(_covering_buckets(F.col("lat"), F.col("lon"), angle)))
+    c = c.join(parts, ["_bi", "_bj"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    s = s.join(parts, ["_bi", "_bj"]).withColumn("_part", F.pmod(F.xxhash64("unit"), F.col("_parts")).cast("int")).drop("_parts")
+    return c.join(s, ["_bi", "_bj", "_part"], "inner")
 
 
 def near_pairs(cells: DataFrame, stations: DataFrame, radius_km: float,
-               earth_km: float = EARTH_RADIUS_KM, salts: int = 4) -> DataFrame:
+               earth_km: float = EARTH_RADIUS_KM, per_task: int = 1000) -> DataFrame:
     """(cell, unit, km) for stations nearer than `radius_km` by great circle."""
     limit = geo.chord_limit(radius_km, earth_km)
-    pairs = _candidates(cells, stations, radius_km / earth_km, salts)
+    pairs = _candidates(cells, stations, radius_km / earth_km, per_task)
     c = geo.chord(F.col("clat"), F.col("clon"), F.col("slat"), F.col("slon"))
     return (
         pairs.withColumn("_c", c).filter(F.col("_c") < limit)
@@ -135,7 +135,7 @@ def near_pairs(cells: DataFrame, stations: DataFrame, radius_km: float,
     )
 
 
-def radial_pairs(cells: DataFrame, stations: DataFrame, radius_km: float, salts: int = 4) -> DataFrame:
+def radial_pairs(cells: DataFrame, stations: DataFrame, radius_km: float, per_task: int = 1000) -> DataFrame:
     """(cell, unit, km) for 0 <= km < radius by the count-gridding distance.
 
     The search radius is 5% wider than the target after the earth-radius
@@ -143,7 +143,7 @@ def radial_pairs(cells: DataFrame, stations: DataFrame, radius_km: float, salts:
     """
     slack_km = radius_km * 1.05 * EARTH_RADIUS_KM / RADIAL_EARTH_RADIUS_KM
     limit = geo.chord_limit(slack_km)
-    pairs = _candidates(cells, stations, slack_km / EARTH_RADIUS_KM, salts)
+    pairs = _candidates(cells, stations, slack_km / EARTH_RADIUS_KM, per_task)
     places = [F.col(n) for n in ("clat", "clon", "slat", "slon")]
     return (
         pairs.filter(geo.chord(*places) <= limit)
@@ -181,30 +181,71 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
     return edges.withColumn("turn", turn.cast("int")).select("poly", "turn", "x1", "y1", "x2", "y2")
 
 
-def points_inside(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",)) -> DataFrame:
+def polygon_index(edges: DataFrame, size: float = 0.25) -> DataFrame:
+    """(row, col, poly, whole): the cells of `size` degrees that a polygon touches. `whole` cells lie inside it; through
+    the others an edge runs. Cells outside are not listed."""
+    row_edges = _rows_of_edges(edges, size)
+    # the stretch of the row that an edge passes over; a little wider, so that rounding loses no cell
+    south, north = F.col("row") * size, (F.col("row") + 1) * size
+    low = F.greatest(F.least("y1", "y2"), south)
+    high = F.least(F.greatest("y1", "y2"), north)
+    flat = F.col("y1") == F.col("y2")
+    ends = [F.when(flat, F.col(x)).otherwise(_x_at(y)) for x, y in (("x1", low), ("x2", high))]
+    cols = F.sequence(*[F.floor((f(*ends) + pad) / size).cast("int") for f, pad in ((F.least, -1e-9), (F.greatest, 1e-9))])
+    edge_cells = row_edges.select("poly", "row", F.explode(cols).alias("col")).distinct()
+    # where the row's middle line enters and leaves the polygon
+    middle = (F.col("row") + 0.5) * size
+    crossing = F.when((F.col("y1") > middle) != (F.col("y2") > middle), _x_at(middle))
+    lines = row_edges.groupBy("poly", "row").agg(F.sort_array(F.collect_list(crossing)).alias("_x"))
+    pieces = lines.filter(F.size("_x") > 1).select("poly", "row", "_x", F.explode(F.sequence(
+        F.lit(0), F.size("_x") - 2, F.lit(2))).alias("_k"))
+    first = F.ceil(F.get("_x", F.col("_k")) / size - 0.5).cast("int")
+    last = F.floor(F.get("_x", F.col("_k") + 1) / size - 0.5).cast("int")
+    between = pieces.filter(first <= last).select("poly", "row", F.explode(F.sequence(first, last)).alias("col"))
+    whole = between.join(edge_cells, ["poly", "row", "col"], "left_anti")
+    return whole.withColumn("whole", F.lit(True)).unionByName(edge_cells.withColumn("whole", F.lit(False)))
+
+
+def _rows_of_edges(edges: DataFrame, size: float) -> DataFrame:
+    """Edges repeated per row of cells that they reach."""
+    return edges.select("poly", "x1", "y1", "x2", "y2", F.explode(F.sequence(
+        F.floor(F.least("y1", "y2") / size).cast("int"), F.floor(F.greatest("y1", "y2") / size).cast("int"))).alias("row"))
+
+
+def _x_at(y: Column) -> Column:
+    """Where an edge, or the line through it, has the latitude `y`."""
+    return F.col("x1") + F.try_divide((y - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
+
+
+def edge_candidates(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",), size: float = 0.25) -> DataFrame:
+    """Points in cells that an edge runs through, beside that polygon's edges of the same row."""
+    return _in_cells(points, edges, key, size).filter(~F.col("whole")).join(
+        _rows_of_edges(edges.filter(F.col("y1") != F.col("y2")), size), ["poly", "row"], "inner")
+
+
+def _in_cells(points: DataFrame, edges: DataFrame, key: Sequence[str], size: float) -> DataFrame:
+    p = points.select(*key, F.col("lat"), geo.wrap_lon(F.col("lon")).alias("_x")).withColumn(
+        "row", F.floor(F.col("lat") / size).cast("int")).withColumn("col", F.floor(F.col("_x") / size).cast("int"))
+    return p.join(polygon_index(edges, size), ["row", "col"], "inner")
+
+
+def points_inside(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",), size: float = 0.25) -> DataFrame:
     """Points with `inside`: whether, for any polygon, a ray to the east crosses its edges an odd
     number of times; polygons may overlap.
 
-    Edges are repeated per whole degree of latitude they span and joined to the
-    points of that degree; crossings are summed map-side before the shuffle. Rays
-    use half-open edges, so a vertex counts once and a horizontal edge never.
+    A cell index decides most points by an equi-join: those in a cell that lies whole inside a polygon, or in none
+    that one touches. Only points in a cell through which an edge runs meet edges, and only those of their own row of cells.
+    Crossings are summed map-side before the shuffle. Rays use half-open edges, so a vertex
+    counts once and a horizontal edge never.
     """
-    banded = edges.filter(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(
-        F.floor(F.least("y1", "y2")).cast("int"), F.floor(F.greatest("y1", "y2")).cast("int"))))
-    lon = geo.wrap_lon(F.col("lon"))
-    p = points.select(*key, F.col("lat"), lon.alias("_x"),
-                      F.floor("lat").cast("int").alias("_band"))
+    sure = _in_cells(points, edges, key, size).filter("whole").select(*key)
     y = F.col("lat")
     spans = (F.col("y1") > y) != (F.col("y2") > y)
-    at = F.col("x1") + F.try_divide((y - F.col("y1")) * (F.col("x2") - F.col("x1")),
-                                    F.col("y2") - F.col("y1"))
-    crossing = F.when(spans & (F.col("_x") < at), 1).otherwise(0)
-    odd = (
-        p.join(banded.select("_band", "poly", "x1", "y1", "x2", "y2"), "_band", "inner")
-        .groupBy(*key, "poly").agg((F.sum(crossing) % 2).alias("_odd")).filter(F.col("_odd") == 1)
-        .select(*key, F.lit(True).alias("_in")).distinct()
-    )
-    return points.join(odd, list(key), "left").withColumn(
+    crossing = F.when(spans & (F.col("_x") < _x_at(y)), 1).otherwise(0)
+    odd = edge_candidates(points, edges, key, size).groupBy(*key, "poly").agg(
+        (F.sum(crossing) % 2).alias("_odd")).filter(F.col("_odd") == 1).select(*key)
+    found = sure.unionByName(odd).distinct().withColumn("_in", F.lit(True))
+    return points.join(found, list(key), "left").withColumn(
         "inside", F.coalesce(F.col("_in"), F.lit(False))).drop("_in")
 
 
