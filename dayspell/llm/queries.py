@@ -197,44 +197,73 @@ def op5_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _template_sql(source: str, key: str) -> str:
+    """key, raw, and both streams' codes of every text."""
     units = ", ".join(f"'{u}'" for u in template_leaks.UNITS)
+    digit = "raw[i][1] between '0' and '9'"
+    unit = f"i > 1 and raw[i - 1][1] between '0' and '9' and lower(raw[i]) in ({units})"
     return rf"""
     select {key}, raw, [case
-        when raw[i][1] between '0' and '9' then '#number'
+        when {digit} then '#number'
         when lower(raw[i][1]) <> raw[i][1] and raw[i][2] <> '' and lower(raw[i][2]) = raw[i][2] then '#name'
-        when i > 1 and raw[i - 1][1] between '0' and '9' and lower(raw[i]) in ({units}) then '#unit'
-        else lower(raw[i]) end for i in range(1, len(raw) + 1)] as code
+        when {unit} then '#unit'
+        else lower(raw[i]) end for i in range(1, len(raw) + 1)] as plain,
+      [case when {digit} then '#number' when {unit} then '#unit' else lower(upper(raw[i])) end for i in range(1, len(raw) + 1)] as folded_code
     from (select {key}, regexp_extract_all(text, '(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|\p{{L}}[\p{{L}}\p{{M}}''’]*)', 1) as raw
           from {source} where text is not null)"""
 
 
+def _template_windows_sql(rows: str, key: str) -> str:
+    """key, i, folded, win, slots: the windows of five tokens of both streams."""
+    return f"""
+    select {key}, i, folded, code[i + 1 : i + 5] as win,
+           [case when code[k] in ('#number', '#name', '#unit') then case when folded then lower(raw[k]) else raw[k] end end
+            for k in range(i + 1, i + 6)] as slots
+    from (select {key}, raw, folded, code, unnest(range(greatest(len(code) - 4, 0))) as i
+          from (select {key}, raw, false as folded, plain as code from {rows} union all select {key}, raw, true, folded_code from {rows}))"""
+
+
 OP4_SQL = f"""
 with items as ({_template_sql('benchmark', 'item_id')}),
-item_windows as (
-    select distinct on (item_id, pos, win) * from (
-        select item_id, pos, code[pos + 1 : pos + 5] as win, [case when code[k] in ('#number', '#name', '#unit') then raw[k] end for k in range(pos + 1, pos + 6)] as slots
-        from (select *, unnest(range(greatest(len(code) - 4, 0))) as pos from items))
-    where len([x for x in slots if x is null]) >= 2),
-known as (select w.*, n.windows from item_windows w join (select item_id, count(distinct pos) as windows from item_windows group by item_id) n
-          on w.item_id is not distinct from n.item_id),
+item_windows as materialized (
+    select distinct on (item_id, i, folded, win) item_id, i as pos, folded, win, slots
+    from ({_template_windows_sql('items', 'item_id')}) where len([x for x in slots if x is null]) >= 2),
+sizes as (
+    select item_id, count(distinct pos) filter (where not folded) as windows, count(distinct tok) as tokens
+    from (select *, unnest(range(pos, pos + 5)) as tok from item_windows) group by item_id),
+known as materialized (select w.*, n.windows, n.tokens from item_windows w join sizes n on w.item_id is not distinct from n.item_id),
 docs as ({_template_sql('documents', 'doc_id')}),
 doc_windows as (
-    select doc_id, i, code[i + 1 : i + 5] as win, [case when code[k] in ('#number', '#name', '#unit') then raw[k] end for k in range(i + 1, i + 6)] as seen
-    from (select *, unnest(range(greatest(len(code) - 4, 0))) as i from docs)),
-met as (select doc_id, item_id, windows, pos, i - pos as shift, seen, slots from doc_windows d join known k on d.win = k.win),
-pairs as (
-    select doc_id, item_id, shift, count(distinct v) as values_, count(distinct o) as others, count(distinct (v, o)) as pairs
-    from (select doc_id, item_id, shift, unnest(slots) as v, unnest(seen) as o from met) where v is not null
+    select doc_id, i, folded, win, slots as seen from ({_template_windows_sql('docs', 'doc_id')})
+    where hash(win) in (select hash(win) from known)),
+met as materialized (
+    select doc_id, item_id, windows, tokens, d.folded, pos, i - pos as shift, seen, slots
+    from doc_windows d join known k on d.win = k.win and d.folded = k.folded),
+pairs as materialized (
+    select doc_id, item_id, folded, shift, count(distinct v) as values_, count(distinct o) as others, count(distinct (v, o)) as pairs
+    from (select doc_id, item_id, folded, shift, unnest(slots) as v, unnest(seen) as o from met) where v is not null
     group by all),
-consistent as (
-    select m.* from met m left join pairs p on m.doc_id is not distinct from p.doc_id and m.item_id is not distinct from p.item_id
-        and m.shift = p.shift where p.shift is null or p.pairs * 0.8 <= least(p.values_, p.others)),
-found as (select doc_id, item_id, count(distinct pos) as matched, max(windows) as windows from consistent group by doc_id, item_id),
+broken as (select * from pairs where pairs * 0.8 > least(values_, others)),
+consistent as materialized (
+    select * from met m where not exists (
+        select 1 from broken b where b.doc_id is not distinct from m.doc_id and b.item_id is not distinct from m.item_id
+                                 and b.shift = m.shift and (m.folded or not b.folded))),
+covered as (
+    select doc_id, item_id, max(n) / max(tokens) as share_covered
+    from (select doc_id, item_id, half, stretch, max(tokens) as tokens, count(distinct tok) as n
+          from (select doc_id, item_id, tokens, half, floor(shift / tokens + half / 2) as stretch, unnest(range(pos, pos + 5)) as tok
+                from (select *, unnest([0, 1]) as half from consistent)) group by all)
+    group by doc_id, item_id),
+found as (
+    select doc_id, item_id, count(distinct pos) filter (where not folded) as matched, max(windows) as windows
+    from consistent group by doc_id, item_id),
 kept as (select doc_id, item_id, max(values_) as slots, max(case when pairs * 0.8 <= least(values_, others) then values_ end) as slots_kept
-         from pairs group by doc_id, item_id)
-select f.doc_id, f.item_id, matched, windows, matched / windows as share_matched, coalesce(slots, 0) as slots, coalesce(slots_kept, 0) as slots_kept
-from found f left join kept k on f.doc_id is not distinct from k.doc_id and f.item_id is not distinct from k.item_id
-where matched >= 0.8 * windows
+         from pairs where not folded group by doc_id, item_id)
+select f.doc_id, f.item_id, matched, windows, case when windows > 0 then matched / windows else 0.0 end as share_matched,
+       coalesce(slots, 0) as slots, coalesce(slots_kept, 0) as slots_kept
+from found f
+join covered c on f.doc_id is not distinct from c.doc_id and f.item_id is not distinct from c.item_id
+left join kept k on f.doc_id is not distinct from k.doc_id and f.item_id is not distinct from k.item_id
+where (windows > 0 and matched >= 0.8 * windows) or share_covered >= 0.6
 """
 
 
