@@ -156,3 +156,21 @@ def test_repeated_runs_of_a_host_go(spark):
     assert got[9] == f"{common} elsewhere"  # no other page of that host has it
     assert got[10] == got[0] == "story number 0 has its own words 0"  # equal pages count as one
     assert page_text.main_texts(frame.where("page_id < 0")).count() == 0
+
+
+STORY = "<p>The story of the day has a first sentence.</p><p>And it has a second one.</p>"
+TOLD = "The story of the day has a first sentence. And it has a second one."
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><article>{STORY}</article><div class=sidebar>Latest posts</div></div>",
+    f"<div id='content-sidebar-wrap'><article>{STORY}</article><aside>Links</aside></div>",
+    f"<article class='post has-comments'>{STORY}<div class=comments>I disagree</div></article>",
+    f"<body><svg width=3 /><nav>Home</nav><article>{STORY}<svg viewBox='0 0 1 1'/></article><svg><text>icon</text></svg></body>",
+    f"<div class='cookie-consent-open'><main>{STORY}</main></div>",
+    f"<div class=sidebar><article>A teaser</article></div><article>{STORY}</article>",
+    f"<article>{STORY}</article><div id=comments><article>A reader writes</article></div>",
+    f"<article>{STORY}</article><div class='related'><article>Another story</article></div>"])
+def test_articles_in_wrappers_with_chrome_names_stay(spark, page):
+    frame = spark.createDataFrame([(1, "http://a.example/x", page)], "page_id long, url string, html string")
+    assert [r["text"] for r in page_text.main_texts(frame).collect()] == [TOLD]
