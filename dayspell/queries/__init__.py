@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from dayspell.queries import heat, localday, monthly, pairs, qc, records, series, spatial, tables, text  # noqa: F401
+from dayspell.queries import heat, localday, monthly, pairs, qc, records, roundtrip, series, spatial, tables, text  # noqa: F401
 from dayspell.queries.registry import ORACLES, QUERIES  # noqa: F401
