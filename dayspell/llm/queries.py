@@ -206,20 +206,21 @@ def _template_sql(source: str, key: str) -> str:
         when {digit} then '#number'
         when lower(raw[i][1]) <> raw[i][1] and raw[i][2] <> '' and lower(raw[i][2]) = raw[i][2] then '#name'
         when {unit} then '#unit'
-        else lower(raw[i]) end for i in range(1, len(raw) + 1)] as plain,
+        else lower(upper(raw[i])) end for i in range(1, len(raw) + 1)] as plain,
       [case when {digit} then '#number' when {unit} then '#unit' else lower(upper(raw[i])) end for i in range(1, len(raw) + 1)] as folded_code
     from (select {key}, regexp_extract_all(text, '(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|\p{{L}}[\p{{L}}\p{{M}}''’]*)', 1) as raw
           from {source} where text is not null)"""
 
 
 def _template_windows_sql(rows: str, key: str) -> str:
-    """key, i, folded, win, slots: the windows of five tokens of both streams."""
+    """key, i, folded, win, slots: the windows of five tokens, and the folded ones where a window holds a name."""
     return f"""
     select {key}, i, folded, code[i + 1 : i + 5] as win,
            [case when code[k] in ('#number', '#name', '#unit') then case when folded then lower(raw[k]) else raw[k] end end
             for k in range(i + 1, i + 6)] as slots
-    from (select {key}, raw, folded, code, unnest(range(greatest(len(code) - 4, 0))) as i
-          from (select {key}, raw, false as folded, plain as code from {rows} union all select {key}, raw, true, folded_code from {rows}))"""
+    from (select {key}, raw, folded, plain, code, unnest(range(greatest(len(code) - 4, 0))) as i
+          from (select {key}, raw, false as folded, plain, plain as code from {rows} union all select {key}, raw, true, plain, folded_code from {rows}))
+    where not folded or list_contains(plain[i + 1 : i + 5], '#name')"""
 
 
 OP4_SQL = f"""
@@ -236,8 +237,8 @@ doc_windows as (
     select doc_id, i, folded, win, slots as seen from ({_template_windows_sql('docs', 'doc_id')})
     where hash(win) in (select hash(win) from known)),
 met as materialized (
-    select doc_id, item_id, windows, tokens, d.folded, pos, i - pos as shift, seen, slots
-    from doc_windows d join known k on d.win = k.win and d.folded = k.folded),
+    select doc_id, item_id, windows, tokens, d.folded or k.folded as folded, pos, i - pos as shift, seen, slots
+    from doc_windows d join known k on d.win = k.win),
 pairs as materialized (
     select doc_id, item_id, folded, shift, count(distinct v) as values_, count(distinct o) as others, count(distinct (v, o)) as pairs
     from (select doc_id, item_id, folded, shift, unnest(slots) as v, unnest(seen) as o from met) where v is not null

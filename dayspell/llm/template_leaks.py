@@ -4,7 +4,8 @@ Words of a text become template tokens: numbers, units behind numbers, and capit
 placeholders, other words are lower-cased. Windows of template tokens are hashed and joined with those of the benchmark
 items. Where windows meet, the values behind the placeholders are compared: a re-parameterised question replaces each
 value by one other value throughout, a chance resemblance does not. A second stream of windows holds names as case-folded
-words, so that a copy in other case is met as well. DataFrame operations only.
+words, so that a copy in other case is met as well; it has only the windows that hold a name, the others are the same in
+both. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -35,36 +36,39 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _kind(token: Column, previous: Column) -> Column:
-    """Template code of a token: a placeholder's number or the hash of the lower-cased word."""
+    """Template code of a token: a placeholder's number or the hash of the case-folded word."""
     first, second = F.substring(token, 1, 1), F.substring(token, 2, 1)
     low = F.lower(token)
     digit = first.between("0", "9")
     name = (F.lower(first) != first) & (second != "") & (F.lower(second) == second)
     unit = F.substring(previous, 1, 1).between("0", "9") & low.isin(*UNITS)
     return (F.when(digit, F.lit(NUMBER).cast("long")).when(name, F.lit(NAME).cast("long"))
-            .when(unit, F.lit(UNIT).cast("long")).otherwise(F.xxhash64(low)))
-
-
-def _folded(token: Column, previous: Column) -> Column:
-    """Code of a token whose case says nothing: a number's or unit's placeholder or the hash of the case-folded word."""
-    unit = F.substring(previous, 1, 1).between("0", "9") & F.lower(token).isin(*UNITS)
-    return (F.when(F.substring(token, 1, 1).between("0", "9"), F.lit(NUMBER).cast("long"))
             .when(unit, F.lit(UNIT).cast("long")).otherwise(F.xxhash64(F.lower(F.upper(token)))))
 
 
 def templates(texts: DataFrame, key: str) -> DataFrame:
-    """key, raw (tokens), code (template codes) and folded (case-folded codes) of every row with a text."""
+    """key, raw (tokens), code (template codes) and folded (the same with names as case-folded words) of every row with a text."""
     raw = _held(texts.where("text is not null").select(key, "text"),
                 raw=F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).drop("text")
     before = lambda i: F.coalesce(F.get(F.col("raw"), i - 1), F.lit(""))
-    return _held(raw, code=F.transform("raw", lambda t, i: _kind(t, before(i))),
-                 folded=F.transform("raw", lambda t, i: _folded(t, before(i))))
+    coded = _held(raw, code=F.transform("raw", lambda t, i: _kind(t, before(i))))
+    # a name behind a number may be a unit for the folded stream, as in other case it would be
+    word = lambda t, i: F.when(
+        F.substring(before(i), 1, 1).between("0", "9") & F.lower(t).isin(*UNITS), F.lit(UNIT).cast("long")).otherwise(F.xxhash64(F.lower(F.upper(t))))
+    return _held(coded, folded=F.transform("code", lambda c, i: F.when(c == NAME, word(F.get("raw", i), i)).otherwise(c)))
+
+
+def _named_starts(width: int) -> Column:
+    """Starts of the windows that hold a name: only there do the streams differ."""
+    at = F.filter(F.transform("code", lambda c, i: F.when(c == NAME, i)), lambda i: i.isNotNull())
+    starts = F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), i)))
+    return F.filter(F.array_distinct(starts), lambda i: i <= F.size("code") - width)
 
 
 def _window_hash(i: Column, width: int, folded: bool) -> Column:
-    """Hash of the window at `i`; the streams' hashes differ, so that neither meets the other."""
+    """Hash of the window at `i`. A folded window has no name left, so it meets windows of either stream that hold none."""
     code = F.col("folded" if folded else "code")
-    return F.xxhash64(*[F.lit(True)] * folded, *[F.get(code, i + k) for k in range(width)])
+    return F.xxhash64(*[F.get(code, i + k) for k in range(width)])
 
 
 def _starts(width: int) -> Column:
@@ -91,8 +95,8 @@ def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
     """item_id, at, folded, hash, slots of every window that holds `literals` words at least, windows (how many of them the
     item's templates have) and tokens (how many tokens they and the folded ones cover)."""
     rows = templates(benchmark.select("item_id", "text"), "item_id")
-    found = rows.select("item_id", F.explode(F.concat(*[
-        _windows(_starts(width), width, folded, "at", "slots") for folded in (False, True)])).alias("w"))
+    found = rows.select("item_id", F.explode(F.concat(
+        _windows(_starts(width), width, False, "at", "slots"), _windows(_named_starts(width), width, True, "at", "slots"))).alias("w"))
     enough = F.size(F.filter("w.slots", lambda s: s.isNull())) >= literals
     found = found.where(enough).select("item_id", "w.at", "w.folded", "w.hash", "w.slots").dropDuplicates(["item_id", "at", "hash"])
     sizes = found.groupBy("item_id").agg(F.count_distinct(F.when(~F.col("folded"), F.col("at"))).alias("windows"),
@@ -134,13 +138,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 5, share: flo
         return F.call_function("shiftright", word, place % 64).bitwiseAND(F.lit(1)) == 1
 
     # one pass over both streams: the folded window at i is -1 - i, so that the plan holds the filter once
-    every = F.concat(_starts(width), F.transform(_starts(width), lambda i: -1 - i))
+    every = F.concat(_starts(width), F.transform(_named_starts(width), lambda i: -1 - i))
     rows = _held(templates(documents.select("doc_id", "text"), "doc_id"), hits=F.filter(every, passes))
     hits = rows.select("doc_id", F.explode(F.concat(
         _windows(F.filter("hits", lambda i: i >= 0), width, False, "i", "seen"),
         _windows(F.transform(F.filter("hits", lambda i: i < 0), lambda i: -1 - i), width, True, "i", "seen"))).alias("h"))
-    met = hits.select("doc_id", "h.i", "h.hash", "h.seen").join(near, "hash").select(
-        "doc_id", "item_id", "windows", "tokens", "folded", "at", (F.col("i") - F.col("at")).alias("shift"), "seen", "slots")
+    met = hits.select("doc_id", "h.i", F.col("h.folded").alias("told"), "h.hash", "h.seen").join(near, "hash").select(
+        "doc_id", "item_id", "windows", "tokens", (F.col("folded") | F.col("told")).alias("folded"), "at", (F.col("i") - F.col("at")).alias("shift"), "seen", "slots")
     met = staged(met)
 
     pairs = (met.select("doc_id", "item_id", "folded", "shift", F.explode(F.arrays_zip("slots", "seen")).alias("s"))
