@@ -145,9 +145,9 @@ def test_crowded_buckets_are_dealt_in_parts(spark):
     spread = [(10_000 + i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(30, 48, 2000), rng.uniform(-119.9, -80.1, 2000)))]
     stations = spark.createDataFrame(crowd + spread, "unit long, lat double, lon double")
     cells = spatial.Grid(31.0, 2.0, 8, -118.0, 2.0, 18).cells(spark).select("cell", "lat", "lon")
-    got = spatial.near_pairs(cells, stations, 150.0, per_task=100)
+    got = spatial.near_pairs(cells, stations, 150.0, per_task=50)
     want = spatial.near_pairs(cells, stations, 150.0, per_task=1_000_000)
     assert got.count() == want.count() > 5_000 and got.exceptAll(want).isEmpty()
     angle = 150.0 / 6371.0
-    dealt = spatial._candidates(cells, stations, angle, 100).groupBy("_bi", "_bj", "_part").agg(F.countDistinct("unit").alias("n")).toPandas()["n"]
+    dealt = spatial._candidates(cells, stations, angle, 50).groupBy("_bi", "_bj", "_part").agg(F.countDistinct("unit").alias("n")).toPandas()["n"]
     assert dealt.max() <= 2 * dealt.median() and (dealt > 150).sum() == 0
