@@ -15,11 +15,13 @@ from dayspell.functions.geo import cos_lat, lon_between
 from dayspell.operators import spatial
 
 
-def bin_daily(panel: DataFrame, grid: spatial.Grid, value: str = "tmax", day: str = "day") -> DataFrame:
-    """Daily mean of the stations in each cell: (cell, day, value, n_stations)."""
+def bin_daily(panel: DataFrame, grid: spatial.Grid, value: str = "tmax", day: str = "day",
+              within: Sequence[str] = ()) -> DataFrame:
+    """Daily mean of the stations in each cell: (cell, day, value, n_stations); `within` names columns of the
+    panel that part a cell's stations further."""
     return (
         grid.bin(panel.filter(F.col(value).isNotNull()))
-        .groupBy("cell", day).agg(F.avg(value).alias("value"), F.count("*").alias("n_stations"))
+        .groupBy("cell", day, *within).agg(F.avg(value).alias("value"), F.count("*").alias("n_stations"))
     )
 
 
