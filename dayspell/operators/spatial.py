@@ -217,10 +217,12 @@ def _x_at(y: Column) -> Column:
     return F.col("x1") + F.try_divide((y - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
 
 
-def edge_candidates(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",), size: float = 0.25) -> DataFrame:
-    """Points in cells that an edge runs through, beside that polygon's edges of the same row."""
+def edge_candidates(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",), size: float = 0.25,
+                    level: bool = False) -> DataFrame:
+    """Points in cells that an edge runs through, beside that polygon's edges of the same row; horizontal ones only
+    if `level`."""
     return _in_cells(points, edges, key, size).filter(~F.col("whole")).join(
-        _rows_of_edges(edges.filter(F.col("y1") != F.col("y2")), size), ["poly", "row"], "inner")
+        _rows_of_edges(edges if level else edges.filter(F.col("y1") != F.col("y2")), size), ["poly", "row"], "inner")
 
 
 def _in_cells(points: DataFrame, edges: DataFrame, key: Sequence[str], size: float) -> DataFrame:
@@ -229,21 +231,25 @@ def _in_cells(points: DataFrame, edges: DataFrame, key: Sequence[str], size: flo
     return p.join(polygon_index(edges, size), ["row", "col"], "inner")
 
 
-def points_inside(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",), size: float = 0.25) -> DataFrame:
+def points_inside(points: DataFrame, edges: DataFrame, key: Sequence[str] = ("unit",), size: float = 0.25,
+                  closed: bool = False) -> DataFrame:
     """Points with `inside`: whether, for any polygon, a ray to the east crosses its edges an odd
     number of times; polygons may overlap.
 
     A cell index decides most points by an equi-join: those in a cell that lies whole inside a polygon, or in none
     that one touches. Only points in a cell through which an edge runs meet edges, and only those of their own row of cells.
     Crossings are summed map-side before the shuffle. Rays use half-open edges, so a vertex
-    counts once and a horizontal edge never.
+    counts once and a horizontal edge never. So points on a northern edge lie outside and those on a southern one inside;
+    `closed` takes in both: points on a horizontal edge, from its western end up to, but without, its eastern one.
     """
     sure = _in_cells(points, edges, key, size).filter("whole").select(*key)
     y = F.col("lat")
     spans = (F.col("y1") > y) != (F.col("y2") > y)
     crossing = F.when(spans & (F.col("_x") < _x_at(y)), 1).otherwise(0)
-    odd = edge_candidates(points, edges, key, size).groupBy(*key, "poly").agg(
-        (F.sum(crossing) % 2).alias("_odd")).filter(F.col("_odd") == 1).select(*key)
+    on_edge = (F.col("y1") == y) & (F.col("y2") == y) & (F.least("x1", "x2") <= F.col("_x")) & (F.col("_x") < F.greatest("x1", "x2"))
+    odd = edge_candidates(points, edges, key, size, level=closed).groupBy(*key, "poly").agg(
+        (F.sum(crossing) % 2).alias("_odd"), F.max(on_edge).alias("_on"))
+    odd = odd.filter((F.col("_odd") == 1) | (F.lit(closed) & F.col("_on"))).select(*key)
     found = sure.unionByName(odd).distinct().withColumn("_in", F.lit(True))
     return points.join(found, list(key), "left").withColumn(
         "inside", F.coalesce(F.col("_in"), F.lit(False))).drop("_in")

@@ -70,7 +70,7 @@ SELECT unit, lat BETWEEN 30 AND 40 AND lon >= -110 AND lon < -90 AS inside, coun
 FROM site JOIN lineitem ON unit = l_suppkey GROUP BY ALL
 """, ("site",))
 def sites_in_any_polygon(spark, d):
-    found = spatial.points_inside(views.site(spark, d), _patches(spark, (1, 2, 3)))
+    found = spatial.points_inside(views.site(spark, d), _patches(spark, (1, 2, 3)), closed=True)
     n = views.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.count("*").alias("n_rows"))
     return found.join(n, "unit").select("unit", "inside", "n_rows")
 

@@ -24,7 +24,7 @@ def crowded(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["polygon_area_mean"])
+@pytest.mark.parametrize("name", ["polygon_area_mean", "sites_in_any_polygon"])
 def test_matches_sql_where_stations_crowd(spark, crowded, name):
     folder, con = crowded
     assert compare(QUERIES[name](spark, folder), con, ORACLES[name]) == []

@@ -151,3 +151,15 @@ def test_crowded_buckets_are_dealt_in_parts(spark):
     angle = 150.0 / 6371.0
     dealt = spatial._candidates(cells, stations, angle, 50).groupBy("_bi", "_bj", "_part").agg(F.countDistinct("unit").alias("n")).toPandas()["n"]
     assert dealt.max() <= 2 * dealt.median() and (dealt > 150).sum() == 0
+
+
+def test_points_on_horizontal_edges(spark):
+    """Half-open: a northern edge is outside; closed: both horizontal edges are inside, the eastern end is not."""
+    ring = [(1, 0, i, x, y) for i, (x, y) in enumerate([(-110.0, 30.0), (-100.0, 30.0), (-100.0, 40.0), (-110.0, 40.0)])]
+    edges = spatial.polygon_edges(spark.createDataFrame(ring, "poly int, ring int, seq int, lon double, lat double"))
+    places = [(-110.0, 40.0), (-105.0, 40.0), (-100.0, 40.0), (-105.0, 30.0), (-100.0, 30.0), (-99.9, 40.0), (-105.0, 40.1), (-105.0, 35.0)]
+    points = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(places)], "unit int, lat double, lon double")
+    half_open = [r["inside"] for r in rows(spatial.points_inside(points, edges), "unit")]
+    closed = [r["inside"] for r in rows(spatial.points_inside(points, edges, closed=True), "unit")]
+    assert half_open == [False, False, False, True, False, False, False, True]
+    assert closed == [True, True, False, True, False, False, False, True]
