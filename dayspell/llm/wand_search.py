@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspell.llm.common import staged
-from dayspell.llm.shingles import word_hashes
+from dayspell.llm.shingles import pieces, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK = 128  # documents per block of a posting list
@@ -37,7 +37,7 @@ def term_rows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = list(term_rows(batch["text"].tolist()))
         yield pd.DataFrame({
             "doc_id": batch["doc_id"], "length": np.array([int(n.sum()) for _, n in rows], dtype=np.int64),
