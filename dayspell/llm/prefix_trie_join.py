@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspell.llm.common import connected_components, staged
-from dayspell.llm.shingles import shingle_rows
+from dayspell.llm.shingles import pieces, shingle_rows
 
 LEAST_BITS = 1024  # of a sketch; larger sets have more, half as many bits as members at least
 #: Ids sent to every executor at most (8 MB); more are joined by a shuffle.
@@ -32,7 +32,7 @@ MOST_IDS = 1_000_000
 
 # --- sets, order and prefixes -------------------------------------------------------------------------------------
 
-def frequent_ngrams(documents: DataFrame, width: int, most: int = 1 << 18, block: int = 1 << 21,
+def frequent_ngrams(documents: DataFrame, width: int, most: int = 1 << 18, block: int = 1 << 20,
                     share: float = 0.0005) -> np.ndarray:
     """The most frequent n-grams, rarest of them first; at most `most`, so the list has a fixed bound.
 
@@ -48,7 +48,7 @@ def frequent_ngrams(documents: DataFrame, width: int, most: int = 1 << 18, block
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for found in shingle_rows(batch["text"].tolist(), width):
                 rows.append(np.unique(found))
                 size += len(rows[-1])
@@ -116,7 +116,7 @@ def profiles(documents: DataFrame, width: int, percent: int, frequent: np.ndarra
     smallest = smallest_linkable(percent)
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, digest, prefix, marks = [], [], [], []
             for found in shingle_rows(batch["text"].tolist(), width):
                 ngrams = np.unique(found)
@@ -186,41 +186,34 @@ def trie_matches(probe: np.ndarray, stored: list[np.ndarray], percent: int) -> l
     return found
 
 
-def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int, load: int = 200_000) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Sets are made anew from the texts of the documents in the pairs only;
-    a probe's partners are dealt to tasks of about `load` n-grams, so no probe meets all of its partners in one."""
+def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int, load: int = 1_500_000) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Texts travel, which are half as long as their sets, and only those of
+    documents in the pairs; a probe's partners are dealt to tasks of about `load` bytes, so no probe meets all of its
+    partners in one."""
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     few = ids.count() <= MOST_IDS
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [np.unique(s) for s in shingle_rows(batch["text"].tolist(), width)]
-            yield pd.DataFrame({"id": batch["doc_id"], "n": [len(s) for s in sets], "members": [s.tobytes() for s in sets]})
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    sets = (documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-            .mapInPandas(make, f"id {kind}, n long, members binary").where("n > 0"))
-    sets = staged(sets)
-    sizes = pairs.join(sets.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n"))
+    texts = staged(documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+                   .select(F.col("doc_id").alias("id"), "text").where("text is not null"))
+    sizes = pairs.join(texts.select(F.col("id").alias("b"), F.octet_length("text").alias("n")), "b").groupBy("a").agg(F.sum("n").alias("n"))
     lots = staged(sizes.select("a", (F.floor(F.col("n") / load) + 1).cast("int").alias("lots")))
     stored = (pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"))
-              .join(sets.select(F.col("id").alias("b"), "members"), "b").select("a", "lot", "b", "members", F.lit(False).alias("probe")))
-    probes = (lots.join(sets.select(F.col("id").alias("a"), "members"), "a")
+              .join(texts.withColumnRenamed("id", "b"), "b").select("a", "lot", "b", "text", F.lit(False).alias("probe")))
+    probes = (lots.join(texts.withColumnRenamed("id", "a"), "a")
               .select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
-                      F.col("a").alias("b"), "members", F.lit(True).alias("probe")))
+                      F.col("a").alias("b"), "text", F.lit(True).alias("probe")))
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in whole_groups(batches, ["a", "lot"]):
-            probe = part["probe"].to_numpy()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in part["members"]]
-            a, b = part["a"].to_numpy(), part["b"].to_numpy()
+            probe, a, b = part["probe"].to_numpy(), part["a"].to_numpy(), part["b"].to_numpy()
             left, right = [], []
             for begin, end in group_bounds(part, ["a", "lot"]):
-                stored = [i for i in range(begin, end) if not probe[i]]
-                near = {stored[k] for i in range(begin, end) if probe[i]
+                sets = [np.unique(s) for s in shingle_rows(part["text"].iloc[begin:end].tolist(), width)]
+                stored = [i for i in range(end - begin) if not probe[begin + i] and len(sets[i])]
+                near = {stored[k] for i in range(end - begin) if probe[begin + i] and len(sets[i])
                         for k in trie_matches(sets[i], [sets[x] for x in stored], percent)}
-                left += [a[i] for i in near]
-                right += [b[i] for i in near]
+                left += [a[begin + i] for i in near]
+                right += [b[begin + i] for i in near]
             yield pd.DataFrame({"a": np.array(left, dtype=a.dtype), "b": np.array(right, dtype=b.dtype)})
 
     return (stored.union(probes).repartition("a", "lot").sortWithinPartitions("a", "lot")
@@ -263,22 +256,27 @@ def _length_fits(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def _unsettled(shared: DataFrame, components: DataFrame) -> DataFrame:
-    """Postings of branches whose representatives lie in more than one component."""
-    own = Window.partitionBy("ngram")
+def _unsettled(shared: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Postings that have in their branch another one of a different component and of a length that fits. By length, the
+    nearest ones of a different component on both sides tell."""
     known = shared.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.withColumn("component", F.coalesce("component", "rep"))
-    return (known.withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own))
-            .where("low < high").drop("low", "high"))
+    own = Window.partitionBy("ngram")
+    for name, w in (("lower", own.orderBy("n", "rep")), ("upper", own.orderBy(F.desc("n"), F.desc("rep")))):
+        step = F.when(F.lag("component").over(w) != F.col("component"), F.lag("n").over(w))
+        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        known = known.withColumn("step", step).withColumn(name, F.last("step", ignorenulls=True).over(so_far))
+    fits = " or ".join(f"({m} is not null and {_length_fits('n', m, percent)})" for m in ("lower", "upper"))
+    return known.where(fits).select("ngram", "rep", "n", "component")
 
 
-def _branch_pairs(postings: DataFrame, percent: int, block: int) -> DataFrame:
+def _branch_pairs(postings: DataFrame, marks: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of different components within each branch that the lengths and the sketches allow.
 
     A branch of more than `block` rows is dealt as pairs of blocks, so every pair meets in exactly one task and no
     task holds more than two blocks."""
-    sized = postings.groupBy("ngram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = (postings.join(sized, "ngram").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("ngram")) / block).cast("int")
+    dealt = (postings.withColumn("blocks", blocks).join(marks, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("ngram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
                      "rep", "n", "component", "sketch"))
@@ -329,8 +327,8 @@ def with_keys(documents: DataFrame) -> DataFrame:
     return documents.withColumn("k_key", F.coalesce(F.col("doc_id").cast("long"), own))
 
 
-def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, stars: int = 4,
-                   block: int = 2048) -> DataFrame:
+def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, stars: int = 12,
+                   block: int = 2048, crowd: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `documents` (doc_id, text; doc_id a whole number below 2**62).
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set holds the distinct `width`-word shingles, of a shorter
@@ -343,10 +341,11 @@ def similar_groups(documents: DataFrame, width: int = 4, percent: int = 85, star
     kind = dict(documents.dtypes)["doc_id"]
     keyed = with_keys(documents.select("doc_id", "text")).select(F.col("k_key").alias("doc_id"), "text")
     named = [F.when(F.col(c) < NO_ID, F.col(c)).cast(kind).alias(c) for c in ("doc_id", "component_id")]
-    return keyed_groups(keyed, width, percent, stars, block).select(named[0], "n_shingles", named[1])
+    return keyed_groups(keyed, width, percent, stars, block, crowd).select(named[0], "n_shingles", named[1])
 
 
-def keyed_groups(documents: DataFrame, width: int, percent: int, stars: int = 4, block: int = 2048) -> DataFrame:
+def keyed_groups(documents: DataFrame, width: int, percent: int, stars: int = 12, block: int = 2048,
+                 crowd: int = 16) -> DataFrame:
     """`similar_groups` of rows that all have an id."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
@@ -356,9 +355,11 @@ def keyed_groups(documents: DataFrame, width: int, percent: int, stars: int = 4,
     classes = staged(classes)
     alone = known.where("size(prefix) > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"])
     postings = alone.select(F.explode("prefix").alias("ngram"), F.col("doc_id").alias("rep"), "n")
-    own = Window.partitionBy("ngram")
-    shared = (postings.withColumn("low", F.min("rep").over(own)).withColumn("high", F.max("rep").over(own))
-              .where("low < high").select("ngram", "rep", "n"))
+    # a posting without another one of a length that fits in its branch leads nowhere
+    order = Window.partitionBy("ngram").orderBy("n", "rep")
+    fits = " or ".join(f"({m} is not null and {_length_fits('n', m, percent)})" for m in ("before", "after"))
+    shared = (postings.withColumn("before", F.lag("n").over(order)).withColumn("after", F.lead("n").over(order))
+              .where(fits).select("ngram", "rep", "n"))
     shared = staged(shared.distinct())
 
     components = shared.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
@@ -368,21 +369,34 @@ def keyed_groups(documents: DataFrame, width: int, percent: int, stars: int = 4,
         known_links = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         return staged(connected_components(known_links.union(found)))
 
+    # stars: in branches of `crowd` rows or more all are compared with one, drawn anew each turn; a branch stays in
+    # as long as a tenth of them link, so a group of near copies is not compared all with all
+    own = Window.partitionBy("ngram")
+    rest = staged(_unsettled(shared, components, percent))
+
+    def crowded(postings: DataFrame) -> DataFrame:
+        return staged(postings.withColumn("rows", F.count("*").over(own)).where(F.col("rows") >= crowd).drop("rows"))
+
+    hot, merges = crowded(rest), 0
     for turn in range(stars):
+        if hot.isEmpty():
+            break
         pivot = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "n", "component")).over(own)
-        star = (_unsettled(shared, components).withColumn("pivot", pivot)
-                .where("component <> pivot.component and " + _length_fits("n", "pivot.n", percent))
-                .select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct())
-        star = staged(star)
-        found = staged(verified(star, documents, width, percent))
-        linked = found.count()
-        if linked:
-            components = merged(found)
-        if 2 * linked < star.count():
-            break  # another star pays only where most of a branch is alike
+        star = staged(hot.withColumn("pivot", pivot)
+                      .where("component <> pivot.component and " + _length_fits("n", "pivot.n", percent))
+                      .select("ngram", F.col("pivot.rep").alias("a"), F.col("rep").alias("b")))
+        found = staged(verified(star.select("a", "b").distinct(), documents, width, percent).distinct())
+        if found.isEmpty():
+            break
+        components, merges = merged(found), merges + 1
+        share = F.avg(F.col("linked").isNotNull().cast("int"))
+        alike = (star.join(found.withColumn("linked", F.lit(1)), ["a", "b"], "left").groupBy("ngram").agg(share.alias("share"))
+                 .where("share >= 0.1").select("ngram"))
+        hot = crowded(_unsettled(hot.join(alike, "ngram", "left_semi").drop("component"), components, percent))
+    if merges:
+        rest = _unsettled(rest.drop("component"), components, percent)
     marks = alone.select(F.col("doc_id").alias("rep"), "sketch")
-    rest = _unsettled(shared, components)
-    pairs = staged(_branch_pairs(rest.join(marks, "rep"), percent, block))
+    pairs = staged(_branch_pairs(rest, marks, percent, block))
     found = staged(verified(pairs, documents, width, percent))
     if not found.isEmpty():
         components = merged(found)

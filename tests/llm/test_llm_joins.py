@@ -320,3 +320,21 @@ def test_pipeline_stage_by_stage(spark):
     final = docs.toPandas()
     assert final.groupby("shard").size().agg(["min", "max"]).diff().iloc[-1] <= 1
     assert len(set(final["doc_id"])) == len(final)
+
+
+def test_only_postings_with_a_fitting_partner_stay(spark):
+    shared = spark.createDataFrame([(1, 1, 100), (1, 2, 110), (1, 3, 200), (2, 1, 100), (2, 4, 100), (3, 5, 100), (3, 1, 105), (3, 4, 140)],
+                                   "ngram long, rep long, n long")
+    components = spark.createDataFrame([(1, 1), (4, 1)], "node long, component long")
+    got = {(r["ngram"], r["rep"]) for r in prefix_trie_join._unsettled(shared, components, 85).collect()}
+    assert got == {(1, 1), (1, 2), (3, 5), (3, 1)}  # 3 is too long, 1 and 4 are one component, 4 fits 1 only
+
+
+def test_batches_in_pieces():
+    import pandas as pd
+
+    from dayspell.llm.shingles import pieces
+    frames = [pd.DataFrame({"a": range(n)}) for n in (2500, 0, 3)]
+    parts = list(pieces(iter(frames)))
+    assert [len(p) for p in parts] == [1000, 1000, 500, 3]
+    assert pd.concat(parts).equals(pd.concat(frames))
