@@ -74,7 +74,8 @@ b AS (SELECT unit AS cell, day, value + 1 AS value, 1 AS o FROM days WHERE year
 SELECT cell, day, round(arg_min(value, o), 6) + 0.0 AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY cell, day
 """, ("days",))
 def combine_periods(spark, d):
-    f = views.days(spark, d).withColumnRenamed("unit", "cell")
+    # both periods and their union stay in one layout by place and day, whose tasks do not grow with the tables
+    f = views.days(spark, d, views.parts(spark, d)).withColumnRenamed("unit", "cell")
     first = f.filter("year <= 1998")
     second = f.filter("year >= 1998").withColumn("value", F.col("value") + 1)
     return tidy(fields.combine_periods([first, second]))

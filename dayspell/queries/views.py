@@ -46,9 +46,18 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     return qc.daily_panel(obs(spark, d))
 
 
-def days(spark: SparkSession, d: str) -> DataFrame:
-    """One QC'd value per unit and day, of either element: (unit, day, year, value)."""
-    first = qc.first_wins(qc.keep_unflagged(obs(spark, d)), ["unit", "day"], "ord", ["value"])
+def parts(spark: SparkSession, d: str, rows: int = 500_000) -> int:
+    """How many tasks the observations are dealt to, so that none holds much more than `rows`: the session's number of
+    partitions, or more on large tables. The count reads no column."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "lineitem").count() // rows))
+
+
+def days(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    """One QC'd value per unit and day, of either element: (unit, day, year, value); in `parts` tasks if given."""
+    rows = qc.keep_unflagged(obs(spark, d))
+    if parts:
+        rows = rows.repartition(parts, "unit", "day")
+    first = qc.first_wins(rows, ["unit", "day"], "ord", ["value"])
     return first.select("unit", "day", F.year("day").alias("year"), (F.col("value") / 10.0).alias("value"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from conftest import DATA
 from oracle import compare
 
-from dayspell.queries import ORACLES, QUERIES
+from dayspell.queries import ORACLES, QUERIES, views
 
 STEP = 25170  # to a copy's suppliers: their stations lie about a degree north of the first ones', often in the same cell
 
@@ -28,3 +28,13 @@ def crowded(tmp_path_factory):
 def test_matches_sql_where_stations_crowd(spark, crowded, name):
     folder, con = crowded
     assert compare(QUERIES[name](spark, folder), con, ORACLES[name]) == []
+
+
+def test_periods_are_combined_in_parts_that_follow_the_rows(spark, crowded):
+    folder, _ = crowded
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = views.table(spark, folder, "lineitem").count()
+    assert views.parts(spark, folder, rows=n) == session
+    assert views.parts(spark, folder, rows=n // 40) in (40, 41)
+    dealt = views.days(spark, folder, 40)
+    assert dealt.exceptAll(views.days(spark, folder)).isEmpty() and dealt.rdd.getNumPartitions() == 40
