@@ -9,6 +9,7 @@ full. Queries stream through a shard, so a task holds one shard and one batch of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,12 @@ from dayspell.llm.common import staged
 from dayspell.llm.shingles import pieces, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 128  # documents per block of a posting list
+BLOCK = 8  # documents per block of a posting list
+SHARES = (0.5, 0.2, 0.05, 0.0)  # shares of the threshold that the lists behind the pivot may add, tried in turn
+FEW = 32  # documents left that are scored in full rather than moving the pivot on
+QUERIES = 256  # queries in a row
+#: Rows of some MB each: the writer looks at its buffers after every row.
+FEW_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 
 
@@ -33,27 +39,68 @@ def term_rows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
     """Per text: its distinct terms (hashes, sorted) and how often each occurs."""
     for _, hashes, counts in word_hashes([_plain(t) for t in texts]):
         for part in np.split(hashes, np.cumsum(counts)[:-1]):
-            yield np.unique(part, return_counts=True)
+            yield np.unique(part.view(np.int64), return_counts=True)
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in pieces(batches):
-        rows = list(term_rows(batch["text"].tolist()))
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"], "length": np.array([int(n.sum()) for _, n in rows], dtype=np.int64),
-            "terms": [t.tobytes() for t, _ in rows], "counts": [n.astype(np.int32).tobytes() for _, n in rows]})
+def _shards(most: int):
+    """Per task: posting lists of its documents, a row for up to `most` postings (one document at least)."""
+
+    def packed(held: list[tuple[int, np.ndarray, np.ndarray]]) -> dict:
+        held.sort(key=lambda d: int(d[2].sum()))  # documents of like length share a block, which keeps its maxima near its impacts
+        ids = np.array([i for i, _, _ in held], dtype=np.int64)
+        lengths = np.array([n.sum() for _, _, n in held], dtype=np.int64)
+        terms, counts = np.concatenate([t for _, t, _ in held]), np.concatenate([n for _, _, n in held])
+        order = np.argsort(terms, kind="stable")
+        vocabulary, sizes = np.unique(terms, return_counts=True)
+        docs = np.repeat(np.arange(len(held)), [len(t) for _, t, _ in held])[order]
+        row = {"ids": ids.tobytes(), "lengths": lengths.tobytes(), "vocabulary": vocabulary.tobytes(), "sizes": _small(sizes),
+               "docs": _small(docs), "counts": _small(counts[order])}
+        return {"shard": hashlib.blake2b(b"|".join(row.values()), digest_size=16).hexdigest(), **row}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in pieces(batches):
+            for doc_id, (terms, counts) in zip(batch["doc_id"].tolist(), term_rows(batch["text"].tolist()), strict=True):
+                if not len(terms):
+                    continue
+                if held and size + len(terms) > most:
+                    yield pd.DataFrame([packed(held)])
+                    held, size = [], 0
+                held.append((doc_id, terms, counts.astype(np.uint32)))
+                size += len(terms)
+        if held:
+            yield pd.DataFrame([packed(held)])
+
+    return run
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the greatest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """What `_small` packed, `n` numbers."""
+    return np.frombuffer(data, dtype=f"u{max(1, len(data) // max(1, n))}").astype(np.int64)
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Document counts of terms, summed over a batch."""
+    """Document counts of the shards' terms."""
     for batch in batches:
-        terms, n = np.unique(np.frombuffer(b"".join(batch["terms"]), dtype=np.int64), return_counts=True)
-        yield pd.DataFrame({"term": terms, "n": n.astype(np.int64)})
+        for terms, sizes in zip(batch["vocabulary"], batch["sizes"], strict=True):
+            terms = np.frombuffer(terms, dtype=np.int64)
+            yield pd.DataFrame({"term": terms, "n": _wide(sizes, len(terms))})
 
 
-def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        own = [np.frombuffer(t, dtype=np.int64) for t in batch["terms"]]
+        lengths = [np.frombuffer(x, dtype=np.int64) for x in batch["lengths"]]
+        yield pd.DataFrame({"docs": [len(x) for x in lengths], "words": [int(x.sum()) for x in lengths]})
+
+
+def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in pieces(batches):
+        own = [t for t, _ in term_rows(batch["text"].tolist())]
         yield pd.DataFrame({"query_id": np.repeat(batch["doc_id"].to_numpy(), [len(t) for t in own]),
                             "term": np.concatenate(own) if own else np.zeros(0, dtype=np.int64)})
 
@@ -61,76 +108,76 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Shard:
     """Posting lists of some documents, by term and by document."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray,
-                 mean_length: float):
-        self.ids, self.n = ids, len(ids)
-        self.begin = np.r_[0, np.cumsum(sizes)]
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        self.vocabulary, self.term = np.unique(terms, return_inverse=True)
-        self.impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[doc] / mean_length))
-        order = np.argsort(self.term, kind="stable")
-        self.doc, self.by_term = doc[order], self.impact[order]
-        self.start = np.searchsorted(self.term[order], np.arange(len(self.vocabulary) + 1))
+    def __init__(self, row, mean_length: float):
+        self.ids, self.vocabulary = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.vocabulary, dtype=np.int64)
+        self.n, lengths = len(self.ids), np.frombuffer(row.lengths, dtype=np.int64).astype(np.float64)
+        sizes = _wide(row.sizes, len(self.vocabulary))
+        self.start = np.r_[0, np.cumsum(sizes)]
+        postings = int(self.start[-1])
+        self.doc = _wide(row.docs, postings)
+        counts = _wide(row.counts, postings).astype(np.float64)
+        self.by_term = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * lengths / mean_length))[self.doc])
+        # by document: terms ascend in each, so equal texts get equal sums
+        owner = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), sizes)
+        order = np.argsort(self.doc.astype(np.min_scalar_type(self.n)), kind="stable")
+        self.term, self.impact = owner[order], self.by_term[order]
+        self.begin = np.searchsorted(self.doc[order], np.arange(self.n + 1))
         block = self.doc // BLOCK
-        first = np.r_[True, (np.diff(self.term[order]) != 0) | (np.diff(block) != 0)] if len(doc) else np.zeros(0, dtype=bool)
+        first = np.ones(postings, dtype=bool)
+        first[1:] = (np.diff(block) != 0) | (np.diff(owner) != 0)
         at = np.flatnonzero(first)
-        self.block = block[at]
-        self.block_most = np.maximum.reduceat(self.by_term, at) if len(at) else np.zeros(0)
+        self.block, self.block_most = block[at], np.maximum.reduceat(self.by_term, at)
         self.block_start = np.searchsorted(at, self.start)
-        self.most = np.maximum.reduceat(self.by_term, self.start[:-1]) if len(at) else np.zeros(0)
+        self.most = np.maximum.reduceat(self.by_term, self.start[:-1])
         self.weight = np.zeros(len(self.vocabulary))
 
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The terms' lists; -1 for a term that no document here has."""
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == terms, at, -1)
+
     def _lists(self, terms: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the terms' lists one behind the other, and whose they are."""
+        """Positions of the terms' lists one behind the other, and the lists' lengths."""
         size = start[terms + 1] - start[terms]
-        owner = np.repeat(np.arange(len(terms)), size)
-        return np.arange(len(owner)) + np.repeat(start[terms] - np.r_[0, np.cumsum(size)[:-1]], size), owner
-
-    def _scores(self, docs: np.ndarray) -> np.ndarray:
-        """Full scores of documents under the weights set."""
-        at, owner = self._lists(docs, self.begin)
-        return np.bincount(owner, self.weight[self.term[at]] * self.impact[at], len(docs))
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document places, scores) of the k best; equal scores by id."""
-        at = np.searchsorted(self.vocabulary, terms)
-        here = (at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == terms) if self.n else np.zeros(len(terms), dtype=bool)
-        t, w = at[here], idf[here]
-        if not len(t):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        self.weight[t] = w
+        ends = np.cumsum(size)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[terms] - ends + size, size), size
+
+    def top(self, t: np.ndarray, w: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(document places, scores) of the k best for lists `t` of weights `w`; equal scores by id. Documents below `floor`, the
+        least score that still counts, may be left out."""
         bound = w * self.most[t]
         order = np.argsort(-bound, kind="stable")
         t, w, bound = t[order], w[order], bound[order]
-        # a first threshold from the documents on the strongest lists
-        size = np.cumsum(self.start[t + 1] - self.start[t])
-        lead = max(1, int(np.searchsorted(size, 20 * k)))
-        at, _ = self._lists(t[:lead], self.start)
-        best, score = self._best(np.unique(self.doc[at]), k)
-        floor = score[-1] - 1e-9 if len(score) == k else -np.inf
-        # the pivot: weaker lists behind it cannot reach the threshold together
-        behind = np.r_[np.cumsum(bound[::-1])[::-1], 0]
-        pivot = int(np.searchsorted(-behind, -floor, side="left")) if np.isfinite(floor) else len(t)
-        pivot = min(max(pivot, 1), len(t))
-        while pivot < len(t) and behind[pivot] >= floor:
-            pivot += 1
-        at, owner = self._lists(t[:pivot], self.start)
-        partial = np.bincount(self.doc[at], w[owner] * self.by_term[at], self.n)
-        if self.n > k:  # a partial score bounds its document's from below, so the k-th best of them raises the threshold
-            floor = max(floor, np.partition(partial, self.n - k)[self.n - k] - 1e-9)
-        if pivot < len(t):
-            rest, owner = self._lists(t[pivot:], self.block_start)
-            blocks = np.bincount(self.block[rest], w[pivot:][owner] * self.block_most[rest], (self.n + BLOCK - 1) // BLOCK)
-            reach = partial + blocks[np.arange(self.n) // BLOCK]
-        else:
-            reach = partial
-        found = np.flatnonzero((partial > 0) & (reach >= floor))
+        self.weight[t] = w
+        behind = np.r_[np.cumsum(bound[::-1])[::-1], 0]  # what the lists from a place on can add at most
+        partial, done, found = np.zeros(self.n), 0, np.zeros(0, dtype=np.int64)
+        for share in SHARES:
+            # the pivot: the lists behind it add less than this share of the threshold
+            goal = share * (floor if np.isfinite(floor) else behind[0])
+            pivot = max(int(np.searchsorted(-behind, -goal, side="right")), 1)
+            pivot = min(pivot, len(t))
+            if pivot > done:
+                at, size = self._lists(t[done:pivot], self.start)
+                partial += np.bincount(self.doc[at], np.repeat(w[done:pivot], size) * self.by_term[at], self.n)
+                done = pivot
+            if self.n > k:  # a partial score bounds its document's from below, so the k-th best of them raises the threshold
+                floor = max(floor, np.partition(partial, self.n - k)[self.n - k] - 1e-9)
+            if done < len(t) and behind[done] >= floor:
+                continue  # the lists behind could bring a document in by themselves
+            found = np.flatnonzero((partial > 0) & (partial + behind[done] >= floor))
+            if len(found) > FEW and done < len(t):  # the blocks' own greatest impacts bound the rest closer
+                rest, size = self._lists(t[done:], self.block_start)
+                blocks = np.bincount(self.block[rest], np.repeat(w[done:], size) * self.block_most[rest], (self.n + BLOCK - 1) // BLOCK)
+                found = found[partial[found] + blocks[found // BLOCK] >= floor]
+            if len(found) <= FEW or done == len(t):
+                break
         best, score = self._best(found, k)
         self.weight[t] = 0
         return best, score
 
     def _best(self, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score = self._scores(docs)
+        at, size = self._lists(docs, self.begin)
+        score = np.bincount(np.repeat(np.arange(len(docs)), size), self.weight[self.term[at]] * self.impact[at], len(docs))
         if len(docs) > k:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             docs, score = docs[keep], score[keep]
@@ -139,46 +186,46 @@ class Shard:
 
 
 def _search(mean_length: float, k: int):
-    """Over rows sorted by shard with documents first: builds each shard's index, then answers its queries."""
+    """Over pairs of a shard and a batch of queries: each query's k best of the shards that the task has seen, which bound what
+    the next shard must reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, index, held = None, None, []
-
-        def built() -> Shard:
-            part = pd.concat(held)
-            sizes = part["terms"].map(len).to_numpy() // 8
-            return Shard(part["id"].to_numpy(), part["length"].to_numpy(dtype=np.float64),
-                         np.frombuffer(b"".join(part["terms"]), dtype=np.int64),
-                         np.frombuffer(b"".join(part["counts"]), dtype=np.int32).astype(np.float64), sizes, mean_length)
-
+        now, index, best = None, None, {}
         for batch in batches:
-            for shard, part in batch.groupby("shard", sort=True):
-                if shard != now:
-                    now, index, held = shard, None, []
-                docs = part[~part["asked"]]
-                if len(docs):
-                    held.append(docs)
-                asked = part[part["asked"]]
-                if not len(asked) or not held:
-                    continue
-                if index is None:
-                    index = built()
-                out = []
-                for query, terms, idf in zip(asked["id"], asked["terms"], asked["counts"], strict=True):
-                    best, score = index.top(np.frombuffer(terms, dtype=np.int64), np.frombuffer(idf, dtype=np.float64), k)
-                    out.append(pd.DataFrame({"query_id": np.full(len(best), int(query)), "doc_id": index.ids[best], "score": score}))
-                if out:
-                    yield pd.concat(out)
+            for row in batch.itertuples(index=False):
+                if row.shard != now:
+                    now, index = row.shard, Shard(row, mean_length)
+                queries = np.frombuffer(row.query_ids, dtype=np.int64)
+                terms, idf = np.frombuffer(row.terms, dtype=np.int64), np.frombuffer(row.weights, dtype=np.float64)
+                ends = np.cumsum(_wide(row.asked, len(queries)))
+                places = index.places(terms)
+                for query, lo, hi in zip(queries.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                    here = places[lo:hi] >= 0
+                    if not here.any():
+                        continue
+                    ids, score = best.get(query, _NONE)
+                    floor = score[-1] - 1e-9 if len(score) == k else -np.inf
+                    docs, found = index.top(places[lo:hi][here], idf[lo:hi][here], k, floor)
+                    ids, score = np.r_[ids, index.ids[docs]], np.r_[score, found]
+                    order = np.lexsort((ids, -score))[:k]
+                    best[query] = ids[order], score[order]
+        if best:
+            yield pd.DataFrame({"query_id": np.repeat(np.fromiter(best, dtype=np.int64), [len(i) for i, _ in best.values()]),
+                                "doc_id": np.concatenate([i for i, _ in best.values()]), "score": np.concatenate([s for _, s in best.values()])})
 
     return run
 
 
+_NONE = np.zeros(0, dtype=np.int64), np.zeros(0)
+
+
 def _query_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [sorted((r["term"], r["idf"]) for r in own) for own in batch["weights"]]
-        yield pd.DataFrame({"query_id": batch["query_id"],
-                            "terms": [np.array([t for t, _ in r], dtype=np.int64).tobytes() for r in rows],
-                            "counts": [np.array([w for _, w in r], dtype=np.float64).tobytes() for r in rows]})
+    """Queries packed by the hundreds, their terms ascending."""
+    for batch in pieces(batches, QUERIES):
+        own = [sorted((r["term"], r["idf"]) for r in q) for q in batch["weights"]]
+        yield pd.DataFrame([{"query_ids": batch["query_id"].to_numpy(dtype=np.int64).tobytes(), "asked": _small(np.array([len(q) for q in own])),
+                             "terms": np.array([t for q in own for t, _ in q], dtype=np.int64).tobytes(),
+                             "weights": np.array([w for q in own for _, w in q], dtype=np.float64).tobytes()}])
 
 
 def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_terms: int = 2_000_000) -> DataFrame:
@@ -189,29 +236,24 @@ def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_ter
     an id or without a term are neither found nor asked; queries of equal id are one query; repeated rows are found
     one by one. Fewer than k rows come back where fewer share a term. An empty table gives an empty result.
     """
-    shape = "doc_id long, length long, terms binary, counts binary"
-    known = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bags = staged(known.mapInPandas(_bags, shape).where("length > 0"))
-    total = bags.agg(F.count("*"), F.avg("length"), F.sum(F.length("terms") / 8)).first()
-    count, mean_length = total[0], float(total[1] or 1.0)
-    shards = max(1, -(-int(total[2] or 0) // shard_terms))
-
-    frequency = bags.select("terms").mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    asked = (queries.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-             .mapInPandas(_bags, shape).where("length > 0").select("doc_id", "terms")
-             .mapInPandas(_terms, "query_id long, term long").distinct())
+    known, asking = (df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text") for df in (documents, queries))
+    shards = staged(known.mapInPandas(_shards(shard_terms), "shard string, ids binary, lengths binary, vocabulary binary, sizes binary, "
+                                      "docs binary, counts binary"), **FEW_ROWS)
+    total = shards.select("lengths").mapInPandas(_totals, "docs long, words long").agg(F.sum("docs"), F.sum("words")).first()
+    count, mean_length = int(total[0] or 0), (total[1] or 0) / (total[0] or 1) or 1.0
+
+    frequency = (shards.select("vocabulary", "sizes").mapInPandas(_frequencies, "term long, n long")
+                 .groupBy("term").agg(F.sum("n").alias("df")))
+    asked = asking.mapInPandas(_terms, "query_id long, term long").distinct()
     idf = F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = (asked.join(frequency, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("w"))
                .groupBy("query_id").agg(F.collect_list("w").alias("weights"))
-               .mapInPandas(_query_rows, "query_id long, terms binary, counts binary"))
-    weighed = staged(weighed)
-
-    place = F.pmod(F.xxhash64("doc_id", "terms"), F.lit(shards)).cast("int")
-    rows = bags.select(place.alias("shard"), F.lit(False).alias("asked"), F.col("doc_id").alias("id"), "length", "terms", "counts")
-    asks = weighed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"),
-                          F.col("query_id").alias("id"), F.lit(0).cast("long").alias("length"), "terms", "counts")
-    dealt = rows.union(asks).repartition(3 * shards, "shard").sortWithinPartitions("shard", "asked", "id")
-    found = dealt.mapInPandas(_search(mean_length, k), "query_id long, doc_id long, score double")
+               .mapInPandas(_query_rows, "query_ids binary, asked binary, terms binary, weights binary"))
+    weighed = staged(weighed, **FEW_ROWS)
+
+    # every shard meets every query where both are read, so neither is copied through a shuffle
+    found = (shards.hint("shuffle_replicate_nl").crossJoin(weighed)
+             .mapInPandas(_search(mean_length, k), "query_id long, doc_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", F.round("score", 9).alias("score")))
