@@ -1,10 +1,11 @@
-"""Exact top-k search: BM25 over an inverted index with block-max WAND pruning, per shard, merged exactly.
-
-Counts and document frequencies are global, so a score does not depend on the shard. Each shard holds posting lists with
-the greatest impact per list and per block of documents. For a query, the lists whose greatest impacts together stay
-below the k-th best score so far cannot bring a document in by themselves; documents on the other lists (those that
-reach the pivot) are bounded by their blocks' greatest impacts, and only what still can enter the top k is scored in
-full. Queries stream through a shard, so a task holds one shard and one batch of queries.
+"""Exact top-k search: BM25 over an inverted index with block-max pruning, per shard, merged exactly.
+
+Counts and document frequencies are global, so a score does not depend on the shard. Shards are packed where the documents
+are read, a row each, and meet the queries where both are read; no query is copied through a shuffle. In a shard, long lists
+are columns with a greatest impact per block of documents of like length. For a query, the short lists are scored whole; a
+document that these and its block's greatest impacts leave below the k-th best score known is skipped, the others are
+scored on the long lists, and only what still can enter the top k is scored in full in double precision. The k best carry
+over from shard to shard, so each must beat those before.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,16 @@ from dayspell.llm.common import staged
 from dayspell.llm.shingles import pieces, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 8  # documents per block of a posting list
-SHARES = (0.5, 0.2, 0.05, 0.0)  # shares of the threshold that the lists behind the pivot may add, tried in turn
-FEW = 32  # documents left that are scored in full rather than moving the pivot on
-QUERIES = 256  # queries in a row
+BLOCK = 4  # documents per block of a posting list
+LONG = 16  # a list that holds this part of a shard's documents is long
+SEED = 64  # documents that give a first threshold
+FEW = 16  # documents left that are scored in full at once
+SLACK = 1e-4  # for sums in single precision; what they let through is scored in double precision
+TINY = 1e-12  # below every score of a shared term
+QUERIES = 2048  # queries in a row, and of a task
+AT_ONCE = 256  # queries whose weights of long lists are held at a time
+PARTS = ("ids", "lengths", "vocabulary", "sizes", "docs", "counts")
+STREAMS = 8  # parts of the shards; a task streams one of them past its queries
 #: Rows of some MB each: the writer looks at its buffers after every row.
 FEW_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
@@ -79,9 +87,13 @@ def _small(numbers: np.ndarray) -> bytes:
     return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
 
 
+def _packed(data: bytes, n: int) -> np.ndarray:
+    """What `_small` packed, `n` numbers, in the bytes it took."""
+    return np.frombuffer(data, dtype=f"u{max(1, len(data) // max(1, n))}")
+
+
 def _wide(data: bytes, n: int) -> np.ndarray:
-    """What `_small` packed, `n` numbers."""
-    return np.frombuffer(data, dtype=f"u{max(1, len(data) // max(1, n))}").astype(np.int64)
+    return _packed(data, n).astype(np.int64)
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,27 +120,31 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Shard:
     """Posting lists of some documents, by term and by document."""
 
-    def __init__(self, row, mean_length: float):
-        self.ids, self.vocabulary = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.vocabulary, dtype=np.int64)
-        self.n, lengths = len(self.ids), np.frombuffer(row.lengths, dtype=np.int64).astype(np.float64)
-        sizes = _wide(row.sizes, len(self.vocabulary))
+    def __init__(self, row: dict[str, bytes], mean_length: float):
+        self.ids, self.vocabulary = (np.frombuffer(row[c], dtype=np.int64).copy() for c in ("ids", "vocabulary"))
+        self.n, lengths = len(self.ids), np.frombuffer(row["lengths"], dtype=np.int64).astype(np.float64)
+        sizes = _wide(row["sizes"], len(self.vocabulary))
         self.start = np.r_[0, np.cumsum(sizes)]
         postings = int(self.start[-1])
-        self.doc = _wide(row.docs, postings)
-        counts = _wide(row.counts, postings).astype(np.float64)
-        self.by_term = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * lengths / mean_length))[self.doc])
+        doc, counts = _packed(row["docs"], postings), _packed(row["counts"], postings)
+        self.doc = doc.astype(np.int32)
+        self.norm = K1 * (1 - B + B * lengths / mean_length)
+        self.by_term = self.norm.astype(np.float32)[doc]
+        self.by_term += counts
+        np.divide(counts * np.float32(K1 + 1), self.by_term, out=self.by_term)
         # by document: terms ascend in each, so equal texts get equal sums
         owner = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), sizes)
-        order = np.argsort(self.doc.astype(np.min_scalar_type(self.n)), kind="stable")
-        self.term, self.impact = owner[order], self.by_term[order]
-        self.begin = np.searchsorted(self.doc[order], np.arange(self.n + 1))
-        block = self.doc // BLOCK
-        first = np.ones(postings, dtype=bool)
-        first[1:] = (np.diff(block) != 0) | (np.diff(owner) != 0)
-        at = np.flatnonzero(first)
-        self.block, self.block_most = block[at], np.maximum.reduceat(self.by_term, at)
-        self.block_start = np.searchsorted(at, self.start)
-        self.most = np.maximum.reduceat(self.by_term, self.start[:-1])
+        order = np.argsort(doc, kind="stable")
+        self.term, self.count = owner[order], counts[order].astype(np.int32)
+        del order
+        self.begin = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=self.n))]
+        # the long lists as columns, and the greatest impact of each in every block
+        self.column = np.cumsum(sizes * LONG >= self.n) - 1
+        self.long = sizes * LONG >= self.n
+        at = np.flatnonzero(self.long[owner])
+        self.table = np.zeros((self.n, int(self.long.sum())), dtype=np.float32)
+        self.table[self.doc[at], self.column[owner[at]]] = self.by_term[at]
+        self.block_most = np.maximum.reduceat(self.table, np.arange(0, self.n, BLOCK), axis=0)
         self.weight = np.zeros(len(self.vocabulary))
 
     def places(self, terms: np.ndarray) -> np.ndarray:
@@ -142,42 +158,43 @@ class Shard:
         ends = np.cumsum(size)
         return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[terms] - ends + size, size), size
 
-    def top(self, t: np.ndarray, w: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, places: np.ndarray, idf: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per query its weights of the long lists, and the most that these can add in each block."""
+        owner = np.repeat(np.arange(len(asked)), asked)
+        at = np.flatnonzero((places >= 0) & self.long[places])
+        heavy = np.zeros((len(asked), self.table.shape[1]), dtype=np.float32)
+        heavy[owner[at], self.column[places[at]]] = idf[at]
+        return heavy, heavy @ self.block_most.T
+
+    def top(self, t: np.ndarray, w: np.ndarray, heavy: np.ndarray, most: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(document places, scores) of the k best for lists `t` of weights `w`; equal scores by id. Documents below `floor`, the
-        least score that still counts, may be left out."""
-        bound = w * self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        t, w, bound = t[order], w[order], bound[order]
+        least score that still counts, may be left out. `heavy` and `most` are what `weights` tells of the query."""
         self.weight[t] = w
-        behind = np.r_[np.cumsum(bound[::-1])[::-1], 0]  # what the lists from a place on can add at most
-        partial, done, found = np.zeros(self.n), 0, np.zeros(0, dtype=np.int64)
-        for share in SHARES:
-            # the pivot: the lists behind it add less than this share of the threshold
-            goal = share * (floor if np.isfinite(floor) else behind[0])
-            pivot = max(int(np.searchsorted(-behind, -goal, side="right")), 1)
-            pivot = min(pivot, len(t))
-            if pivot > done:
-                at, size = self._lists(t[done:pivot], self.start)
-                partial += np.bincount(self.doc[at], np.repeat(w[done:pivot], size) * self.by_term[at], self.n)
-                done = pivot
-            if self.n > k:  # a partial score bounds its document's from below, so the k-th best of them raises the threshold
-                floor = max(floor, np.partition(partial, self.n - k)[self.n - k] - 1e-9)
-            if done < len(t) and behind[done] >= floor:
-                continue  # the lists behind could bring a document in by themselves
-            found = np.flatnonzero((partial > 0) & (partial + behind[done] >= floor))
-            if len(found) > FEW and done < len(t):  # the blocks' own greatest impacts bound the rest closer
-                rest, size = self._lists(t[done:], self.block_start)
-                blocks = np.bincount(self.block[rest], np.repeat(w[done:], size) * self.block_most[rest], (self.n + BLOCK - 1) // BLOCK)
-                found = found[partial[found] + blocks[found // BLOCK] >= floor]
-            if len(found) <= FEW or done == len(t):
-                break
+        short = ~self.long[t]
+        at, size = self._lists(t[short], self.start)
+        partial = np.bincount(self.doc[at], np.repeat(w[short].astype(np.float32), size) * self.by_term[at], self.n)
+        reach = (partial + np.repeat(most, BLOCK)[: self.n]) * (1 + SLACK)
+
+        def near(docs: np.ndarray) -> np.ndarray:
+            return partial[docs] + self.table[docs] @ heavy
+
+        if floor <= 0 and self.n > SEED:  # a first threshold from the documents that reach farthest
+            floor = np.partition(near(np.argpartition(reach, self.n - SEED)[self.n - SEED :]), SEED - k)[SEED - k] * (1 - SLACK) if SEED > k else 0.0
+        found = np.flatnonzero(reach >= max(floor, TINY))
+        if len(found) > max(k, FEW):  # what the blocks let through is scored on the long lists
+            score = near(found)
+            floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] * (1 - SLACK))
+            found = found[score * (1 + SLACK) >= max(floor, TINY)]
         best, score = self._best(found, k)
         self.weight[t] = 0
         return best, score
 
     def _best(self, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         at, size = self._lists(docs, self.begin)
-        score = np.bincount(np.repeat(np.arange(len(docs)), size), self.weight[self.term[at]] * self.impact[at], len(docs))
+        count = self.count[at]
+        impact = count * (K1 + 1) / (count + np.repeat(self.norm[docs], size))
+        score = np.bincount(np.repeat(np.arange(len(docs)), size), self.weight[self.term[at]] * impact, len(docs))
+        docs, score = docs[score > 0], score[score > 0]
         if len(docs) > k:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             docs, score = docs[keep], score[keep]
@@ -189,33 +206,45 @@ def _search(mean_length: float, k: int):
     """Over pairs of a shard and a batch of queries: each query's k best of the shards that the task has seen, which bound what
     the next shard must reach."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index, best = None, None, {}
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.shard != now:
-                    now, index = row.shard, Shard(row, mean_length)
-                queries = np.frombuffer(row.query_ids, dtype=np.int64)
-                terms, idf = np.frombuffer(row.terms, dtype=np.int64), np.frombuffer(row.weights, dtype=np.float64)
-                ends = np.cumsum(_wide(row.asked, len(queries)))
-                places = index.places(terms)
-                for query, lo, hi in zip(queries.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-                    here = places[lo:hi] >= 0
-                    if not here.any():
-                        continue
-                    ids, score = best.get(query, _NONE)
-                    floor = score[-1] - 1e-9 if len(score) == k else -np.inf
-                    docs, found = index.top(places[lo:hi][here], idf[lo:hi][here], k, floor)
-                    ids, score = np.r_[ids, index.ids[docs]], np.r_[score, found]
-                    order = np.lexsort((ids, -score))[:k]
-                    best[query] = ids[order], score[order]
+            for at in range(batch.num_rows):
+                if (shard := batch.column("shard")[at].as_py()) != now:
+                    index = None  # one index at a time
+                    now, index = shard, Shard({c: batch.column(c)[at].as_buffer() for c in PARTS}, mean_length)
+                queries, asked, terms, idf = (batch.column(c)[at].as_buffer() for c in ("query_ids", "asked", "terms", "weights"))
+                queries, terms, idf = np.frombuffer(queries, np.int64), np.frombuffer(terms, np.int64), np.frombuffer(idf, np.float64)
+                ends = np.r_[0, np.cumsum(_wide(asked, len(queries)))].tolist()
+                for lo in range(0, len(queries), AT_ONCE):
+                    hi = min(lo + AT_ONCE, len(queries))
+                    places = index.places(terms[ends[lo] : ends[hi]])
+                    heavy, most = index.weights(places, idf[ends[lo] : ends[hi]], np.diff(ends[lo : hi + 1]))
+                    for i, query in enumerate(queries[lo:hi].tolist(), lo):
+                        t, w = places[ends[i] - ends[lo] : ends[i + 1] - ends[lo]], idf[ends[i] : ends[i + 1]]
+                        here = t >= 0
+                        if not here.any():
+                            continue
+                        ids, score = best.get(query, _NONE)
+                        docs, found = index.top(t[here], w[here], heavy[i - lo], most[i - lo], k, _floor(score, k))
+                        if not len(docs):
+                            continue
+                        ids, score = np.r_[ids, index.ids[docs]], np.r_[score, found]
+                        order = np.lexsort((ids, -score))[:k]
+                        best[query] = ids[order], score[order]
         if best:
-            yield pd.DataFrame({"query_id": np.repeat(np.fromiter(best, dtype=np.int64), [len(i) for i, _ in best.values()]),
-                                "doc_id": np.concatenate([i for i, _ in best.values()]), "score": np.concatenate([s for _, s in best.values()])})
+            yield pa.RecordBatch.from_pydict({
+                "query_id": np.repeat(np.fromiter(best, dtype=np.int64), [len(i) for i, _ in best.values()]),
+                "doc_id": np.concatenate([i for i, _ in best.values()]), "score": np.concatenate([s for _, s in best.values()])})
 
     return run
 
 
+def _floor(score: np.ndarray, k: int) -> float:
+    """What a document must reach to be among the k best beside these, falling scores; 0 where fewer are known."""
+    return score[-1] * (1 - 1e-12) if len(score) == k else 0.0
+
+
 _NONE = np.zeros(0, dtype=np.int64), np.zeros(0)
 
 
@@ -223,7 +252,7 @@ def _query_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Queries packed by the hundreds, their terms ascending."""
     for batch in pieces(batches, QUERIES):
         own = [sorted((r["term"], r["idf"]) for r in q) for q in batch["weights"]]
-        yield pd.DataFrame([{"query_ids": batch["query_id"].to_numpy(dtype=np.int64).tobytes(), "asked": _small(np.array([len(q) for q in own])),
+        yield pd.DataFrame([{"queries": len(batch), "query_ids": batch["query_id"].to_numpy(dtype=np.int64).tobytes(), "asked": _small(np.array([len(q) for q in own])),
                              "terms": np.array([t for q in own for t, _ in q], dtype=np.int64).tobytes(),
                              "weights": np.array([w for q in own for _, w in q], dtype=np.float64).tobytes()}])
 
@@ -248,12 +277,21 @@ def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_ter
     idf = F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = (asked.join(frequency, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("w"))
                .groupBy("query_id").agg(F.collect_list("w").alias("weights"))
-               .mapInPandas(_query_rows, "query_ids binary, asked binary, terms binary, weights binary"))
+               .mapInPandas(_query_rows, "queries long, query_ids binary, asked binary, terms binary, weights binary"))
     weighed = staged(weighed, **FEW_ROWS)
 
-    # every shard meets every query where both are read, so neither is copied through a shuffle
-    found = (shards.hint("shuffle_replicate_nl").crossJoin(weighed)
-             .mapInPandas(_search(mean_length, k), "query_id long, doc_id long, score double"))
+    # every shard meets every query where both are read, so neither is copied through a shuffle; a fixed number of streams of
+    # shards, each with its own k best, lets the rows found grow as the queries only
+    groups = -(-int(weighed.agg(F.sum("queries")).first()[0] or 0) // QUERIES)
+    found = (shards.coalesce(STREAMS).hint("shuffle_replicate_nl").crossJoin(weighed.drop("queries").coalesce(max(1, groups)))
+             .mapInArrow(_search(mean_length, k), "query_id long, doc_id long, score double"))
+    conf, rows = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    try:  # a pair of some 20 MB is a batch of its own
+        conf.set(rows, "1")
+        found = staged(found)
+    finally:
+        conf.set(rows, before)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", F.round("score", 9).alias("score")))

@@ -297,6 +297,20 @@ def test_search_like_brute_force(spark, shard_terms):
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in rows_], atol=1e-6)
 
 
+def test_search_sends_no_query_through_a_shuffle_per_shard(spark, monkeypatch):
+    plans = []
+
+    def seen(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, **options)
+
+    staged = wand_search.staged
+    monkeypatch.setattr(wand_search, "staged", seen)
+    frame = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} common") for i in range(200)], "doc_id long, text string")
+    assert wand_search.top_matches(frame, frame, shard_terms=60).groupBy("query_id").count().where("count = 10").count() == 200
+    assert "CartesianProduct" in plans[-1] and "Exchange" not in plans[-1]
+
+
 def test_search_in_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert wand_search.top_matches(empty, empty).count() == 0
