@@ -174,3 +174,14 @@ TOLD = "The story of the day has a first sentence. And it has a second one."
 def test_articles_in_wrappers_with_chrome_names_stay(spark, page):
     frame = spark.createDataFrame([(1, "http://a.example/x", page)], "page_id long, url string, html string")
     assert [r["text"] for r in page_text.main_texts(frame).collect()] == [TOLD]
+
+
+def test_boilerplate_inside_marked_articles_goes(spark):
+    notice = "please read the rules of this very site before you write to us"
+    teaser = "a long first sentence of the third story that others tease too"
+    rows = [(i, f"http://h/{i}", f"<p>{notice}</p><div class=related>{teaser}</div><i>{i}</i><article><h1>Story {i}</h1><p>{notice}</p>own words {i}</article>")
+            for i in (0, 1, 4)]
+    rows += [(2, "http://h/2", f"<article><p>{teaser}</p>more</article>"), (3, "http://other/3", f"<article>{notice}</article>")]
+    got = page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {
+        0: "Story 0 own words 0", 1: "Story 1 own words 1", 4: "Story 4 own words 4", 2: f"{teaser} more", 3: notice}
