@@ -23,24 +23,25 @@ from dayspell.llm.common import staged
 from dayspell.llm.shingles import pieces, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 4  # documents per block of a posting list
+BLOCK = 2  # documents per block of a posting list
 LONG = 16  # a list that holds this part of a shard's documents is long
 SEED = 64  # documents that give a first threshold
-FEW = 16  # documents left that are scored in full at once
 SLACK = 1e-4  # for sums in single precision; what they let through is scored in double precision
 TINY = 1e-12  # below every score of a shared term
-QUERIES = 2048  # queries in a row, and of a task
+QUERIES, QUERY_TERMS = 2048, 1_000_000  # queries in a row, and their terms
+TASK_QUERIES = 8192  # queries that a task takes past its shards
+LEAST_GROUPS = 3  # groups of queries, so that a few thousand give every core a task
 AT_ONCE = 256  # queries whose weights of long lists are held at a time
 PARTS = ("ids", "lengths", "vocabulary", "sizes", "docs", "counts")
 STREAMS = 8  # parts of the shards; a task streams one of them past its queries
 #: Rows of some MB each: the writer looks at its buffers after every row.
 FEW_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
-_ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
+_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 
 
 def _plain(text: str | None) -> str:
     """ASCII letters lower-cased, other ASCII signs as blanks."""
-    return (text or "").translate(_ASCII)
+    return (text or "").encode("utf-8", "surrogatepass").translate(_ASCII).decode("utf-8", "surrogatepass")
 
 
 def term_rows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -59,7 +60,9 @@ def _shards(most: int):
         lengths = np.array([n.sum() for _, _, n in held], dtype=np.int64)
         terms, counts = np.concatenate([t for _, t, _ in held]), np.concatenate([n for _, _, n in held])
         order = np.argsort(terms, kind="stable")
-        vocabulary, sizes = np.unique(terms, return_counts=True)
+        terms = terms[order]
+        first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+        vocabulary, sizes = terms[first], np.diff(np.r_[first, len(terms)])
         docs = np.repeat(np.arange(len(held)), [len(t) for _, t, _ in held])[order]
         row = {"ids": ids.tobytes(), "lengths": lengths.tobytes(), "vocabulary": vocabulary.tobytes(), "sizes": _small(sizes),
                "docs": _small(docs), "counts": _small(counts[order])}
@@ -121,79 +124,114 @@ class Shard:
     """Posting lists of some documents, by term and by document."""
 
     def __init__(self, row: dict[str, bytes], mean_length: float):
-        self.ids, self.vocabulary = (np.frombuffer(row[c], dtype=np.int64).copy() for c in ("ids", "vocabulary"))
-        self.n, lengths = len(self.ids), np.frombuffer(row["lengths"], dtype=np.int64).astype(np.float64)
+        ids, self.vocabulary = (np.frombuffer(row[c], dtype=np.int64) for c in ("ids", "vocabulary"))
+        lengths = np.frombuffer(row["lengths"], dtype=np.int64).astype(np.float64)
         sizes = _wide(row["sizes"], len(self.vocabulary))
-        self.start = np.r_[0, np.cumsum(sizes)]
-        postings = int(self.start[-1])
-        doc, counts = _packed(row["docs"], postings), _packed(row["counts"], postings)
-        self.doc = doc.astype(np.int32)
-        self.norm = K1 * (1 - B + B * lengths / mean_length)
-        self.by_term = self.norm.astype(np.float32)[doc]
-        self.by_term += counts
-        np.divide(counts * np.float32(K1 + 1), self.by_term, out=self.by_term)
+        postings = int(sizes.sum())
+        # documents of like length share a block: block b holds the places b, b + blocks, ...; places left over stay empty
+        blocks = -(-len(ids) // BLOCK)
+        self.n = blocks * BLOCK
+        place = np.arange(len(ids)) % BLOCK * blocks + np.arange(len(ids)) // BLOCK
+        self.ids, self.norm = np.full(self.n, -1), np.ones(self.n)
+        self.ids[place], self.norm[place] = ids, K1 * (1 - B + B * lengths / mean_length)
+        doc, count = place.astype(np.min_scalar_type(self.n))[_packed(row["docs"], postings)], _packed(row["counts"], postings)
+        impact = self.norm.astype(np.float32)[doc]
+        impact += count
+        np.divide(count * np.float32(K1 + 1), impact, out=impact)
         # by document: terms ascend in each, so equal texts get equal sums
         owner = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), sizes)
         order = np.argsort(doc, kind="stable")
-        self.term, self.count = owner[order], counts[order].astype(np.int32)
+        self.term, self.count = owner[order], count[order]
         del order
-        self.begin = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=self.n))]
+        self.begin = np.r_[0, np.cumsum(np.bincount(doc, minlength=self.n))]
         # the long lists as columns, and the greatest impact of each in every block
-        self.column = np.cumsum(sizes * LONG >= self.n) - 1
-        self.long = sizes * LONG >= self.n
-        at = np.flatnonzero(self.long[owner])
-        self.table = np.zeros((self.n, int(self.long.sum())), dtype=np.float32)
-        self.table[self.doc[at], self.column[owner[at]]] = self.by_term[at]
-        self.block_most = np.maximum.reduceat(self.table, np.arange(0, self.n, BLOCK), axis=0)
-        self.weight = np.zeros(len(self.vocabulary))
+        long = sizes * LONG >= len(ids)
+        self.column = np.where(long, np.cumsum(long) - 1, -1)
+        held = long[owner]
+        at = np.flatnonzero(held)
+        self.table = np.zeros((self.n, int(long.sum())), dtype=np.float32)
+        self.table[doc[at], self.column[owner[at]]] = impact[at]
+        self.block_most = self.table.reshape(BLOCK, blocks, -1).max(axis=0)
+        # the short lists one behind the other, document and impact side by side
+        at = np.flatnonzero(~held)
+        self.posting = np.empty(len(at), dtype=[("doc", np.uint32), ("impact", np.float32)])
+        self.posting["doc"], self.posting["impact"] = doc[at], impact[at]
+        self.size = np.where(long, 0, sizes)
+        self.start = np.cumsum(self.size) - self.size
+        self.weight, self.asked = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary), dtype=bool)
+        self.steps = np.arange(1 << 16)
 
     def places(self, terms: np.ndarray) -> np.ndarray:
         """The terms' lists; -1 for a term that no document here has."""
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == terms, at, -1)
 
-    def _lists(self, terms: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the terms' lists one behind the other, and the lists' lengths."""
-        size = start[terms + 1] - start[terms]
+    def _runs(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Positions of runs, one behind the other."""
         ends = np.cumsum(size)
-        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[terms] - ends + size, size), size
-
-    def weights(self, places: np.ndarray, idf: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per query its weights of the long lists, and the most that these can add in each block."""
-        owner = np.repeat(np.arange(len(asked)), asked)
-        at = np.flatnonzero((places >= 0) & self.long[places])
-        heavy = np.zeros((len(asked), self.table.shape[1]), dtype=np.float32)
-        heavy[owner[at], self.column[places[at]]] = idf[at]
-        return heavy, heavy @ self.block_most.T
-
-    def top(self, t: np.ndarray, w: np.ndarray, heavy: np.ndarray, most: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(document places, scores) of the k best for lists `t` of weights `w`; equal scores by id. Documents below `floor`, the
-        least score that still counts, may be left out. `heavy` and `most` are what `weights` tells of the query."""
-        self.weight[t] = w
-        short = ~self.long[t]
-        at, size = self._lists(t[short], self.start)
-        partial = np.bincount(self.doc[at], np.repeat(w[short].astype(np.float32), size) * self.by_term[at], self.n)
-        reach = (partial + np.repeat(most, BLOCK)[: self.n]) * (1 + SLACK)
+        n = int(ends[-1]) if len(ends) else 0
+        if n > len(self.steps):
+            self.steps = np.arange(2 * n)
+        at = np.repeat(start - ends + size, size)
+        at += self.steps[:n]
+        return at
+
+    def search(self, places: np.ndarray, idf: np.ndarray, ends: np.ndarray, floors: list[float], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, document places, scores) of the k best for queries whose lists and weights end at `ends`; equal scores by id. Documents
+        below a query's floor, the least score that still counts, may be left out, and queries without others."""
+        here = np.flatnonzero(places >= 0)
+        owner, places, idf = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[here], places[here], idf[here]
+        ends, weight = np.searchsorted(owner, np.arange(len(ends))), idf.astype(np.float32)
+        column, size = self.column[places], self.size[places]
+        heavy = np.zeros((len(ends) - 1, self.table.shape[1]), dtype=np.float32)
+        at = np.flatnonzero(column >= 0)
+        heavy[owner[at], column[at]] = weight[at]
+        most = heavy @ self.block_most.T
+        at = np.flatnonzero(size)
+        start, size, short = self.start[places[at]], size[at], weight[at]
+        cut = np.searchsorted(owner[at], np.arange(len(ends))).tolist()
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            own = slice(cut[i], cut[i + 1])
+            found = self._beyond(self._partial(start[own], size[own], short[own]), heavy[i], most[i], floors[i], k)
+            if len(found):
+                own = slice(ends[i], ends[i + 1])
+                self.weight[places[own]], self.asked[places[own]] = idf[own], True
+                docs, score = self._best(found, k)
+                self.asked[places[own]] = False
+                if len(docs):
+                    yield i, docs, score
+
+    def _partial(self, start: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Every document's score on short lists."""
+        found = self.posting.view(np.int64).take(self._runs(start, size)).view(self.posting.dtype)
+        return np.bincount(found["doc"], np.repeat(weight, size) * found["impact"], self.n)
+
+    def _beyond(self, partial: np.ndarray, heavy: np.ndarray, most: np.ndarray, floor: float, k: int) -> np.ndarray:
+        """Documents that may reach the floor and the k best, by single precision."""
 
         def near(docs: np.ndarray) -> np.ndarray:
             return partial[docs] + self.table[docs] @ heavy
 
-        if floor <= 0 and self.n > SEED:  # a first threshold from the documents that reach farthest
-            floor = np.partition(near(np.argpartition(reach, self.n - SEED)[self.n - SEED :]), SEED - k)[SEED - k] * (1 - SLACK) if SEED > k else 0.0
-        found = np.flatnonzero(reach >= max(floor, TINY))
-        if len(found) > max(k, FEW):  # what the blocks let through is scored on the long lists
+        if floor <= 0 and self.n > SEED > k:  # a first threshold from the documents that reach farthest
+            reach = partial + np.tile(most, BLOCK)
+            floor = np.partition(near(np.argpartition(reach, self.n - SEED)[self.n - SEED :]), SEED - k)[SEED - k] * (1 - SLACK)
+        floor = max(floor, TINY) / (1 + SLACK)
+        found = np.flatnonzero(partial.reshape(BLOCK, -1) >= floor - most)
+        if len(found):  # what the blocks let through is scored on the long lists
             score = near(found)
-            floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] * (1 - SLACK))
-            found = found[score * (1 + SLACK) >= max(floor, TINY)]
-        best, score = self._best(found, k)
-        self.weight[t] = 0
-        return best, score
+            if len(score) > k:
+                floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] * (1 - SLACK) / (1 + SLACK))
+            found = found[score >= floor]
+        return found
 
     def _best(self, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at, size = self._lists(docs, self.begin)
-        count = self.count[at]
-        impact = count * (K1 + 1) / (count + np.repeat(self.norm[docs], size))
-        score = np.bincount(np.repeat(np.arange(len(docs)), size), self.weight[self.term[at]] * impact, len(docs))
+        size = self.begin[docs + 1] - self.begin[docs]
+        at = self._runs(self.begin[docs], size)
+        term = self.term[at]
+        asked = np.flatnonzero(self.asked[term])
+        owner, count = np.repeat(np.arange(len(docs)), size)[asked], self.count[at[asked]].astype(np.float64)
+        impact = count * (K1 + 1) / (count + self.norm[docs][owner])
+        score = np.bincount(owner, self.weight[term[asked]] * impact, len(docs))
         docs, score = docs[score > 0], score[score > 0]
         if len(docs) > k:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
@@ -213,25 +251,19 @@ def _search(mean_length: float, k: int):
                 if (shard := batch.column("shard")[at].as_py()) != now:
                     index = None  # one index at a time
                     now, index = shard, Shard({c: batch.column(c)[at].as_buffer() for c in PARTS}, mean_length)
-                queries, asked, terms, idf = (batch.column(c)[at].as_buffer() for c in ("query_ids", "asked", "terms", "weights"))
+                queries, asked, terms, idf, own = (batch.column(c)[at].as_buffer() for c in ("query_ids", "asked", "terms", "weights", "own"))
                 queries, terms, idf = np.frombuffer(queries, np.int64), np.frombuffer(terms, np.int64), np.frombuffer(idf, np.float64)
-                ends = np.r_[0, np.cumsum(_wide(asked, len(queries)))].tolist()
+                ends = np.r_[0, np.cumsum(_wide(asked, len(queries)))]
+                own, places = _packed(own, int(ends[-1])), index.places(terms)
                 for lo in range(0, len(queries), AT_ONCE):
-                    hi = min(lo + AT_ONCE, len(queries))
-                    places = index.places(terms[ends[lo] : ends[hi]])
-                    heavy, most = index.weights(places, idf[ends[lo] : ends[hi]], np.diff(ends[lo : hi + 1]))
-                    for i, query in enumerate(queries[lo:hi].tolist(), lo):
-                        t, w = places[ends[i] - ends[lo] : ends[i + 1] - ends[lo]], idf[ends[i] : ends[i + 1]]
-                        here = t >= 0
-                        if not here.any():
-                            continue
-                        ids, score = best.get(query, _NONE)
-                        docs, found = index.top(t[here], w[here], heavy[i - lo], most[i - lo], k, _floor(score, k))
-                        if not len(docs):
-                            continue
+                    some = queries[lo : lo + AT_ONCE].tolist()
+                    mine = own[ends[lo] : ends[lo + len(some)]]
+                    floors = [_floor(best.get(query, _NONE)[1], k) for query in some]
+                    for i, docs, found in index.search(places[mine], idf[mine], ends[lo : lo + len(some) + 1] - ends[lo], floors, k):
+                        ids, score = best.get(some[i], _NONE)
                         ids, score = np.r_[ids, index.ids[docs]], np.r_[score, found]
                         order = np.lexsort((ids, -score))[:k]
-                        best[query] = ids[order], score[order]
+                        best[some[i]] = ids[order], score[order]
         if best:
             yield pa.RecordBatch.from_pydict({
                 "query_id": np.repeat(np.fromiter(best, dtype=np.int64), [len(i) for i, _ in best.values()]),
@@ -249,12 +281,24 @@ _NONE = np.zeros(0, dtype=np.int64), np.zeros(0)
 
 
 def _query_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Queries packed by the hundreds, their terms ascending."""
-    for batch in pieces(batches, QUERIES):
-        own = [sorted((r["term"], r["idf"]) for r in q) for q in batch["weights"]]
-        yield pd.DataFrame([{"queries": len(batch), "query_ids": batch["query_id"].to_numpy(dtype=np.int64).tobytes(), "asked": _small(np.array([len(q) for q in own])),
-                             "terms": np.array([t for q in own for t, _ in q], dtype=np.int64).tobytes(),
-                             "weights": np.array([w for q in own for _, w in q], dtype=np.float64).tobytes()}])
+    """Queries packed by the thousands: their different terms ascending, with weights, and each query's positions among these."""
+
+    def packed(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        every = np.concatenate([t for _, t, _ in held])
+        terms, first, own = np.unique(every, return_index=True, return_inverse=True)
+        return pd.DataFrame([{"query_ids": np.array([q for q, _, _ in held], dtype=np.int64).tobytes(), "asked": _small(np.array([len(t) for _, t, _ in held])),
+                              "terms": terms.tobytes(), "weights": np.concatenate([w for _, _, w in held])[first].tobytes(), "own": _small(own)}])
+
+    held, size = [], 0
+    for batch in batches:
+        for query, terms, weights in zip(batch["query_id"].tolist(), batch["terms"], batch["weights"], strict=True):
+            if held and (len(held) == QUERIES or size + len(terms) > QUERY_TERMS):
+                yield packed(held)
+                held, size = [], 0
+            held.append((query, np.asarray(terms, dtype=np.int64), np.asarray(weights, dtype=np.float64)))
+            size += len(terms)
+    if held:
+        yield packed(held)
 
 
 def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_terms: int = 2_000_000) -> DataFrame:
@@ -275,15 +319,16 @@ def top_matches(documents: DataFrame, queries: DataFrame, k: int = 10, shard_ter
                  .groupBy("term").agg(F.sum("n").alias("df")))
     asked = asking.mapInPandas(_terms, "query_id long, term long").distinct()
     idf = F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    groups = max(LEAST_GROUPS, -(-asking.count() // TASK_QUERIES))
     weighed = (asked.join(frequency, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("w"))
-               .groupBy("query_id").agg(F.collect_list("w").alias("weights"))
-               .mapInPandas(_query_rows, "queries long, query_ids binary, asked binary, terms binary, weights binary"))
+               .groupBy("query_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+               .select("query_id", F.col("w.term").alias("terms"), F.col("w.idf").alias("weights")).repartition(groups)
+               .mapInPandas(_query_rows, "query_ids binary, asked binary, terms binary, weights binary, own binary"))
     weighed = staged(weighed, **FEW_ROWS)
 
     # every shard meets every query where both are read, so neither is copied through a shuffle; a fixed number of streams of
     # shards, each with its own k best, lets the rows found grow as the queries only
-    groups = -(-int(weighed.agg(F.sum("queries")).first()[0] or 0) // QUERIES)
-    found = (shards.coalesce(STREAMS).hint("shuffle_replicate_nl").crossJoin(weighed.drop("queries").coalesce(max(1, groups)))
+    found = (shards.coalesce(STREAMS).hint("shuffle_replicate_nl").crossJoin(weighed.coalesce(groups))
              .mapInArrow(_search(mean_length, k), "query_id long, doc_id long, score double"))
     conf, rows = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(rows)

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +354,18 @@ def test_batches_in_pieces():
     parts = list(pieces(iter(frames)))
     assert [len(p) for p in parts] == [1000, 1000, 500, 3]
     assert pd.concat(parts).equals(pd.concat(frames))
+
+
+def test_search_asks_a_shard_for_each_term_of_a_batch_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{t}" for t in rng.integers(0, 60, 30)) for _ in range(400)]
+    shards = pd.concat(wand_search._shards(3000)(iter([pd.DataFrame({"doc_id": range(400), "text": texts})])), ignore_index=True)
+    terms = [next(iter(wand_search.term_rows([t])))[0] for t in texts]
+    asked = pd.DataFrame({"query_id": range(400), "terms": terms, "weights": [np.ones(len(t)) for t in terms]})
+    [queries] = wand_search._query_rows(iter([asked]))
+    pairs, looked_up, places = shards.merge(queries, how="cross"), [], wand_search.Shard.places
+    monkeypatch.setattr(wand_search.Shard, "places", lambda self, t: looked_up.append(len(t)) or places(self, t))
+    batches = [pa.RecordBatch.from_pandas(pairs.iloc[i : i + 1], preserve_index=False) for i in range(len(pairs))]
+    [found] = wand_search._search(30.0, 10)(iter(batches))
+    assert len(shards) > 2 and found.num_rows == 4000
+    assert looked_up == [60] * len(shards)  # not once per query that holds it
