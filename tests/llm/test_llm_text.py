@@ -185,3 +185,21 @@ def test_boilerplate_inside_marked_articles_goes(spark):
     got = page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r["page_id"]: r["text"] for r in got.collect()} == {
         0: "Story 0 own words 0", 1: "Story 1 own words 1", 4: "Story 4 own words 4", 2: f"{teaser} more", 3: notice}
+
+
+def test_runs_that_most_articles_of_a_host_hold_go(spark):
+    notice = "sign up here and get the news of this site by mail every single morning"
+    own = [" ".join(f"word{k}of{i}" for k in range(40)) for i in range(5)]
+    rows = [(i, f"http://h/{i}", f"<nav>Home</nav><article><p>{own[i]}</p><p>{notice}</p></article>") for i in range(4)]
+    rows += [(4, "http://h/4", f"<article>{own[4]}</article>"), (5, "http://h/5", rows[4 - 1][2])]
+    # three versions of a story are content, and so is what two articles share
+    rows += [(10 + i, f"http://copies/{i}", f"<article><p>{own[0]}</p><p>version {i}</p></article>") for i in range(3)]
+    rows += [(20 + i, f"http://two/{i}", f"<article><p>{own[i]}</p><p>{notice}</p></article>") for i in range(2)]
+    # copies of a story do not hide a notice, nor make it one
+    rows += [(30 + i, f"http://mixed/{i}", f"<article><p>{own[min(i, 3)]}</p><p>{notice}</p></article>" + f"<p>{i}</p>" * (i > 2)) for i in range(3)]
+    rows += [(40 + i, f"http://mixed/c{i}", f"<article><p>{own[4]}</p><p>version {i}</p><p>{notice}</p></article>") for i in range(5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in page_text.main_texts(frame).collect()}
+    assert got == {**{i: own[i] for i in range(5)}, 5: own[3], **{10 + i: f"{own[0]} version {i}" for i in range(3)},
+                   **{20 + i: f"{own[i]} {notice}" for i in range(2)}, **{30 + i: own[i] for i in range(3)},
+                   **{40 + i: f"{own[4]} version {i}" for i in range(5)}}
